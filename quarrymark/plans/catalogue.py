@@ -8,6 +8,8 @@ from quarrymark.plans.registry import CATALOGUE, builders, statements
 
 MODULES = (
     "lexical_queries",
+    "dense_queries",
+    "fusion_queries",
 )
 
 for _module in MODULES:
