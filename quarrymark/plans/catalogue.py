@@ -10,6 +10,7 @@ MODULES = (
     "lexical_queries",
     "dense_queries",
     "fusion_queries",
+    "corpus_queries",
 )
 
 for _module in MODULES:
