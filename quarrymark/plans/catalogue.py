@@ -11,6 +11,10 @@ MODULES = (
     "dense_queries",
     "fusion_queries",
     "corpus_queries",
+    "text_queries",
+    "filter_queries",
+    "event_queries",
+    "state_queries",
 )
 
 for _module in MODULES:

@@ -154,13 +154,12 @@ def numbered_runs(t):
 def page_lookup(t):
     """Lines as pages: joined offsets, and the page that holds the middle character."""
     offsets = corpus.page_offsets(corpus.lines(F.col("text")))
-    rows = texts(t, "n_chars").select("doc_id", "n_chars", offsets.alias("o"))
-    middle = F.floor(F.col("n_chars") / 2)
+    rows = texts(t, "n_chars").select("doc_id", F.floor(F.col("n_chars") / 2).alias("middle"), offsets.alias("o"))
     return rows.select(
         "doc_id",
         F.size("o").alias("n_pages"),
         F.element_at("o", -1)["end"].alias("n_chars"),
-        corpus.page_at(F.col("o"), middle).alias("page"),
+        corpus.page_at(F.col("o"), F.col("middle")).alias("page"),
     )
 
 
