@@ -15,6 +15,7 @@ MODULES = (
     "filter_queries",
     "event_queries",
     "state_queries",
+    "metric_queries",
 )
 
 for _module in MODULES:
