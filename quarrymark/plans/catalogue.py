@@ -16,6 +16,7 @@ MODULES = (
     "event_queries",
     "state_queries",
     "metric_queries",
+    "claim_queries",
 )
 
 for _module in MODULES:
