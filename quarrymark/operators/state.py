@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarrymark.functions.sets import containment, jaccard
 from quarrymark.operators.joins import attach
 from quarrymark.operators.ordered import Split
+from quarrymark.session import durable
 
 REFINES = 0.6
 USABLE = ("ACTIVE", "RETAINED")
@@ -157,33 +158,30 @@ def version_diff(old: DataFrame, new: DataFrame, keys: list[str], value: str) ->
 
 
 def components(edges: DataFrame, rounds: int = 40, left: str = "a", right: str = "b") -> DataFrame:
-    """(node, group): connected components by smallest-neighbour steps (large star / small star).
+    """(node, group): connected components, named after their smallest node.
 
-    Every round rewires each node to the smallest node it knows; the edge list never grows beyond its first size times two,
-    and a hub's neighbours are aggregated before they are joined.  Lineage is cut by a reliable checkpoint when the session
-    names a folder.
+    Large-star and small-star steps alternate: each rewires nodes to the smallest neighbour they know.  Every step keeps at most
+    as many edges as the one before, a hub's neighbours are reduced to their minimum before they are joined, and each round is
+    written to the checkpoint folder.
     """
-    from quarrymark.session import checkpoint_folder
-
-    spark = edges.sparkSession
-    durable = checkpoint_folder(spark) is not None
-    nodes = edges.select(F.col(left).alias("node")).union(edges.select(right)).distinct()
-    links = edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where("u <> v").distinct()
+    pairs = edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v"))
+    start = links = durable(pairs.distinct())
+    links = links.where("u <> v")
     for _ in range(rounds):
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
-        # large star: neighbours above u move to u's minimum
+        # large star: neighbours above u move to the smallest node u knows
         large = attach(both, low, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = durable(large.where("u <> v").distinct())
         # small star: u and its smaller neighbours move to the smallest of them
         below = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         small = attach(large, below, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = small.union(below.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        after = after.checkpoint() if durable else after.persist()
-        moved = after.exceptAll(links).limit(1).count() + links.exceptAll(after).limit(1).count()
+        after = durable(small.union(below.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        moved = after.exceptAll(links).limit(1).count() or links.exceptAll(after).limit(1).count()
         links = after
-        if moved == 0:
+        if not moved:
             break
     else:
         raise RuntimeError("components did not settle")
-    return nodes.join(links, nodes["node"] == links["u"], "left").select("node", F.coalesce("v", "node").alias("group"))
+    nodes = start.select(F.col("u").alias("node")).union(start.select("v")).distinct()
+    return nodes.join(links.withColumnRenamed("u", "node"), "node", "left").select("node", F.coalesce("v", "node").alias("group"))

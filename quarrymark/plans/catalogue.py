@@ -17,6 +17,7 @@ MODULES = (
     "state_queries",
     "metric_queries",
     "claim_queries",
+    "adaptive_queries",
 )
 
 for _module in MODULES:

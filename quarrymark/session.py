@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 ROCKSDB_PROVIDER = (
     "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -50,3 +52,20 @@ def checkpoint_folder(spark: SparkSession) -> str | None:
         return folder
     option = spark.sparkContext._jsc.sc().getCheckpointDir()
     return option.get() if option.isDefined() else None
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a frame with a reliable checkpoint, so that a lost executor costs no recomputation of earlier rounds.
+
+    The folder is the one the cluster names; only a local session without one gets a temporary folder of its own.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    folder = checkpoint_folder(spark)
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="quarrymark-")
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
