@@ -18,6 +18,7 @@ MODULES = (
     "metric_queries",
     "claim_queries",
     "adaptive_queries",
+    "dialogue_queries",
 )
 
 for _module in MODULES:
