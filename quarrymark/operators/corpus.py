@@ -257,7 +257,7 @@ def section_tree(blocks: Column) -> Column:
 
         return F.aggregate(hs, F.array().cast(f"array<{SECTION}>"), step)
 
-    return let(suppress_lists(F.transform(blocks, heading)), headed)
+    return let(suppress_lists(F.transform(blocks, lambda b: heading(b))), headed)
 
 
 # A sentence ends after terminal punctuation, closing quotes and white space, before a capital, digit, quote or bullet;

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 # What is read, and which front-matter names are kept.
 EXTENSIONS = ("md", "txt", "pdf")
 METADATA = "title id version effective_date valid_until published_date status supersedes doc_type applicant_type".split()
+# The Windows Latin page differs from ISO 8859-1 in these code points.
+_CODES = [b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
+WINDOWS = ("".join(map(chr, _CODES)), bytes(_CODES).decode("cp1252"))
 FRONT_MATTER = r"\A---[ \t]*\n(?s:(.*?))\n---[ \t]*(?:\n|\z)"
 
 
@@ -24,7 +27,7 @@ def scan(spark: SparkSession, folder: str, extensions: tuple[str, ...] = EXTENSI
 def decoded(content: Column) -> Column:
     """UTF-8 without its byte-order mark, else the Windows Latin page."""
     text = content.cast("string")
-    latin = F.decode(content, "windows-1252")
+    latin = F.translate(F.decode(content, "iso-8859-1"), *WINDOWS)
     return F.regexp_replace(F.when(F.is_valid_utf8(text), text).otherwise(latin), "^﻿", "")
 
 
