@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrymark.config import RETRIEVAL
-from quarrymark.functions.sets import jaccard
 from quarrymark.functions.text import guard_negations, number_tokens
 from quarrymark.operators.joins import attach
 
@@ -37,11 +36,15 @@ def near_pairs(candidates: DataFrame, least: float = RETRIEVAL.near_jaccard) ->
     """Pairs of one candidate list that say the same: equal protected tokens and word Jaccard >= least."""
     a = candidates.select("qid", "guard", *[F.col(c).alias(f"{c}_a") for c in ("item", "rank", "words")])
     b = candidates.select("qid", "guard", *[F.col(c).alias(f"{c}_b") for c in ("item", "rank", "words")])
-    sizes = F.least(F.size("words_a"), F.size("words_b")) >= least * F.greatest(F.size("words_a"), F.size("words_b"))
+    na, nb = F.size("words_a"), F.size("words_b")
+    sizes = F.least(na, nb) >= least * F.greatest(na, nb)
+    shared = F.size(F.array_intersect("words_a", "words_b"))
     return (
         a.join(b, ["qid", "guard"])
         .where((F.col("rank_a") < F.col("rank_b")) & sizes)
-        .withColumn("jaccard", F.round(jaccard(F.col("words_a"), F.col("words_b")), 6))
+        .select("qid", "item_a", "item_b", "words_a", "words_b", shared.alias("shared"))
+        .withColumn("union", na + nb - F.col("shared"))
+        .withColumn("jaccard", F.when(F.col("union") == 0, 1.0).otherwise(F.round(F.col("shared") / F.col("union"), 6)))
         .where(F.col("jaccard") >= least)
         .select("qid", "item_a", "item_b", "jaccard")
     )

@@ -1,7 +1,7 @@
 """Lexical retrieval: postings, term statistics, BM25.
 
-Terms nobody asks for are dropped before anything is shuffled.  Term frequencies combine inside the task that reads the
-document, and only the k best rows of each query leave a task of the final ranking.
+Term frequencies are counted inside the document's row and terms nobody asks for are dropped before anything is shuffled; only
+the k best rows of each query leave a task of the final ranking.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrymark.config import RETRIEVAL
-from quarrymark.functions.text import analyse, terms
+from quarrymark.functions.text import analyse, let, terms
 from quarrymark.operators.rank import top_k
 from quarrymark.sources.tables import spread
 
@@ -21,12 +21,37 @@ def analysed(docs: DataFrame, key: str = "doc_id", text: str = "text", analyser=
     return tokens.withColumn("dl", F.size("tokens"))
 
 
+def counted(tokens: Column) -> Column:
+    """Distinct terms of one document with their counts: run lengths of the sorted terms."""
+
+    def runs(ts: Column) -> Column:
+        n = F.size(ts)
+        every = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+        first = F.filter(every, lambda i: (i == 1) | (F.element_at(ts, i) != F.element_at(ts, F.greatest(i - 1, F.lit(1)))))
+        return let(
+            first,
+            lambda st: F.transform(
+                st,
+                lambda i, k: F.struct(
+                    F.element_at(ts, i).alias("term"),
+                    (F.coalesce(F.try_element_at(st, k + 2), n + 1) - i).cast("long").alias("tf"),
+                ),
+            ),
+        )
+
+    return let(F.array_sort(tokens), runs)
+
+
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: DataFrame | None = None) -> DataFrame:
-    """(key, dl, term, tf); a vocabulary keeps only the terms somebody asks for."""
-    rows = analysed(docs, key, text).select(key, "dl", F.explode("tokens").alias("term"))
+    """(key, dl, term, tf); a vocabulary keeps only the terms somebody asks for.
+
+    A document is counted inside its own row, so building postings shuffles nothing.
+    """
+    rows = analysed(docs, key, text).select(key, "dl", F.explode(counted(F.col("tokens"))).alias("p"))
+    rows = rows.select(key, "dl", "p.term", "p.tf")
     if vocabulary is not None:
-        rows = rows.join(vocabulary.select("term").distinct(), "term", "left_semi")
-    return rows.groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+        rows = rows.join(vocabulary.select("term").distinct(), "term", "left_semi").select(key, "dl", "term", "tf")
+    return rows
 
 
 def document_frequency(post: DataFrame) -> DataFrame:

@@ -183,34 +183,63 @@ def normal_two_sided(z: Column) -> Column:
     return _normal_two_sided(z)
 
 
-def bootstrap_ci(df: DataFrame, keys: list[str], value: str, resamples: int = RESAMPLES, digits: int = 4) -> DataFrame:
-    """Percentile interval of the mean over seeded resamples, distributed by resample.
-
-    Values are first reduced to (value, count) per group; each resample draws multinomial counts over the distinct values, so
-    no task needs more than the distinct values of one group and a slice of the resamples.
+def bootstrap_ci(
+    df: DataFrame, keys: list[str], value: str, resamples: int = RESAMPLES, blocks: int = 16, digits: int = 4
+) -> DataFrame:
+    """Percentile interval of the mean over seeded multinomial resamples.
+
+    The distinct values of a group are hashed into blocks.  A resample first draws how many samples fall into each block, then
+    every block draws its own values; that is the same multinomial, but no task holds more than one block of values and one
+    slice of the resamples.  Raise ``blocks`` with the number of distinct values.
     """
-    slices = 16
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    packed = counted.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("v", "c"))).alias("d"))
-    work = packed.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).repartition(*keys, "slice")
+    slices = 8
     per = -(-resamples // slices)
+    take = [min(per, max(resamples - per * i, 0)) for i in range(slices)]
+    v = F.col(value).cast("double")
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, v.alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    placed = counted.withColumn("block", F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int"))
+    sizes = placed.groupBy(*keys, "block").agg(
+        F.sum("c").alias("size"), F.array_sort(F.collect_list(F.struct("v", "c"))).alias("d")
+    )
+    shares = sizes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("block", "size"))).alias("shares"))
+    work = shares.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).repartition(*keys, "slice")
+    types = {f.name: f.dataType.simpleString() for f in sizes.schema.fields}
+    head = ", ".join(f"{k} {types[k]}" for k in keys)
+
+    def allot(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                size = np.array([x["size"] for x in row.shares], dtype=np.int64)
+                rng = np.random.default_rng([SEED, int(row.slice)])
+                drawn = rng.multinomial(size.sum(), size / size.sum(), size=take[int(row.slice)])
+                yield pd.DataFrame(
+                    {
+                        **{k: getattr(row, k) for k in keys},
+                        "slice": row.slice,
+                        "block": [x["block"] for x in row.shares],
+                        "n": int(size.sum()),
+                        "draws": list(drawn.T),
+                    }
+                )
+
+    allotted = work.select(*keys, "slice", "shares").mapInPandas(
+        allot, f"{head}, slice int, block int, n long, draws array<long>"
+    )
 
     def draw(batches):
         for pdf in batches:
-            out = []
             for row in pdf.itertuples(index=False):
                 values = np.array([x["v"] for x in row.d])
-                counts = np.array([x["c"] for x in row.d], dtype=np.int64)
-                n = int(counts.sum())
-                rng = np.random.default_rng([SEED, int(row.slice)])
-                take = min(per, resamples - per * int(row.slice))
-                means = rng.multinomial(n, counts / n, size=max(take, 0)) @ values / n
-                out.append(pd.DataFrame({**{k: getattr(row, k) for k in keys}, "mean": means}))
-            yield pd.concat(out)
-
-    types = {f.name: f.dataType.simpleString() for f in packed.schema.fields}
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", mean double"
-    means = work.select(*keys, "slice", "d").mapInPandas(draw, schema)
+                counts = np.array([x["c"] for x in row.d], dtype=np.float64)
+                rng = np.random.default_rng([SEED, int(row.slice), int(row.block)])
+                sums = rng.multinomial(np.asarray(row.draws), counts / counts.sum()) @ values
+                yield pd.DataFrame(
+                    {**{k: getattr(row, k) for k in keys}, "slice": row.slice, "r": range(len(sums)), "part": sums / row.n}
+                )
+
+    joined = allotted.join(sizes.select(*keys, "block", "d"), [*keys, "block"])
+    parts = joined.select(*keys, "slice", "block", "n", "draws", "d").mapInPandas(draw, f"{head}, slice int, r int, part double")
+    means = parts.groupBy(*keys, "slice", "r").agg(F.sum("part").alias("mean"))
     return means.groupBy(*keys).agg(
         F.round(F.percentile("mean", F.lit(0.025)), digits).alias("ci_low"),
         F.round(F.percentile("mean", F.lit(0.975)), digits).alias("ci_high"),

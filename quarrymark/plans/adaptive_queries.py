@@ -9,7 +9,7 @@ from quarrymark.functions import values as vx
 from quarrymark.operators import adaptive as ad
 from quarrymark.operators import filters, lexical
 from quarrymark.plans.claim_queries import VERIFY, aligned, own
-from quarrymark.plans.corpus_queries import texts
+from quarrymark.plans.corpus_queries import texts, texts_of
 from quarrymark.plans.filter_queries import _CLAIMS, dated, order_claims
 from quarrymark.plans.lexical_queries import bridge_terms, passages
 from quarrymark.plans.registry import named
@@ -88,8 +88,8 @@ def needs(t):
 
 def judged(t, k: int = 20):
     hits = lexical.bm25_top(t.documents, passages(t), k=k).select("qid", "doc_id", "rank")
-    docs = hits.join(t.documents.select("doc_id", "source", "text"), "doc_id")
-    return ad.judge(docs.select("qid", "doc_id", "source", "rank", tx.terms(F.col("text")).alias("e")), needs(t))
+    docs = texts_of(t, hits, "source").select("doc_id", "source", tx.terms(F.col("text")).alias("e"))
+    return ad.judge(hits.join(docs, "doc_id"), needs(t))
 
 
 JUDGE = (

@@ -9,7 +9,7 @@ from quarrymark.functions import values as vx
 from quarrymark.operators import claims as cl
 from quarrymark.operators import lexical, state
 from quarrymark.operators.joins import attach
-from quarrymark.plans.corpus_queries import texts
+from quarrymark.plans.corpus_queries import texts, texts_of
 from quarrymark.plans.lexical_queries import passages
 from quarrymark.plans.registry import named
 from quarrymark.plans.sql_parts import BM25, ranked, sql_terms
@@ -24,13 +24,14 @@ def weights(t):
 
 
 def evidence(t):
-    """(qid, doc_id, rank, text) of the five best documents."""
-    hits = lexical.bm25_top(t.documents, passages(t), k=5).select("qid", "doc_id", "rank")
-    return hits.join(t.documents.select("doc_id", "text"), "doc_id")
+    """(qid, doc_id, rank) of the five best documents."""
+    return lexical.bm25_top(t.documents, passages(t), k=5).select("qid", "doc_id", "rank")
 
 
 def evidence_sentences(t):
-    return cl.sentence_rows(evidence(t), "qid", "doc_id", "rank")
+    """Sentences of the evidence; every document is cut once, whoever asked for it."""
+    hits = evidence(t)
+    return hits.join(cl.sentence_rows(texts_of(t, hits), "doc_id"), "doc_id")
 
 
 def selected(t):

@@ -20,6 +20,11 @@ def texts(t, *columns: str):
     return spread(t.documents.select("doc_id", *columns, "text"), "doc_id")
 
 
+def texts_of(t, hits, *columns: str):
+    """The documents that occur in ranked lists, once each, for work that should not be repeated per query."""
+    return texts(t, *columns).join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
+
+
 def document_lines(t):
     """(doc_id, source, pos, line)."""
     rows = texts(t, "source").select("doc_id", "source", F.posexplode(corpus.lines(F.col("text"))).alias("pos", "line"))

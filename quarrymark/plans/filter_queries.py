@@ -80,7 +80,7 @@ def validity_three_valued(t):
     return rows.groupBy(verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
 
 
-# An order claims to replace the customer's previous order; the last twentieth of the keys is excluded from nothing.
+# An order claims to replace the customer's previous order.
 _CLAIMS = (
     f"{DATED}, c AS (SELECT *, lag(document_id) OVER (PARTITION BY o_custkey ORDER BY start, document_id) AS old FROM dated), "
     "agreed AS (SELECT c.old, max(c.document_id) AS new FROM c JOIN dated o ON o.document_id = c.old WHERE o.status IN ('superseded', 'archived', 'expired') OR o.e < c.start GROUP BY c.old)"
@@ -88,7 +88,7 @@ _CLAIMS = (
 
 
 def order_claims(t):
-    split = Split(["o_custkey"], ["start", "document_id"], F.trunc("start", "year"))
+    split = Split(["o_custkey"], ["start", "document_id"], F.trunc("start", "month"))
     return split.lag(dated(t), old="document_id").withColumn("supersedes", F.col("old").cast("string"))
 
 
@@ -166,7 +166,7 @@ def left_defaults(t):
 )
 def asof_latest(t):
     """The customer's latest order at each ship date: facts and probes share one ordered stream per customer, and the last
-    order seen so far is carried across year borders, so neither side is multiplied."""
+    order seen so far is carried across month borders, so neither side is multiplied."""
     orders = t.orders.select("o_orderkey", "o_custkey", "o_orderdate")
     events = orders.select(
         F.col("o_custkey").alias("k"), F.col("o_orderdate").alias("ts"), F.lit(0).alias("kind"), "o_orderkey",
@@ -176,15 +176,15 @@ def asof_latest(t):
         F.col("o_custkey").alias("k"), F.col("l_shipdate").alias("ts"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("o_orderkey"),
         "l_orderkey", "l_linenumber", "l_partkey",
     )
-    rows = events.unionByName(probes).withColumn("b", F.year("ts"))
+    rows = events.unionByName(probes).withColumn("b", F.date_trunc("month", "ts"))
     # order rows keep their key, probe rows take the latest key before them; ties at one instant see the order
     key = F.struct("ts", "o_orderkey")
     seen = F.when(F.col("kind") == 0, key)
     local = Window.partitionBy("k", "b").orderBy("ts", "kind", "o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
     tail = rows.where("kind = 0").groupBy("k", "b").agg(F.max(key).alias("tail"))
-    years = rows.select("k", "b").distinct().join(tail, ["k", "b"], "left")
+    months = rows.select("k", "b").distinct().join(tail, ["k", "b"], "left")
     before = Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = years.select("k", "b", F.max("tail").over(before).alias("carry"))
+    carry = months.select("k", "b", F.max("tail").over(before).alias("carry"))
     found = rows.withColumn("seen", F.max(seen).over(local)).join(carry, ["k", "b"], "left")
     return (
         found.where("kind = 1")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarrymark.operators import dedup, dense, fusion, lexical
 from quarrymark.operators.rank import fuse_ranks, rrf_top, top_k
+from quarrymark.plans.corpus_queries import texts_of
 from quarrymark.plans.lexical_queries import passages
 from quarrymark.plans.registry import named
 from quarrymark.plans.sql_parts import BM25, ranked, sql_terms
@@ -236,9 +237,10 @@ def alias_join(t):
 
 
 def candidate_lists(t, k: int = 50):
-    """(qid, item, rank, text) of the lexical candidates."""
+    """(qid, item, rank, digest, words, guard) of the lexical candidates; every document is analysed once."""
     hits = lexical.bm25_top(t.documents, passages(t), k=k).select("qid", "doc_id", "rank")
-    return hits.join(t.documents.select("doc_id", "text"), "doc_id").withColumnRenamed("doc_id", "item")
+    features = dedup.with_guards(texts_of(t, hits)).select("doc_id", F.sha1("text").alias("digest"), "words", "guard")
+    return hits.join(features, "doc_id").withColumnRenamed("doc_id", "item")
 
 
 _GUARD = (
@@ -255,10 +257,9 @@ _GUARD = (
     "s AS (SELECT qid, item_a, item_b, round(len(list_intersect(wa, wb)) / len(list_distinct(list_concat(wa, wb))), 6) AS jaccard FROM j) SELECT * FROM s WHERE jaccard >= 0.9",
 )
 def dedup_near_pairs(t):
-    return dedup.near_pairs(dedup.with_guards(candidate_lists(t)))
+    return dedup.near_pairs(candidate_lists(t))
 
 
 @named("dedup_greedy")
 def dedup_greedy(t):
-    listed = dedup.with_guards(candidate_lists(t)).withColumn("digest", F.sha1("text"))
-    return dedup.greedy(listed).drop("overlaps")
+    return dedup.greedy(candidate_lists(t)).drop("overlaps")

@@ -12,6 +12,7 @@ from quarrymark.functions import text as tx
 from quarrymark.operators import corpus, lexical, state
 from quarrymark.operators import transcripts as tr
 from quarrymark.operators.ordered import Split
+from quarrymark.plans.corpus_queries import texts_of
 from quarrymark.plans.fusion_queries import LISTS, request_lists
 from quarrymark.plans.lexical_queries import passages
 from quarrymark.plans.registry import named
@@ -293,8 +294,8 @@ def assignments(t):
         pick(_KINDS, F.col("item_id") % 7 + 1).alias("change"),
     )
     hits = lexical.bm25_top(t.documents, passages(t), k=10).select("qid", "doc_id", "rank")
-    docs = t.documents.select("doc_id", "text").join(hits, "doc_id").select("qid", "doc_id", "rank", tx.terms(F.col("text")).alias("e"))
-    return docs.join(needs, "qid").withColumn("status", pick(_STATUSES, F.col("doc_id") % 3 + 1))
+    docs = texts_of(t, hits).select("doc_id", tx.terms(F.col("text")).alias("e"))
+    return hits.join(docs, "doc_id").join(needs, "qid").withColumn("status", pick(_STATUSES, F.col("doc_id") % 3 + 1))
 
 
 def changed(t):

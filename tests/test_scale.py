@@ -98,7 +98,7 @@ def test_dense_search_in_blocks_equals_brute_force(spark, monkeypatch):
 def test_filters_and_columns_reach_the_scan(tables):
     text = plan(CATALOGUE["bm25_filtered_topk"].build(tables))
     assert "EqualTo(lang,en)" in text and "ReadSchema: struct<doc_id:bigint,text:string,lang:string>" in text
-    assert "html" not in plan(CATALOGUE["document_ids"].build(tables))
+    assert "ReadSchema: struct<page_id:bigint,url:string>" in plan(CATALOGUE["document_ids"].build(tables))
 
 
 def test_top_k_limits_groups_before_the_exchange(tables):
