@@ -89,11 +89,16 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, corpus: DataFrame | None =
     ``docs`` may be a filtered subset; statistics come from ``corpus`` (default: the same documents), so a filter never
     changes a weight.  Catalyst broadcasts the query terms when they are small and falls back to a sorted join when not.
     """
-    corpus = docs if corpus is None else corpus
     asked = query_terms(queries)
-    counts = document_frequency(postings(corpus, vocabulary=asked))
-    weighted = asked.join(with_idf(counts, corpus), "term")
-    found = postings(docs, vocabulary=asked)
+    # One exchange by document serves both branches below: the term counts, and the scores (which then need no other).
+    found = postings(docs, vocabulary=asked).repartition("doc_id")
+    if corpus is None:
+        corpus = docs
+        # reading every column keeps this branch on the very same exchange
+        counts = found.groupBy("term").agg(F.count_if((F.col("tf") > 0) & (F.col("dl") > 0)).alias("df"))
+    else:
+        counts = document_frequency(postings(corpus, vocabulary=asked))
+    weighted = asked.join(with_idf(counts, corpus), "term").select("qid", "term", "idf")
     score = weight(F.col("tf"), F.col("dl"), F.col("idf"), mean_length(corpus))
     return (
         found.join(weighted, "term")
