@@ -1,8 +1,9 @@
-"""English suffix stripping (the published Porter2 rules) as a vectorised function over token arrays."""
+"""Text functions without a built-in counterpart: English suffix stripping (the published Porter2 rules) and NFKC folding."""
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import lru_cache
 
 import pandas as pd
@@ -120,6 +121,12 @@ def stem(word: str) -> str:
     return w.lower()
 
 
+@F.pandas_udf(T.StringType())
+def nfkc(text: pd.Series) -> pd.Series:
+    """Compatibility folding (full-width digits, ligatures); ASCII text needs none."""
+    return text.map(lambda s: s if s is None or s.isascii() else unicodedata.normalize("NFKC", s))
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def stem_terms(tokens: pd.Series) -> pd.Series:
     return tokens.map(lambda ts: None if ts is None else [stem(t) for t in ts])

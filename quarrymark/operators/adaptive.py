@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymark.config import ADAPTIVE
-from quarrymark.functions.sets import prefix_variant
 
 # First k per complexity, action priors.
 INITIAL_K = {"SIMPLE": 3, "MODERATE": 5, "COMPLEX": 5, "MULTI_HOP": 5}
@@ -76,19 +75,28 @@ def first_k(complexity: Column) -> Column:
     return F.try_element_at(table, complexity)
 
 
-def expansions(asked: DataFrame, known: DataFrame, limit: int = 3) -> DataFrame:
+def expansions(asked: DataFrame, known: DataFrame, limit: int = 3, at_least: int = 4) -> DataFrame:
     """(qid, term, variant, n): index terms that extend or shorten a term the index does not know, at most ``limit`` per need.
 
-    Candidates share a four-letter stem, and only the unknown terms of the queries are looked up.
+    Prefixes are spelled out on one side and joined by equality, so only true variants meet, however common a stem is.
     """
     from quarrymark.operators.rank import top_k
 
-    lost = asked.join(known, "term", "left_anti").where("length(term) >= 4").withColumn("p", F.left("term", F.lit(4)))
-    vocab = known.where("length(term) >= 4").select(F.col("term").alias("variant"), "idf", F.left("term", F.lit(4)).alias("p"))
-    found = lost.join(vocab, "p").where(prefix_variant(F.col("term"), F.col("variant")))
-    return top_k(found, ["qid"], F.col("idf").asc(), F.col("term").asc(), F.col("variant").asc(), k=limit, name="n").select(
-        "qid", "term", "variant", "n"
+    def prefixes(column: str, longest: Column) -> Column:
+        return F.transform(F.sequence(F.lit(at_least), longest), lambda n: F.left(F.col(column), n))
+
+    lost = asked.join(known, "term", "left_anti").where(F.length("term") >= at_least)
+    vocab = known.where(F.length("term") >= at_least).select(F.col("term").alias("variant"), "idf")
+    longer = vocab.select("variant", "idf", F.explode(prefixes("variant", F.length("variant"))).alias("term"))
+    shorter = lost.select("qid", "term", F.explode(prefixes("term", F.length("term"))).alias("variant"))
+    found = (
+        lost.join(longer, "term")
+        .where(~F.col("term").rlike(r"^\d+$"))
+        .select("qid", "term", "variant", "idf")
+        .unionByName(shorter.join(vocab, "variant").where(~F.col("variant").rlike(r"^\d+$")).select("qid", "term", "variant", "idf"))
     )
+    order = [F.col("idf").asc(), F.col("term").asc(), F.col("variant").asc()]
+    return top_k(found, ["qid"], *order, k=limit, name="n").select("qid", "term", "variant", "n")
 
 
 def anchors(asked: DataFrame, known: DataFrame) -> DataFrame:

@@ -36,10 +36,9 @@ def utterance_sessions(t):
     f"WITH {_SESSIONS} SELECT user_id, count(*) AS n_sessions, CAST(max(n) AS BIGINT) AS longest FROM (SELECT user_id, session, count(*) AS n FROM s GROUP BY ALL) GROUP BY user_id",
 )
 def session_windows(t):
-    """The same silence rule through the built-in session window."""
-    rows = t.events.select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    per = rows.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    return per.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_sessions"), F.max("n").alias("longest"))
+    """Sessions per user; each user's events are cut into hours, so a busy user is many tasks."""
+    spans = ev.session_spans(log(t), "user_id", GAP)
+    return spans.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_sessions"), F.max("n_events").alias("longest"))
 
 
 @named(

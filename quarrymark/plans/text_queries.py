@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarrymark.functions import text as tx
 from quarrymark.functions import values as vx
-from quarrymark.functions.stem import stem_terms
+from quarrymark.functions.stem import nfkc, stem_terms
 from quarrymark.operators.corpus import basic_normalise
 from quarrymark.plans.corpus_queries import texts
 from quarrymark.plans.registry import named
@@ -230,9 +230,10 @@ def set_similarity(t):
 
 @named("analyser_full")
 def analyser_full(t):
-    """The full analyser: number words to digits, stop words out, English stems."""
+    """The full analyser: compatibility folding, number words to digits, stop words out, English stems."""
+    folded = texts(t).select("doc_id", nfkc("text").alias("text"))
     tokens = tx.drop_stopwords(tx.spoken_numbers(tx.raw_tokens(basic_normalise(F.col("text")))))
-    rows = texts(t).select("doc_id", tokens.alias("tokens"))
+    rows = folded.select("doc_id", tokens.alias("tokens"))
     return rows.select("doc_id", F.size("tokens").alias("n"), F.sha1(F.array_join(stem_terms("tokens"), " ")).alias("digest"))
 
 

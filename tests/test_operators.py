@@ -331,3 +331,16 @@ def test_conflict_resolution(spark):
     frame = spark.createDataFrame(rows, "k int, authority double, superseded boolean")
     got = {r.k: r.rule for r in adaptive.resolve_conflicts(frame, ["k"]).collect()}
     assert got == {1: "version_supersession", 2: "authority", 3: "unresolved"}
+
+
+def test_nfkc(spark):
+    from quarrymark.functions.stem import nfkc
+
+    assert one(spark, nfkc("t"), t="ﬁle １２") == "file 12"
+
+
+def test_query_expansion(spark):
+    asked = spark.createDataFrame([(1, "permitting"), (1, "perm"), (1, "zoo"), (2, "2026"), (2, "fees")], "qid long, term string")
+    known = spark.createDataFrame([("permit", 1.0), ("permits", 2.0), ("permanent", 0.5), ("20261", 1.0), ("fee", 1.0), ("zoology", 1.0)], "term string, idf double")
+    got = [(r.qid, r.term, r.variant, r.n) for r in adaptive.expansions(asked, known).orderBy("qid", "n").collect()]
+    assert got == [(1, "perm", "permanent", 1), (1, "perm", "permit", 2), (1, "permitting", "permit", 3)]
