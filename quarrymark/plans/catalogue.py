@@ -19,6 +19,7 @@ MODULES = (
     "claim_queries",
     "adaptive_queries",
     "dialogue_queries",
+    "session_queries",
 )
 
 for _module in MODULES:

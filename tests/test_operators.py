@@ -344,3 +344,21 @@ def test_query_expansion(spark):
     known = spark.createDataFrame([("permit", 1.0), ("permits", 2.0), ("permanent", 0.5), ("20261", 1.0), ("fee", 1.0), ("zoology", 1.0)], "term string, idf double")
     got = [(r.qid, r.term, r.variant, r.n) for r in adaptive.expansions(asked, known).orderBy("qid", "n").collect()]
     assert got == [(1, "perm", "permanent", 1), (1, "perm", "permit", 2), (1, "permitting", "permit", 3)]
+
+
+def test_tracked_needs(spark):
+    from quarrymark.operators import sessions
+
+    now = spark.createDataFrame([(1, 10), (1, 11)], "uid long, need long")
+    before = spark.createDataFrame([(1, 7), (1, 8)], "uid long, need long")
+    pairs = spark.createDataFrame([(1, 10, 8)], "uid long, a long, b long")
+    got = {(r.need, r.change, r.matched) for r in sessions.tracked(now, before, pairs).collect()}
+    assert got == {(10, "modified", 8), (11, "added", None), (7, "removed", None)}
+
+
+def test_net_changes_cancel(spark):
+    from quarrymark.operators import sessions
+
+    rows = [(1, "a", "added"), (1, "a", "retracted"), (1, "b", "added"), (1, "c", "retracted"), (1, "d", "modified"), (1, "e", "kept")]
+    got = {(r.item, r.change) for r in sessions.net_changes(spark.createDataFrame(rows, "s int, item string, change string"), ["s"], "item").collect()}
+    assert got == {("b", "added"), ("c", "retracted"), ("d", "modified")}

@@ -113,3 +113,18 @@ def test_no_cartesian_plans(tables, name):
     # passages of one or two words are compared directly; everything else joins on keys
     if "NestedLoopJoin" in text:
         assert "Contains(" in text or "contains(" in text.lower(), name
+
+
+def test_large_inputs_shuffle_matched_terms_not_texts(tables, monkeypatch):
+    """With many input splits the text stays where it is: the one exchange by document carries counted query terms."""
+    from quarrymark.operators import lexical
+    from quarrymark.plans.lexical_queries import passages
+
+    want = lexical.bm25_top(tables.documents, passages(tables))
+    monkeypatch.setattr(lexical, "spread", lambda df, *keys: df)
+    got = lexical.bm25_top(tables.documents, passages(tables))
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+    tree = plan(got)
+    exchanges = [part for part in tree.split("\n\n") if ") Exchange\n" in part]
+    by_document = [e for e in exchanges if "hashpartitioning(doc_id" in e]
+    assert by_document and all("text#" not in e and "tokens#" not in e for e in exchanges)
