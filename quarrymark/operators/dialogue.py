@@ -31,6 +31,8 @@ NEGATIONS = "no not never nor none cannot without except unless neither".split()
 RESTRICTIONS = "for if only unless when within during after before without".split()
 
 WORD = r"[A-Za-z0-9]+(?:['’\-][A-Za-z0-9]+)*"
+# a request head, possibly after hesitation and greetings
+HEAD = r"(?i)^(?:[^A-Za-z0-9]*\b(?:" + "|".join(FILLERS + GREETINGS + CONTINUERS) + r")\b)*[^A-Za-z0-9]*(?:" + "|".join(REQUEST_HEADS) + r")\b"
 SUPPRESSED = {"PRESENTATION": 0.9, "SOCIAL": 0.85, "BACKCHANNEL": 0.9, "META": 0.85}
 
 
@@ -69,7 +71,7 @@ def act(text: Column, anchored: Column) -> Column:
 
 def build_query(text: Column) -> Column:
     """Fillers, leading greetings and request heads, and trailing function words removed; negations never are."""
-    headless = F.regexp_replace(text, r"(?i)^\W*(?:" + "|".join(REQUEST_HEADS) + r")\b", "")
+    headless = F.regexp_replace(text, HEAD, "")
     kept = F.filter(F.regexp_extract_all(headless, F.lit(WORD), 0), lambda w: ~F.lower(w).isin(FILLERS))
 
     def trim(ws: Column) -> Column:

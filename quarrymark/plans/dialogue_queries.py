@@ -78,8 +78,7 @@ def dialogue_acts(t):
     return turns(t).select("conv_id", "turn", dg.act(F.col("text"), F.col("n_anchors") > 0).alias("act"), "n_anchors")
 
 
-_HEADS = "(?i)^[^A-Za-z0-9_]*(?:" + "|".join(dg.REQUEST_HEADS) + ")\\b"
-_KEPT = f"list_filter(regexp_extract_all(regexp_replace(text, '{_HEADS}', ''), '[A-Za-z0-9]+(?:[''’\\-][A-Za-z0-9]+)*'), lambda w: lower(w) NOT IN {_L(dg.FILLERS)})"
+_KEPT = f"list_filter(regexp_extract_all(regexp_replace(text, '{dg.HEAD}', ''), '[A-Za-z0-9]+(?:[''’\\-][A-Za-z0-9]+)*'), lambda w: lower(w) NOT IN {_L(dg.FILLERS)})"
 
 
 @named(
