@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrymark.llm import quality_rules
+from quarrymark.llm import histogram_sort, mixing, quality_rules, quotation
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,7 +15,22 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(_table(spark, sf_dir, "documents"))
 
 
+def op2_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return histogram_sort.manifest(_table(spark, sf_dir, "documents"))
+
+
+def op5_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotation.conversations_in_reply_order(_table(spark, sf_dir, "conversations"))
+
+
+def op8_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_histogram_sort": op2_histogram_sort,
+    "op5_quotation_linking": op5_quotation_linking,
+    "op8_pfair_mixing": op8_pfair_mixing,
     "op7_quality_rules": op7_quality_rules,
 }
 
