@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrymark.llm import histogram_sort, mixing, quality_rules, quotation
+from quarrymark.llm import decontamination, histogram_sort, mixing, quality_rules, quotation, warc_bundles
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,10 +15,18 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(_table(spark, sf_dir, "documents"))
 
 
+def op1_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_bundles.digests(_table(spark, sf_dir, "pages"))
+
+
 def op2_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_sort.manifest(_table(spark, sf_dir, "documents"))
 
 
+def op3_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.digests(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotation.conversations_in_reply_order(_table(spark, sf_dir, "conversations"))
 
@@ -28,10 +36,28 @@ def op8_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc_bundles": op1_warc_bundles,
     "op2_histogram_sort": op2_histogram_sort,
+    "op3_fm_index_decontamination": op3_fm_index_decontamination,
     "op5_quotation_linking": op5_quotation_linking,
     "op8_pfair_mixing": op8_pfair_mixing,
     "op7_quality_rules": op7_quality_rules,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_warc_bundles": """
+        WITH payloads AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+            FROM pages
+        ), keepers AS (
+            SELECT payload_digest, max(page_id) AS keeper
+            FROM payloads WHERE payload_bytes >= 1000 GROUP BY payload_digest
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN page_id IS DISTINCT FROM keeper AND keeper IS NOT NULL THEN 'revisit' ELSE 'response' END
+                   AS record_type,
+               CASE WHEN page_id IS DISTINCT FROM keeper THEN keeper END AS refers_to,
+               true AS intact
+        FROM payloads LEFT JOIN keepers USING (payload_digest)
+    """,
+}
