@@ -4,13 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrymark.llm import decontamination, histogram_sort, mixing, quality_rules, quotation, warc_bundles
+from quarrymark.llm import (
+    decontamination,
+    histogram_sort,
+    mixing,
+    pii_anchors,
+    quality_rules,
+    quotation,
+    trigram_secrets,
+    warc_bundles,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op6_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trigram_secrets.digests(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(_table(spark, sf_dir, "documents"))
 
@@ -27,6 +40,10 @@ def op3_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digests(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_anchors.digests(_table(spark, sf_dir, "documents"))
+
+
 def op5_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotation.conversations_in_reply_order(_table(spark, sf_dir, "conversations"))
 
@@ -39,8 +56,10 @@ QUERIES = {
     "op1_warc_bundles": op1_warc_bundles,
     "op2_histogram_sort": op2_histogram_sort,
     "op3_fm_index_decontamination": op3_fm_index_decontamination,
+    "op4_pii_anchors": op4_pii_anchors,
     "op5_quotation_linking": op5_quotation_linking,
     "op8_pfair_mixing": op8_pfair_mixing,
+    "op6_trigram_secrets": op6_trigram_secrets,
     "op7_quality_rules": op7_quality_rules,
 }
 
