@@ -11,6 +11,7 @@ from quarrymark.llm import (
     pii_anchors,
     quality_rules,
     quotation,
+    simhash,
     trigram_secrets,
     warc_bundles,
 )
@@ -52,6 +53,10 @@ def op8_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents"))
 
 
+def op10_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_warc_bundles": op1_warc_bundles,
     "op2_histogram_sort": op2_histogram_sort,
@@ -59,6 +64,7 @@ QUERIES = {
     "op4_pii_anchors": op4_pii_anchors,
     "op5_quotation_linking": op5_quotation_linking,
     "op8_pfair_mixing": op8_pfair_mixing,
+    "op10_simhash_pigeonring": op10_simhash_pigeonring,
     "op6_trigram_secrets": op6_trigram_secrets,
     "op7_quality_rules": op7_quality_rules,
 }
