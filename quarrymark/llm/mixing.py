@@ -159,3 +159,9 @@ def mixed(
         (slot * block + F.col("seq") % block).alias("position"),
         F.coalesce(slot <= F.lit(end), F.lit(False)).alias("in_mix"),
     )
+
+
+def taken(docs: DataFrame, target: dict[str, float] | None = None, flatten: float = FLATTEN) -> DataFrame:
+    """The documents that the mix takes, with the columns they came with; rows of one id go together."""
+    plan = mixed(docs, target, flatten=flatten).where("in_mix").select(F.col("doc_id").alias("__mix_id"))
+    return docs.join(plan.distinct(), docs["doc_id"].eqNullSafe(F.col("__mix_id")), "left_semi")

@@ -12,6 +12,7 @@ from quarrymark.llm import (
     quality_rules,
     quotation,
     simhash,
+    template_html,
     trigram_secrets,
     warc_bundles,
 )
@@ -53,6 +54,10 @@ def op8_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents"))
 
 
+def op9_html_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_html.extracted(_table(spark, sf_dir, "pages"))
+
+
 def op10_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digests(_table(spark, sf_dir, "documents"))
 
@@ -64,6 +69,7 @@ QUERIES = {
     "op4_pii_anchors": op4_pii_anchors,
     "op5_quotation_linking": op5_quotation_linking,
     "op8_pfair_mixing": op8_pfair_mixing,
+    "op9_html_templates": op9_html_templates,
     "op10_simhash_pigeonring": op10_simhash_pigeonring,
     "op6_trigram_secrets": op6_trigram_secrets,
     "op7_quality_rules": op7_quality_rules,
