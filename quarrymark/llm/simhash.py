@@ -76,7 +76,9 @@ def grouped(docs: DataFrame) -> DataFrame:
     joined = distinct.join(linked, "fp")
     least = joined.groupBy("label").agg(F.min("first").alias("smallest"))
     named = joined.join(least, "label").select("fp", "smallest")
-    final = distinct.join(named, "fp", "left").select("fp", F.coalesce("smallest", "first").alias("component_id"))
+    membership = distinct.join(named, "fp", "left").select("fp", F.coalesce("smallest", "first").alias("component_id"))
+    # read again, so that Spark can split a fingerprint with very many copies in the last join
+    final = written(membership, "membership")
     return rows.join(final, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
