@@ -253,7 +253,9 @@ def read(index: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _RECORDS, strict=True)], schema=_RECORDS)
 
     asked = index.select("bundle", "frame", "offset", "length")
-    by_frame = asked.repartition("bundle", "frame").sortWithinPartitions("bundle", "frame", "offset")
+    # a stated number of partitions: the index is small, but what its rows make a task read is not
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_frame = asked.repartition(tasks, "bundle", "frame").sortWithinPartitions("bundle", "frame", "offset")
     return by_frame.mapInArrow(unpack, RECORDS)
 
 
