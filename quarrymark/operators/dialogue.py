@@ -6,12 +6,11 @@ Rules over word arrays of one utterance; corpus statistics come in by joins on t
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymark.config import CONTROLLER, FUSION
 from quarrymark.functions.text import let
-from quarrymark.operators.rank import top_k
 
 # Small closed word classes of spoken English.
 FILLERS = "um uh er erm hmm basically actually anyway".split()
@@ -227,9 +226,16 @@ def intent_scores(drafts: DataFrame, norm: Column) -> DataFrame:
     )
 
 
+def budgeted(scored: DataFrame, k: int = FUSION.max_intents) -> DataFrame:
+    """Every intent of an utterance with its priority and outcome: ``kept``, or ``over_budget`` from rank k + 1 on."""
+    order = Window.partitionBy("session", "utterance").orderBy(F.col("priority_score").desc(), "ord")
+    placed = scored.withColumn("priority", F.row_number().over(order))
+    return placed.withColumn("outcome", F.when(F.col("priority") <= k, "kept").otherwise("over_budget"))
+
+
 def within_budget(scored: DataFrame, k: int = FUSION.max_intents) -> DataFrame:
-    """The best intents of an utterance with their priority; the rest is dropped by rank, with the rank as reason."""
-    return top_k(scored, ["session", "utterance"], F.col("priority_score").desc(), F.col("ord").asc(), k=k, name="priority")
+    """The intents that the budget keeps."""
+    return budgeted(scored, k).where("outcome = 'kept'").drop("outcome")
 
 
 def intent_relations(intents: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrymark.operators.ordered import Split
+from quarrymark.session import durable
 
 
 def micros(ts: Column) -> Column:
@@ -64,13 +65,31 @@ def orphans(nodes: DataFrame, key: str, parent: str) -> DataFrame:
     return nodes.where(F.col(parent).isNotNull()).join(ids, parent, "left_anti")
 
 
-def roots(nodes: DataFrame, key: str, parent: str, depth: int = 8) -> DataFrame:
-    """(key, root, hops): follow parents by pointer doubling; 2^rounds hops suffice for ``depth``."""
-    links = nodes.select(F.col(key).alias("k"), F.coalesce(parent, key).alias("up"), F.when(F.col(parent).isNull(), 0).otherwise(1).alias("hops"))
-    rounds = max(1, (depth - 1).bit_length())
-    for _ in range(rounds):
+def roots(nodes: DataFrame, key: str, parent: str) -> DataFrame:
+    """(key, root, hops): parents are followed by pointer doubling until no row moves.
+
+    Each round doubles the hops behind a pointer and is cut off by a checkpoint.  A chain of n nodes settles in log2(n) rounds; what
+    still moves after that runs in a circle and gets no root.
+    """
+    links = nodes.select(
+        F.col(key).alias("k"),
+        F.coalesce(parent, key).alias("up"),
+        F.when(F.col(parent).isNull(), 0).otherwise(1).cast("long").alias("hops"),
+        F.col(parent).isNotNull().alias("open"),
+    )
+    links = durable(links)
+    rounds = max(links.count(), 1).bit_length() + 1
+    while rounds and not links.where("open").isEmpty():
         above = links.select(F.col("k").alias("up"), F.col("up").alias("up2"), F.col("hops").alias("more"))
-        links = links.join(above, "up", "left").select(
-            "k", F.coalesce("up2", "up").alias("up"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops")
+        steps = links.join(above, "up", "left")
+        links = durable(
+            steps.select(
+                "k",
+                F.coalesce("up2", "up").alias("up"),
+                (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"),
+                (F.coalesce("more", F.lit(0)) > 0).alias("open"),
+            )
         )
-    return links.select(F.col("k").alias(key), F.col("up").alias("root"), "hops")
+        rounds -= 1
+    root, hops = (F.when(~F.col("open"), F.col(c)) for c in ("up", "hops"))
+    return links.select(F.col("k").alias(key), root.alias("root"), hops.alias("hops"))

@@ -42,16 +42,32 @@ def lineage(queries: DataFrame, key: str, order: str, bucket: Column, terms: str
     )
 
 
-def recent_similarity(queries: DataFrame, key: str, order: str, bucket: Column, reach: int = 6, terms: str = "terms"):
-    """Highest Jaccard of every query to the ``reach`` queries before it, and which one that was."""
-    placed = Split([key], [order], bucket).position(queries.select(key, order, terms), "pos")
-    back = placed.select(key, order, F.col(terms).alias("mine"), F.explode(F.expr(f"sequence(pos - {reach}, pos - 1)")).alias("pos"))
-    earlier = placed.select(key, "pos", F.col(order).alias("other"), F.col(terms).alias("theirs"))
-    sims = back.join(earlier, [key, "pos"], "left").withColumn(
-        "s", F.when(F.col("other").isNull(), 0.0).otherwise(jaccard(F.col("mine"), F.col("theirs")))
+def recent_similarity(queries: DataFrame, key: str, order: str, terms: str = "terms", least: float = 0.0) -> DataFrame:
+    """Highest Jaccard of every query to all earlier ones of its key that is at least ``least``, and which one that was.
+
+    Queries meet on shared terms only.  Sets that reach ``least`` share a term among the first ``n - ceil(least * n) + 1`` of each in
+    any common order, so only those terms are looked up, and only sets of fitting sizes are counted.  Empty sets equal each other.
+    """
+    listed = F.when(F.size(terms) == 0, F.array(F.lit(""))).otherwise(F.array_sort(F.array_distinct(terms)))
+    sets = queries.select(key, order, listed.alias("_set")).withColumn("_n", F.size("_set"))
+    head = F.slice("_set", 1, F.least(F.col("_n") - F.ceil(F.lit(least) * F.col("_n")) + 1, F.col("_n")).cast("int"))
+    asked = sets.select(key, order, "_set", "_n", F.explode(head).alias("_term"))
+    known = asked.select(
+        key, "_term", F.col(order).alias("_other"), F.col("_set").alias("_their_set"), F.col("_n").alias("_their_n")
+    )
+    fits = F.least("_n", "_their_n") >= F.lit(least) * F.greatest("_n", "_their_n")
+    met = asked.join(known, [key, "_term"]).where((F.col("_other") < F.col(order)) & fits)
+    # a pair meets once for every looked-up term: only its first is scored
+    shared = F.array_intersect("_set", "_their_set")
+    first = met.withColumn("_shared", shared).where(F.col("_term") == F.get("_shared", F.lit(0)))
+    common = F.size("_shared")
+    scored = first.withColumn("_s", common / (F.col("_n") + F.col("_their_n") - common)).where(F.col("_s") >= least)
+    best = scored.groupBy(key, order).agg(
+        F.max("_s").alias("_top"), F.max_by("_other", F.struct(F.col("_s"), -F.col("_other"))).alias("most_similar")
+    )
+    return queries.select(key, order).join(best, [key, order], "left").select(
+        key, order, F.round(F.coalesce("_top", F.lit(0.0)), 6).alias("similarity"), "most_similar"
     )
-    best = F.when(F.max("s") > 0, F.max_by("other", F.struct("s", -F.col("pos"))))
-    return sims.groupBy(key, order).agg(F.round(F.max("s"), 6).alias("similarity"), best.alias("most_similar"))
 
 
 def semantic_key(terms: Column, index: str, options: str) -> Column:
@@ -157,7 +173,7 @@ def version_diff(old: DataFrame, new: DataFrame, keys: list[str], value: str) ->
     return a.join(b, keys, "full_outer").withColumn("change", kind)
 
 
-def components(edges: DataFrame, rounds: int = 40, left: str = "a", right: str = "b") -> DataFrame:
+def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """(node, group): connected components, named after their smallest node.
 
     Large-star and small-star steps alternate: each rewires nodes to the smallest neighbour they know.  Every step keeps at most
@@ -167,7 +183,7 @@ def components(edges: DataFrame, rounds: int = 40, left: str = "a", right: str =
     pairs = edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v"))
     start = links = durable(pairs.distinct())
     links = links.where("u <> v")
-    for _ in range(rounds):
+    while True:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
         # large star: neighbours above u move to the smallest node u knows
@@ -181,7 +197,5 @@ def components(edges: DataFrame, rounds: int = 40, left: str = "a", right: str =
         links = after
         if not moved:
             break
-    else:
-        raise RuntimeError("components did not settle")
     nodes = start.select(F.col("u").alias("node")).union(start.select("v")).distinct()
     return nodes.join(links.withColumnRenamed("u", "node"), "node", "left").select("node", F.coalesce("v", "node").alias("group"))

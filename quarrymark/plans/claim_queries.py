@@ -232,7 +232,7 @@ def claim_diff_by_key(t):
 
 # --- conflicts between sources ----------------------------------------------------------------------------------
 
-_FACT = "(\\d+(?:[.,]\\d+)?)[ ]?(\\p{L}{3,}|%)"
+_FACT = "(\\d+(?:[.,]\\d+)?)[ ]?(\\p{L}+|%)"
 
 
 def number_facts(t):
@@ -241,7 +241,7 @@ def number_facts(t):
     facts = F.arrays_zip(
         F.regexp_extract_all("line", F.lit(_FACT), 1).alias("v"), F.regexp_extract_all("line", F.lit(_FACT), 2).alias("u")
     )
-    words = F.array_distinct(F.filter(tx.analyse(F.col("line")), lambda w: (F.length(w) > 3) & ~w.rlike(r"\d")))
+    words = F.array_distinct(F.filter(tx.analyse(F.col("line")), lambda w: ~w.rlike(r"\d")))
     rows = lines.select("doc_id", words.alias("ws"), F.explode(facts).alias("f"))
     return rows.select(
         "doc_id", vx.unit_name(F.col("f.u")).alias("unit"), vx.plain(F.col("f.v")).alias("value"), F.explode("ws").alias("word")
@@ -251,7 +251,7 @@ def number_facts(t):
 _UNIT_SQL = "CASE " + " ".join(f"WHEN lower(u) LIKE '{a}%' THEN '{b}'" for a, b in vx._UNITS) + " ELSE lower(u) END"
 FACTS = (
     "ll AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), "
-    f"fz AS (SELECT doc_id, list_distinct(list_filter({sql_terms('line')}, lambda w: length(w) > 3 AND NOT regexp_matches(w, '\\d'))) AS ws, unnest(list_zip(regexp_extract_all(line, '{_FACT}', 1), regexp_extract_all(line, '{_FACT}', 2))) AS z FROM ll WHERE regexp_matches(line, '\\d')), "
+    f"fz AS (SELECT doc_id, list_distinct(list_filter({sql_terms('line')}, lambda w: NOT regexp_matches(w, '\\d'))) AS ws, unnest(list_zip(regexp_extract_all(line, '{_FACT}', 1), regexp_extract_all(line, '{_FACT}', 2))) AS z FROM ll WHERE regexp_matches(line, '\\d')), "
     f"fy AS (SELECT doc_id, ws, z[1] AS v, z[2] AS u FROM fz), fx AS (SELECT doc_id, {_UNIT_SQL} AS unit, regexp_replace(replace(v, ',', '.'), '\\.0$', '') AS value, unnest(ws) AS word FROM fy), facts AS (SELECT * FROM fx WHERE word <> unit)"
 )
 

@@ -227,11 +227,11 @@ def document_ids(t):
 
 @named(
     "index_headers",
-    "SELECT doc_id, array_to_string(CASE WHEN lang = source THEN [lang] ELSE [lang, source] END, ' > ') || ': ' || left(regexp_replace(text, '\\s+', ' ', 'g'), 40) AS header, len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS n_words FROM documents",
+    "SELECT doc_id, array_to_string(CASE WHEN lang = source THEN [lang] ELSE [lang, source] END, ' > ') || ': ' || regexp_replace(text, '\\s+', ' ', 'g') AS header, len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS n_words FROM documents",
 )
 def index_headers(t):
     header = corpus.index_header(F.col("lang"), F.array("source", "source"))
-    start = F.left(F.regexp_replace("text", r"\s+", " "), F.lit(40))
+    start = F.regexp_replace("text", r"\s+", " ")
     return texts(t, "lang", "source").select(
         "doc_id",
         F.concat(header, F.lit(": "), start).alias("header"),

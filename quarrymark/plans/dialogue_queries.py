@@ -94,7 +94,7 @@ def built_queries(t):
 _SIM = (
     "n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM (SELECT conv_id, turn, list_distinct(" + sql_terms("text") + ") AS terms FROM conversations)), "
     "sm AS (SELECT a.conv_id, a.turn, round(max(CASE WHEN b.turn IS NULL THEN 0.0 WHEN len(list_distinct(list_concat(a.terms, b.terms))) = 0 THEN 1.0 ELSE len(list_intersect(a.terms, b.terms)) / len(list_distinct(list_concat(a.terms, b.terms))) END), 6) AS similarity "
-    "FROM n a LEFT JOIN n b ON b.conv_id = a.conv_id AND b.pos BETWEEN a.pos - 6 AND a.pos - 1 GROUP BY ALL)"
+    "FROM n a LEFT JOIN n b ON b.conv_id = a.conv_id AND b.pos < a.pos GROUP BY ALL)"
 )
 _DECIDE = (
     f"{SAID}, {_SIM}, x AS (SELECT c.conv_id, c.turn, c.text, {act_sql('c.text', '(coalesce(s.n_anchors, 0) > 0)')} AS act, coalesce(s.n_terms, 0) AS n_terms, coalesce(s.n_anchors, 0) AS n_anchors, least(1.0, coalesce(s.max_idf, 0) / norm.norm) AS strength, 1 - m.similarity AS novelty FROM conversations c LEFT JOIN st s USING (conv_id, turn) JOIN sm m USING (conv_id, turn) CROSS JOIN norm), "
@@ -110,7 +110,7 @@ _DECIDE = (
 def controller_final(t):
     """The decision at the end of every utterance."""
     rows = turns(t).withColumn("act", dg.act(F.col("text"), F.col("n_anchors") > 0))
-    sims = state.recent_similarity(t.conversations.select("conv_id", "turn", tx.terms(F.col("text")).alias("terms")), "conv_id", "turn", turn_bucket())
+    sims = state.recent_similarity(t.conversations.select("conv_id", "turn", tx.terms(F.col("text")).alias("terms")), "conv_id", "turn", least=1 - CONTROLLER.novelty_threshold)
     full = rows.withColumn("persistence", F.lit(1.0)).withColumn("final", F.lit(True)).join(sims, ["conv_id", "turn"])
     judged = dg.signals(full, anchor_norm(t))
     _, reason = dg.gate(1 - F.col("similarity"))
@@ -210,9 +210,16 @@ def intent_scores(t):
     return scored_intents(t).select("session", "utterance", "ord", "role", "confidence", "priority_score")
 
 
-@named("intent_budget", f"WITH {DRAFTS} SELECT session, utterance, ord, priority, sha1(clause) AS digest FROM kept")
+@named(
+    "intent_budget",
+    f"WITH {DRAFTS} SELECT session, utterance, ord, row_number() OVER (PARTITION BY session, utterance ORDER BY priority_score DESC, ord) AS priority, sha1(clause) AS digest, "
+    "CASE WHEN row_number() OVER (PARTITION BY session, utterance ORDER BY priority_score DESC, ord) <= 4 THEN 'kept' ELSE 'over_budget' END AS outcome FROM sc",
+)
 def intent_budget(t):
-    return dg.within_budget(scored_intents(t)).select("session", "utterance", "ord", "priority", F.sha1("clause").alias("digest"))
+    """Every need with its priority; those beyond the budget stay visible with the reason."""
+    return dg.budgeted(scored_intents(t)).select(
+        "session", "utterance", "ord", "priority", F.sha1("clause").alias("digest"), "outcome"
+    )
 
 
 @named(

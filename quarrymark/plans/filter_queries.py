@@ -101,14 +101,13 @@ def supersession_agreed(t):
     "authority_rank",
     f"WITH {_CLAIMS}, a AS (SELECT d.document_id, d.o_custkey, round((CASE WHEN g.old IS NULL THEN CASE d.status WHEN 'draft' THEN 0.4 WHEN 'archived' THEN 0.2 ELSE 1.0 END ELSE least(0.2, CASE d.status WHEN 'draft' THEN 0.4 WHEN 'archived' THEN 0.2 ELSE 1.0 END) END) "
     "* CASE d.doc_type WHEN 'policy' THEN 1.0 WHEN 'annex' THEN 0.9 WHEN 'catalogue' THEN 0.8 WHEN 'notice' THEN 0.7 ELSE 0.6 END, 4) AS authority FROM dated d LEFT JOIN agreed g ON g.old = d.document_id) "
-    "SELECT o_custkey, document_id, CAST(authority AS DOUBLE) AS authority, rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY authority DESC, document_id) AS rank FROM a) WHERE rank <= 3",
+    "SELECT o_custkey, document_id, CAST(authority AS DOUBLE) AS authority FROM a",
 )
 def authority_rank(t):
     agreed = filters.agreed_supersession(order_claims(t)).select(F.col("old").cast("long").alias("document_id"), F.lit(True).alias("gone"))
     rows = dated(t).join(agreed, "document_id", "left")
     score = filters.authority(F.col("status"), F.col("doc_type"), F.coalesce("gone", F.lit(False)))
-    scored = rows.select("o_custkey", "document_id", score.alias("authority"))
-    return top_k(scored, ["o_custkey"], F.col("authority").desc(), F.col("document_id").asc(), k=3)
+    return rows.select("o_custkey", "document_id", score.alias("authority"))
 
 
 @named(

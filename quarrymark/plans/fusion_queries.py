@@ -87,7 +87,7 @@ def rrf_hybrid(t):
     "pool_merge_scores",
     f"WITH {RRF}, pool AS (SELECT qid, doc_id, 1.0 / (60 + rank) AS s, 'lexical' AS o FROM ranked UNION ALL SELECT qid, doc_id, 1.0 / (60 + rank), 'vector' FROM vranked "
     "UNION ALL SELECT qid, doc_id, 1.0 / (60 + rank), 'hybrid' FROM hybrid WHERE rank <= 10) "
-    "SELECT qid, doc_id, round(sum(s), 9) AS score, count(*) AS n_lists FROM pool GROUP BY ALL HAVING count(*) > 1",
+    "SELECT qid, doc_id, round(sum(s), 9) AS score, count(*) AS n_lists FROM pool GROUP BY ALL",
 )
 def pool_merge_scores(t):
     """Union of several searches; the score of an item accumulates over all lists that found it."""
@@ -99,7 +99,6 @@ def pool_merge_scores(t):
         .unionByName(both)
         .groupBy("qid", "doc_id")
         .agg(F.round(F.sum(F.lit(1.0) / (F.lit(60) + F.col("rank"))), 9).alias("score"), F.count(F.lit(1)).alias("n_lists"))
-        .where("n_lists > 1")
     )
 
 

@@ -25,9 +25,9 @@ def tok_counts(t):
     )
 
 
-@named("term_freq", f"WITH {POSTINGS} SELECT doc_id, term, tf FROM posts WHERE tf >= 5")
+@named("term_freq", f"WITH {POSTINGS} SELECT doc_id, term, tf FROM posts")
 def term_freq(t):
-    return lexical.postings(t.documents).where("tf >= 5").select("doc_id", "term", "tf")
+    return lexical.postings(t.documents).select("doc_id", "term", "tf")
 
 
 @named("doc_freq", f"WITH {POSTINGS} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM posts GROUP BY term")

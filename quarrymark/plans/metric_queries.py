@@ -270,27 +270,33 @@ def difficulty_points(t):
     return rows.select("qid", points.alias("points")).withColumn("difficulty", metrics.difficulty(F.col("points")))
 
 
-_SH = "list_distinct(list_transform(range(1, len(ws) - 6), lambda i: array_to_string(ws[i:i + 7], ' ')))"
-
-
 @named(
     "leakage_ngrams",
-    "WITH b AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS ws FROM benchmark), d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS ws FROM documents), "
-    f"bs AS (SELECT item_id, unnest({_SH}) AS s FROM b), ds AS (SELECT DISTINCT unnest({_SH}) AS s FROM d), l AS (SELECT bs.item_id, bs.s IN (SELECT s FROM ds) AS seen FROM bs) "
-    "SELECT item_id, count(*) AS n_runs, count(*) FILTER (WHERE seen) AS n_seen FROM l GROUP BY item_id",
+    "WITH b AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS ws FROM benchmark), d AS (SELECT regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS ws FROM documents), "
+    "z AS (SELECT DISTINCT least(len(ws), 8) AS n FROM b WHERE len(ws) > 0), "
+    "bs AS (SELECT item_id, unnest(list_distinct(list_transform(range(1, len(ws) - least(len(ws), 8) + 2), lambda i: array_to_string(ws[i:i + least(len(ws), 8) - 1], ' ')))) AS s FROM b WHERE len(ws) > 0), "
+    "ds AS (SELECT DISTINCT unnest(list_transform(range(1, len(ws) - n + 2), lambda i: array_to_string(ws[i:i + n - 1], ' '))) AS s FROM d CROSS JOIN z WHERE len(ws) >= n), "
+    "l AS (SELECT bs.item_id, bs.s IN (SELECT s FROM ds) AS seen FROM bs) "
+    "SELECT b.item_id, count(l.seen) AS n_runs, count(*) FILTER (WHERE l.seen) AS n_seen FROM b LEFT JOIN l USING (item_id) GROUP BY b.item_id",
 )
 def leakage_ngrams(t):
-    """Eight-word runs of every passage that also occur in the documents."""
+    """Eight-word runs of every passage that also occur in the documents; a shorter passage is one run."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), 0).alias("ws")
+    items = t.benchmark.select("item_id", words).withColumn("n", F.least(F.size("ws"), F.lit(8)))
 
-    def runs(df, key):
-        words = spread(df.select(key, "text"), key).select(key, F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), 0).alias("ws"))
-        every = F.transform(F.sequence(F.lit(1), F.size("ws") - 7), lambda i: F.array_join(F.slice(F.col("ws"), i, 8), " "))
-        return words.where(F.size("ws") >= 8).select(key, F.explode(F.array_distinct(every)).alias("s"))
+    def runs(n):
+        return F.transform(F.sequence(F.lit(1), F.size("ws") - n + 1), lambda i: F.array_join(F.slice(F.col("ws"), i, n), " "))
 
-    wanted = runs(t.benchmark, "item_id")
-    seen = runs(t.documents, "doc_id").select("s").join(wanted.select("s").distinct(), "s", "left_semi").distinct()
+    wanted = items.where("n > 0").select("item_id", F.explode(F.array_distinct(runs(F.col("n")))).alias("s"))
+    lengths = items.where("n > 0").select("n").distinct()  # eight rows at most
+    docs = spread(t.documents.select("doc_id", "text"), "doc_id").select(words).join(lengths, F.size("ws") >= F.col("n"))
+    seen = docs.select(F.explode(runs(F.col("n"))).alias("s")).join(wanted.select("s").distinct(), "s", "left_semi").distinct()
     marked = wanted.join(seen.withColumn("seen", F.lit(True)), "s", "left")
-    return marked.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_runs"), F.count_if("seen").alias("n_seen"))
+    counts = marked.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_runs"), F.count_if("seen").alias("n_seen"))
+    zero = F.lit(0).cast("long")
+    return items.join(counts, "item_id", "left").select(
+        "item_id", F.coalesce("n_runs", zero).alias("n_runs"), F.coalesce("n_seen", zero).alias("n_seen")
+    )
 
 
 # --- matching of needs ------------------------------------------------------------------------------------------

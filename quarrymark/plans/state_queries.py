@@ -167,19 +167,18 @@ def ledger_lineage(t):
     "recent_similarity",
     f"WITH {TURNS}, n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM q), s AS (SELECT a.conv_id, a.turn, b.turn AS other, b.pos AS bp, "
     "CASE WHEN b.turn IS NULL THEN 0.0 WHEN len(list_distinct(list_concat(a.terms, b.terms))) = 0 THEN 1.0 ELSE len(list_intersect(a.terms, b.terms)) / len(list_distinct(list_concat(a.terms, b.terms))) END AS s "
-    "FROM n a LEFT JOIN n b ON b.conv_id = a.conv_id AND b.pos BETWEEN a.pos - 6 AND a.pos - 1) "
+    "FROM n a LEFT JOIN n b ON b.conv_id = a.conv_id AND b.pos < a.pos) "
     "SELECT conv_id, turn, round(max(s), 6) AS similarity, CASE WHEN max(s) > 0 THEN arg_max(other, (s, -bp)) END AS most_similar FROM s GROUP BY ALL",
 )
 def recent_similarity(t):
-    return state.recent_similarity(session_queries(t), "conv_id", "turn", turn_bucket())
+    return state.recent_similarity(session_queries(t), "conv_id", "turn")
 
 
-KEYS = f"{TURNS}, k AS (SELECT conv_id, turn, terms, left(sha1('documents|k=10|' || array_to_string(list_sort(terms), ' ')), 16) AS key FROM (SELECT conv_id, turn, list_sort(terms)[1:2] AS terms FROM q))"
+KEYS = f"{TURNS}, k AS (SELECT conv_id, turn, terms, left(sha1('documents|k=10|' || array_to_string(list_sort(terms), ' ')), 16) AS key FROM q)"
 
 
 def keyed(t):
-    short = session_queries(t).withColumn("terms", F.slice(F.array_sort("terms"), 1, 2))
-    return short.withColumn("key", state.semantic_key(F.col("terms"), "documents", "k=10")).drop("terms")
+    return session_queries(t).withColumn("key", state.semantic_key(F.col("terms"), "documents", "k=10")).drop("terms")
 
 
 @named(
@@ -187,7 +186,6 @@ def keyed(t):
     f"WITH {KEYS}, p AS (SELECT key, min((conv_id, turn)) AS src FROM k GROUP BY key) SELECT k.conv_id, k.turn, k.key, p.src[1] AS source_conv, p.src[2] AS source_turn, (k.conv_id, k.turn) > p.src AS hit FROM k JOIN p USING (key)",
 )
 def semantic_cache_hits(t):
-    """The two alphabetically first terms are the query here, so that keys repeat."""
     found = state.cache_lookup(keyed(t), "key", F.struct("conv_id", "turn"))
     return found.select(
         "conv_id", "turn", "key", F.col("source.conv_id").alias("source_conv"), F.col("source.turn").alias("source_turn"), "hit"
@@ -206,13 +204,13 @@ def delta_plan(t):
 
 @named(
     "semi_ledger_hit",
-    f"WITH {TURNS}, n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM q) SELECT a.conv_id, a.turn FROM n a WHERE EXISTS (SELECT 1 FROM n b WHERE b.conv_id = a.conv_id AND b.pos BETWEEN a.pos - 6 AND a.pos - 1 "
-    "AND len(list_intersect(a.terms, b.terms)) >= 0.2 * len(list_distinct(list_concat(a.terms, b.terms))))",
+    f"WITH {TURNS}, n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM q) SELECT a.conv_id, a.turn FROM n a WHERE EXISTS (SELECT 1 FROM n b WHERE b.conv_id = a.conv_id AND b.pos < a.pos "
+    "AND len(list_intersect(a.terms, b.terms)) >= 0.8 * len(list_distinct(list_concat(a.terms, b.terms))))",
 )
 def semi_ledger_hit(t):
-    """Turns that a query among the six before them answers well enough (Jaccard of at least 0.2 here)."""
-    sims = state.recent_similarity(session_queries(t), "conv_id", "turn", turn_bucket())
-    return sims.where(F.col("most_similar").isNotNull() & (F.col("similarity") >= 0.2)).select("conv_id", "turn")
+    """Turns that an earlier query of the conversation answers well enough (Jaccard of at least 0.8)."""
+    sims = state.recent_similarity(session_queries(t), "conv_id", "turn", least=0.8)
+    return sims.where("most_similar IS NOT NULL").select("conv_id", "turn")
 
 
 @named(
@@ -335,11 +333,11 @@ def drop_unconfirmed(t):
 
 @named(
     "entity_registry",
-    f"WITH {TURNS}, k AS (SELECT conv_id, turn, array_to_string(list_sort(terms)[1:2], ' ') AS key FROM q) SELECT key, min(conv_id) AS first_conv, max(conv_id) AS last_conv, count(*) AS n_mentions, count(DISTINCT conv_id) AS n_sessions FROM k GROUP BY key",
+    f"WITH {TURNS}, k AS (SELECT conv_id, turn, array_to_string(list_sort(terms), ' ') AS key FROM q) SELECT key, min(conv_id) AS first_conv, max(conv_id) AS last_conv, count(*) AS n_mentions, count(DISTINCT conv_id) AS n_sessions FROM k GROUP BY key",
 )
 def entity_registry(t):
-    """First and last session that named an entity (sorted leading terms)."""
-    key = F.array_join(F.slice(F.array_sort("terms"), 1, 2), " ")
+    """First and last session that named an entity (all its terms, sorted)."""
+    key = F.array_join(F.array_sort("terms"), " ")
     return session_queries(t).groupBy(key.alias("key")).agg(
         F.min("conv_id").alias("first_conv"),
         F.max("conv_id").alias("last_conv"),
@@ -350,11 +348,11 @@ def entity_registry(t):
 
 @named(
     "snapshot_versions",
-    "WITH s AS (SELECT conv_id, turn, sha1(role || left(text, 2)) AS h, lag(sha1(role || left(text, 2))) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations) SELECT conv_id, turn, CAST(sum(CASE WHEN p IS NULL OR p <> h THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS version FROM s",
+    "WITH s AS (SELECT conv_id, turn, sha1(role || text) AS h, lag(sha1(role || text)) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations) SELECT conv_id, turn, CAST(sum(CASE WHEN p IS NULL OR p <> h THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS version FROM s",
 )
 def snapshot_versions(t):
     """A new version only when the snapshot's digest changed."""
-    digest = F.sha1(F.concat("role", F.left("text", F.lit(2))))
+    digest = F.sha1(F.concat("role", "text"))
     split = Split(["conv_id"], ["turn"], turn_bucket())
     rows = split.lag(t.conversations.select("conv_id", "turn", digest.alias("h")), p="h")
     fresh = F.when(F.col("p").isNull() | (F.col("p") != F.col("h")), 1).otherwise(0).cast("long")

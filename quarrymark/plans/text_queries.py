@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarrymark.functions import text as tx
@@ -150,16 +151,16 @@ def acronym_mine(t):
 
 @named(
     "fixed_pairs",
-    "SELECT p[1] || ' and ' || p[2] AS pair, count(*) AS n FROM (SELECT unnest(list_zip(regexp_extract_all(lower(text), '(\\p{L}+) (?:and|&) (\\p{L}+)', 1), regexp_extract_all(lower(text), '(\\p{L}+) (?:and|&) (\\p{L}+)', 2))) AS p FROM documents) GROUP BY ALL HAVING count(*) >= 2",
+    "SELECT p[1] || ' and ' || p[2] AS pair, count(*) AS n FROM (SELECT unnest(list_zip(regexp_extract_all(lower(text), '(\\p{L}+) (?:and|&) (\\p{L}+)', 1), regexp_extract_all(lower(text), '(\\p{L}+) (?:and|&) (\\p{L}+)', 2))) AS p FROM documents) GROUP BY ALL",
 )
 def fixed_pairs(t):
-    """Coordinations said more than once; a request must not be split inside them."""
+    """Coordinations with the number of times they are said; a request must not be split inside a frequent one."""
     rx = F.lit(r"(\p{L}+) (?:and|&) (\p{L}+)")
     low = F.lower("text")
     pairs = F.zip_with(
         F.regexp_extract_all(low, rx, 1), F.regexp_extract_all(low, rx, 2), lambda a, b: F.concat_ws(" and ", a, b)
     )
-    return texts(t).select(F.explode(pairs).alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    return texts(t).select(F.explode(pairs).alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
 
 
 @named(
@@ -237,14 +238,24 @@ def analyser_full(t):
     return rows.select("doc_id", F.size("tokens").alias("n"), F.sha1(F.array_join(stem_terms("tokens"), " ")).alias("digest"))
 
 
+_SPAN_WORD = "[A-Za-z0-9]+(?:[''’\\-][A-Za-z0-9]+)*"
+
+
 @named(
     "span_words",
-    "SELECT conv_id, turn, len(regexp_extract_all(text, '[A-Za-z0-9]+(?:[''’\\-][A-Za-z0-9]+)*')) AS n_words, array_to_string(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+(?:[''’\\-][A-Za-z0-9]+)*')[1:5], lambda w: lower(w)), ' ') AS head FROM conversations",
+    f"WITH l AS (SELECT conv_id, turn, unnest(list_zip(range(0, len(ws)), ws, gaps[1:len(ws)])) AS z FROM (SELECT conv_id, turn, regexp_extract_all(text, '{_SPAN_WORD}') AS ws, string_split_regex(text, '{_SPAN_WORD}') AS gaps FROM conversations)), "
+    "p AS (SELECT conv_id, turn, z[1] AS pos, z[2] AS word, sum(length(z[3]) + length(z[2])) OVER (PARTITION BY conv_id, turn ORDER BY z[1]) AS stop FROM l) "
+    "SELECT conv_id, turn, pos, lower(word) AS word, CAST(stop - length(word) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM p",
 )
 def span_words(t):
-    words = F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9]+(?:['’\-][A-Za-z0-9]+)*"), 0)
-    return turns(t).select("conv_id", "turn", words.alias("w")).select(
-        "conv_id", "turn", F.size("w").alias("n_words"), F.lower(F.array_join(F.slice("w", 1, 5), " ")).alias("head")
+    """Every word of an utterance with its place: the text between two words is what splitting at the words leaves."""
+    rx = F.lit(r"[A-Za-z0-9]+(?:['’\-][A-Za-z0-9]+)*")
+    pieces = F.arrays_zip(F.regexp_extract_all("text", rx, 0).alias("word"), F.split("text", rx.cast("string")).alias("gap"))
+    rows = turns(t).select("conv_id", "turn", F.posexplode(pieces).alias("pos", "p")).where("p.word IS NOT NULL")
+    upto = Window.partitionBy("conv_id", "turn").orderBy("pos")  # one utterance
+    stop = F.sum(F.length("p.gap") + F.length("p.word")).over(upto)
+    return rows.select("conv_id", "turn", "pos", F.col("p.word").alias("raw"), stop.alias("stop")).select(
+        "conv_id", "turn", "pos", F.lower("raw").alias("word"), (F.col("stop") - F.length("raw")).alias("start"), "stop"
     )
 
 
