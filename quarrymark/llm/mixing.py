@@ -12,8 +12,8 @@ Documents are numbered inside their source by (hash range, hash, id): ranges are
 a source with a third of all rows is numbered by many tasks.
 
 Defined cases: null sources form one source of their own; weights that are given for sources without documents are ignored and
-missing ones count as zero, which leaves their documents out of the mix (slot null, in_mix false); equal ids keep an arbitrary
-but fixed order; an empty table gives an empty result; other columns are passed through or not read.
+missing ones count as zero, which leaves their documents out of the mix (slot null, in_mix false); equal ids, nulls among them,
+stand together in any order; an empty table gives an empty result; other columns are passed through or not read.
 """
 
 from __future__ import annotations
@@ -93,9 +93,12 @@ def schedule(weights: DataFrame) -> DataFrame:
 def _numbered(docs: DataFrame, key: str, source: str) -> DataFrame:
     """(doc_id, source, seq): documents numbered from 0 inside each source in hash order."""
     h = F.xxhash64(docs[key])
-    salt = F.when(docs[key].isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(h)
-    slim = docs.select(docs[key].alias("doc_id"), docs[source].alias("source"), salt.alias("h"))
-    rows = written(slim, "mix-rows").withColumn("cell", F.pmod(F.shiftright("h", 40), F.lit(CELLS)).cast("int"))
+    rows = docs.select(
+        docs[key].alias("doc_id"),
+        docs[source].alias("source"),
+        h.alias("h"),
+        F.pmod(F.shiftright(h, 40), F.lit(CELLS)).cast("int").alias("cell"),
+    )
     counts = rows.groupBy("source", "cell").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("source", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
@@ -120,8 +123,8 @@ def mixed(
     Without ``target``, a source of n documents weighs n ** flatten.  The mix lasts until the sources that the target favours
     (target share at least their natural share) have run out; what other sources have left over then is not taken.
     """
-    numbered = written(_numbered(docs, key, source), "mix-numbered")
-    counts = numbered.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    numbered = _numbered(docs, key, source)
+    counts = docs.select(docs[source].alias("source")).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     weights = written(_weights(counts, target, flatten, period), "mix-weights")
     plan = written(schedule(weights), "mix-schedule")
 
