@@ -10,28 +10,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymark.config import CONTROLLER, FUSION
-from quarrymark.functions.text import let
-
-# Small closed word classes of spoken English.
-FILLERS = "um uh er erm hmm basically actually anyway".split()
-QUESTION_WORDS = "what when where which who whom whose why how whether".split()
-AUX_FIRST = "can could does do did is are was were will would should may might must has have had".split()
-DANGLING = "the a an of to for in on at by with about from into onto and or but if that".split()
-GREETINGS = "thanks thank great cool hello hi hey bye".split()
-CONTINUERS = "okay ok right yeah yes yep sure mhm aha".split()
-LEADS = "and so but also then about like or".split()
-REWORK = "repeat rephrase shorten simplify summarize translate reformat".split()
-REWORK_OBJECTS = "that it this those them answer previous last please again shorter me you".split()
-ANAPHORA = "it its that this they them their those these one ones".split()
-REQUEST_HEADS = ["can you tell me", "i want to know", "i would like to know", "could you explain", "please tell me", "tell me"]
-META_PHRASES = ["which sources", "which documents", "what did i ask", "what was my question"]
-MORE_PHRASES = ["more details", "more detail", "tell me more", "elaborate"]
-NEGATIONS = "no not never nor none cannot without except unless neither".split()
-RESTRICTIONS = "for if only unless when within during after before without".split()
+from quarrymark.functions import lexicon
+from quarrymark.functions.text import GUARD_NEGATIONS, let
+
+FILLERS = "ah eh er erm hm hmm uh uhm um umm basically honestly literally".split()
+GREETINGS = "bye cheers goodbye great hello hey hi lovely morning thank thanks welcome".split()
+CONTINUERS = "aha alright fine mhm ok okay right sure yeah yep yes".split()
+QUESTION_WORDS = lexicon.ASKERS
+AUX_FIRST = lexicon.AUXILIARIES
+DANGLING = lexicon.ARTICLES + lexicon.PREPOSITIONS + lexicon.CONJUNCTIONS
+LEADS = lexicon.CONJUNCTIONS + ["about", "also", "now", "then"]
+REWORK = "repeat rephrase reword shorten simplify summarise summarize translate".split()
+REWORK_OBJECTS = lexicon.PERSONS + lexicon.POINTERS + "again answer please previous reply shorter simpler text".split()
+ANAPHORA = lexicon.POINTERS + "it its one ones they them their".split()
+REQUEST_HEADS = [
+    *lexicon.phrases("can you|could you|would you|will you|please|", "tell|show", "me"),
+    *lexicon.phrases("can you|could you|would you|please", "explain|describe"),
+    *lexicon.phrases("i", "want|need|would like", "to", "know|find out"),
+]
+META_PHRASES = [*lexicon.phrases("which|what", "sources|documents|references"), *lexicon.phrases("what did i", "ask|say")]
+MORE_PHRASES = ["more detail", "more details", "say more", *lexicon.phrases("tell|show", "me more")]
+NEGATIONS = GUARD_NEGATIONS
+RESTRICTIONS = "after before during except for if only unless until when while within without".split()
+CORRECTIONS = [*lexicon.phrases("i", "meant|mean", "instead|"), "scratch that", "no wait", "let me correct"]
 
 WORD = r"[A-Za-z0-9]+(?:['’\-][A-Za-z0-9]+)*"
 # a request head, possibly after hesitation and greetings
-HEAD = r"(?i)^(?:[^A-Za-z0-9]*\b(?:" + "|".join(FILLERS + GREETINGS + CONTINUERS) + r")\b)*[^A-Za-z0-9]*(?:" + "|".join(REQUEST_HEADS) + r")\b"
+HEAD = r"(?i)^(?:[^A-Za-z0-9]*\b(?:" + "|".join(FILLERS + GREETINGS + CONTINUERS) + r")\b)*[^A-Za-z0-9]*(?:" + lexicon.longest_first(REQUEST_HEADS) + r")\b"
 SUPPRESSED = {"PRESENTATION": 0.9, "SOCIAL": 0.85, "BACKCHANNEL": 0.9, "META": 0.85}
 
 
@@ -194,7 +199,7 @@ def clause_role(clause: Column) -> Column:
     ws = words(clause)
     first = F.coalesce(F.try_element_at(ws, F.lit(1)), F.lit(""))
     return (
-        F.when(has_phrase(clause, ["i meant", "scratch that", "no wait"]), "correction")
+        F.when(has_phrase(clause, CORRECTIONS), "correction")
         .when(clause.contains("?") | F.exists(ws, lambda w: w.isin(QUESTION_WORDS)) | first.isin(AUX_FIRST), "request")
         .when(has_phrase(clause, REQUEST_HEADS), "request")
         .when(first.isin(RESTRICTIONS), "constraint")

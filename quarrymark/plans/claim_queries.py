@@ -244,11 +244,12 @@ def number_facts(t):
     words = F.array_distinct(F.filter(tx.analyse(F.col("line")), lambda w: ~w.rlike(r"\d")))
     rows = lines.select("doc_id", words.alias("ws"), F.explode(facts).alias("f"))
     return rows.select(
-        "doc_id", vx.unit_name(F.col("f.u")).alias("unit"), vx.plain(F.col("f.v")).alias("value"), F.explode("ws").alias("word")
+        "doc_id", vx.unit_sign(F.col("f.u")).alias("unit"), vx.plain(F.col("f.v")).alias("value"), F.explode("ws").alias("word")
     ).where(F.col("word") != F.col("unit"))
 
 
-_UNIT_SQL = "CASE " + " ".join(f"WHEN lower(u) LIKE '{a}%' THEN '{b}'" for a, b in vx._UNITS) + " ELSE lower(u) END"
+_SINGLE = "regexp_replace(CASE WHEN length(u) > 2 AND lower(u) LIKE '%s' THEN left(lower(u), -1) ELSE lower(u) END, '(met|lit)re$', '\\1er')"
+_UNIT_SQL = f"CASE {_SINGLE} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in vx.UNIT_SIGNS.items()) + f" ELSE {_SINGLE} END"
 FACTS = (
     "ll AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), "
     f"fz AS (SELECT doc_id, list_distinct(list_filter({sql_terms('line')}, lambda w: NOT regexp_matches(w, '\\d'))) AS ws, unnest(list_zip(regexp_extract_all(line, '{_FACT}', 1), regexp_extract_all(line, '{_FACT}', 2))) AS z FROM ll WHERE regexp_matches(line, '\\d')), "

@@ -178,7 +178,7 @@ _OPEN = "|".join(dg.QUESTION_WORDS + dg.AUX_FIRST)
 _CUT = f"regexp_replace(regexp_replace(regexp_replace(text, '([.!?;])\\s+', '\\1' || chr(10), 'g'), '\\n+', chr(10), 'g'), '\\s+(?:and|plus|but)\\s+((?:{_OPEN})\\b)', chr(10) || '\\1', 'g')"
 _FIRST = _WORDS.format("clause") + "[1]"
 _ROLE = (
-    f"CASE WHEN {_phr('clause', ['i meant', 'scratch that', 'no wait'])} THEN 'correction' WHEN contains(clause, '?') OR {_any(_WORDS.format('clause'), dg.QUESTION_WORDS)} OR coalesce({_FIRST}, '') IN {_L(dg.AUX_FIRST)} THEN 'request' "
+    f"CASE WHEN {_phr('clause', dg.CORRECTIONS)} THEN 'correction' WHEN contains(clause, '?') OR {_any(_WORDS.format('clause'), dg.QUESTION_WORDS)} OR coalesce({_FIRST}, '') IN {_L(dg.AUX_FIRST)} THEN 'request' "
     f"WHEN {_phr('clause', dg.REQUEST_HEADS)} THEN 'request' WHEN coalesce({_FIRST}, '') IN {_L(dg.RESTRICTIONS)} THEN 'constraint' ELSE 'narrative' END"
 )
 DRAFTS = (

@@ -51,7 +51,7 @@ def redact_simple(t):
     "(SELECT doc_id, list_transform(regexp_extract_all(text, '" + _rx(vx.COUNT) + "', 1), lambda n: regexp_replace(replace(n, ',', '.'), '\\.0$', '')) AS ns FROM documents)) WHERE len(list_distinct_ordered) > 0",
 )
 def typed_values(t):
-    rows = texts(t).select("doc_id", vx.values_of(F.col("text"), "count").alias("v"))
+    rows = texts(t).select("doc_id", vx.typed_values(F.col("text"), "count").alias("v"))
     return rows.where(F.size("v") > 0).select("doc_id", F.array_join("v", ";").alias("vals"))
 
 
@@ -75,7 +75,7 @@ def typed_values_by_kind(t):
 
     def tagged(kind: str):
         return F.transform(
-            vx.values_of(F.col("text"), kind), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
+            vx.typed_values(F.col("text"), kind), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
         )
 
     each = F.flatten(F.array(*[tagged(k) for k in kinds]))
@@ -261,8 +261,7 @@ def span_words(t):
 
 @named(
     "counted_nouns",
-    "SELECT doc_id, len(regexp_extract_all(lower(text), '\\b(?:\\d+(?:[.,]\\d+)?|" + vx._WORDS + ")\\b((?:\\s+[\\p{L}\\p{N}_-]+){1,3})', 1)) AS n_counted FROM documents",
+    f"SELECT doc_id, len(regexp_extract_all(lower(text), '{vx.COUNTED}', 1)) AS n_counted FROM documents",
 )
 def counted_nouns(t):
-    rx = F.lit(rf"\b(?:\d+(?:[.,]\d+)?|{vx._WORDS})\b((?:\s+[\p{{L}}\p{{N}}_-]+){{1,3}})")
-    return texts(t).select("doc_id", F.size(F.regexp_extract_all(F.lower("text"), rx, 1)).alias("n_counted"))
+    return texts(t).select("doc_id", F.size(F.regexp_extract_all(F.lower("text"), F.lit(vx.COUNTED), 1)).alias("n_counted"))

@@ -154,11 +154,11 @@ def test_numbers_in_text(spark):
 
 def test_values(spark):
     t = "It costs 55 euros or EUR 55,0 within 10 working days at 5 pm or 17:30, at least 18, 4 millimetres"
-    assert one(spark, vx.values_of(F.col("t"), "amount"), t=t) == ["55 cur"]
-    assert one(spark, vx.values_of(F.col("t"), "duration"), t=t) == ["10 day"]
-    assert one(spark, vx.values_of(F.col("t"), "time"), t=t) == ["17:00", "17:30"]
-    assert one(spark, vx.values_of(F.col("t"), "age"), t=t) == ["18 y"]
-    assert one(spark, vx.values_of(F.col("t"), "measure"), t=t) == ["4 mi"]
+    assert one(spark, vx.typed_values(F.col("t"), "amount"), t=t) == ["55 cur"]
+    assert one(spark, vx.typed_values(F.col("t"), "duration"), t=t) == ["10 day"]
+    assert one(spark, vx.typed_values(F.col("t"), "time"), t=t) == ["17:00", "17:30"]
+    assert one(spark, vx.typed_values(F.col("t"), "age"), t=t) == ["18 y"]
+    assert one(spark, vx.typed_values(F.col("t"), "measure"), t=t) == ["4 mi"]
     assert one(spark, vx.counts_noun(F.col("t"), F.lit("days")), t="within ten working days") is True
     assert one(spark, vx.counts_noun(F.col("t"), F.lit("crates")), t=t) is False
 
