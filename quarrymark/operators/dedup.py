@@ -1,19 +1,18 @@
 """Duplicate removal that never merges opposite statements.
 
 Corpus-wide, only exact copies are merged, by hash and without collecting a group.  Near duplicates are judged inside one
-ranked candidate list (at most ``near_window`` kept items), where the list length bounds the work.
+ranked candidate list, where the list length bounds the work.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrymark.config import RETRIEVAL
 from quarrymark.functions.text import guard_negations, number_tokens
 from quarrymark.operators.joins import attach
+from quarrymark.session import durable
 
 
 def exact_keepers(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -50,48 +49,29 @@ def near_pairs(candidates: DataFrame, least: float = RETRIEVAL.near_jaccard) ->
     )
 
 
-GREEDY_SCHEMA = "qid long, item long, rank int, kept_item long, rule string, overlaps array<long>"
-
-
-def _fold(pdf: pd.DataFrame, near: float, cosine: float, overlap: float, window: int) -> pd.DataFrame:
-    """Best-ranked first: each row joins the first kept row it duplicates, or is kept."""
-    pdf = pdf.sort_values("rank")
-    kept: list[tuple] = []
-    by_digest: dict[str, int] = {}
-    overlaps: dict[int, set] = {}
-    out = []
-    for row in pdf.itertuples(index=False):
-        words = set(row.words)
-        vec = None if row.embedding is None else np.asarray(row.embedding, dtype=np.float64)
-        target, rule = by_digest.get(row.digest), "exact"
-        if target is None:
-            for other, owords, ovec in kept[:window]:
-                if row.section is not None and (other.document, other.section) == (row.document, row.section):
-                    shared = min(other.end, row.end) - max(other.start, row.start)
-                    shorter = max(min(other.end - other.start, row.end - row.start), 1)
-                    if shared > 0 and shared / shorter >= overlap:
-                        target, rule = other.item, "overlap"
-                        break
-                    if shared > 0:
-                        overlaps.setdefault(row.item, set()).add(other.item)
-                        overlaps.setdefault(other.item, set()).add(row.item)
-                if other.guard != row.guard:
-                    continue
-                union = len(owords | words)
-                if union and len(owords & words) / union < near:
-                    continue
-                if vec is not None and ovec is not None and float(vec @ ovec) < cosine:
-                    continue
-                target, rule = other.item, "near"
-                break
-        if target is None:
-            kept.append((row, words, vec))
-            by_digest[row.digest] = row.item
-            target, rule = row.item, "kept"
-        out.append((row.qid, row.item, row.rank, target, rule))
-    frame = pd.DataFrame(out, columns=["qid", "item", "rank", "kept_item", "rule"])
-    frame["overlaps"] = [sorted(overlaps.get(i, ())) for i in frame["item"]]
-    return frame
+OPTIONAL = {"document": "long", "section": "string", "start": "long", "end": "long", "embedding": "array<double>"}
+
+
+def duplicate_pairs(candidates: DataFrame, near: float, cosine: float, overlap: float) -> DataFrame:
+    """(qid, item, other, other_rank, rule): a better ranked candidate of the list that says the same; rule ``touches`` marks spans
+    that share characters without being the same."""
+    side = lambda tag: candidates.select("qid", *[F.col(c).alias(f"{c}_{tag}") for c in candidates.columns if c != "qid"])
+    a, b = side("a"), side("b")
+    pairs = a.join(b, "qid").where("rank_a < rank_b")  # one ranked list of k items
+    same_section = (F.col("document_a") == F.col("document_b")) & (F.col("section_a") == F.col("section_b"))
+    shared = F.when(same_section, F.least("end_a", "end_b") - F.greatest("start_a", "start_b"))
+    shorter = F.greatest(F.least(F.col("end_a") - F.col("start_a"), F.col("end_b") - F.col("start_b")), F.lit(1))
+    union = F.size(F.array_union("words_a", "words_b"))
+    alike = (union == 0) | (F.size(F.array_intersect("words_a", "words_b")) >= near * union)
+    dot = F.aggregate(F.zip_with("embedding_a", "embedding_b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    rule = (
+        F.when(F.col("digest_a") == F.col("digest_b"), "exact")
+        .when((shared > 0) & (shared / shorter >= overlap), "overlap")
+        .when((F.col("guard_a") == F.col("guard_b")) & alike & F.coalesce(dot >= cosine, F.lit(True)), "near")
+        .when(shared > 0, "touches")
+    )
+    found = pairs.select("qid", F.col("item_b").alias("item"), F.col("item_a").alias("other"), F.col("rank_a").alias("other_rank"), rule.alias("rule"))
+    return found.where("rule IS NOT NULL")
 
 
 def greedy(
@@ -99,20 +79,54 @@ def greedy(
     near: float = RETRIEVAL.near_jaccard,
     cosine: float = RETRIEVAL.near_cosine,
     overlap: float = RETRIEVAL.overlap_merge,
-    window: int = RETRIEVAL.near_window,
 ) -> DataFrame:
-    """First-kept-wins over each candidate list.
+    """First-kept-wins over each candidate list: (qid, item, rank, kept_item, rule, overlaps).
 
     Needs (qid, item, rank, digest, guard, words); optional columns add the span rule (document, section, start, end) and
-    the cosine test (embedding).
+    the cosine test (embedding).  A candidate is kept when none of the better ones that say the same is kept.  All lists are
+    decided together, round by round: who has no open better twin is kept, whoever has a kept one goes.
     """
-    spans = {"document": "long", "section": "string", "start": "long", "end": "long", "embedding": "array<double>"}
     full = candidates
-    for name, kind in spans.items():
+    for name, kind in OPTIONAL.items():
         if name not in full.columns:
             full = full.withColumn(name, F.lit(None).cast(kind))
-    slim = full.select("qid", "item", "rank", "digest", "guard", "words", *spans)
-    return slim.groupBy("qid").applyInPandas(lambda p: _fold(p, near, cosine, overlap, window), GREEDY_SCHEMA)
+    slim = durable(full.select("qid", "item", "rank", "digest", "guard", "words", *OPTIONAL))
+    pairs = durable(duplicate_pairs(slim, near, cosine, overlap))
+    twins = pairs.where("rule <> 'touches'")
+    state = slim.select("qid", "item", F.lit(None).cast("boolean").alias("kept"))
+    undecided = True
+    while undecided:
+        others = state.select("qid", F.col("item").alias("other"), F.col("kept").alias("other_kept"))
+        verdict = twins.join(others, ["qid", "other"]).groupBy("qid", "item").agg(
+            F.bool_or(F.coalesce("other_kept", F.lit(False))).alias("gone"),
+            F.bool_and(~F.coalesce("other_kept", F.lit(True))).alias("free"),
+        )
+        decided = F.when(F.col("gone").isNull() | F.col("free"), True).when(F.col("gone"), False)
+        state = durable(
+            state.join(verdict, ["qid", "item"], "left").select("qid", "item", F.coalesce("kept", decided).alias("kept"))
+        )
+        undecided = not state.where("kept IS NULL").isEmpty()
+    kept = state.where("kept").select("qid", F.col("item").alias("other"))
+    to_kept = pairs.join(kept, ["qid", "other"])
+    order = F.struct((F.col("rule") != "exact").alias("later"), "other_rank")
+    target = to_kept.where("rule <> 'touches'").groupBy("qid", "item").agg(F.min_by(F.struct("other", "rule"), order).alias("t"))
+    # spans of two kept candidates that only touch are named on both sides
+    touching = to_kept.where("rule = 'touches'").join(kept.withColumnRenamed("other", "item"), ["qid", "item"])
+    both = touching.select("qid", "item", "other").union(touching.select("qid", F.col("other"), F.col("item")))
+    overlaps = both.groupBy("qid", "item").agg(F.array_sort(F.collect_set("other")).alias("overlaps"))
+    return (
+        slim.select("qid", "item", "rank")
+        .join(target, ["qid", "item"], "left")
+        .join(overlaps, ["qid", "item"], "left")
+        .select(
+            "qid",
+            "item",
+            "rank",
+            F.coalesce("t.other", "item").alias("kept_item"),
+            F.coalesce("t.rule", F.lit("kept")).alias("rule"),
+            F.coalesce("overlaps", F.array().cast("array<long>")).alias("overlaps"),
+        )
+    )
 
 
 def overlapping_spans(spans: DataFrame, least: float = RETRIEVAL.overlap_merge) -> DataFrame:

@@ -6,7 +6,6 @@ below is bounded by (needs per request) x k whatever the corpus size.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,59 +54,40 @@ def collect_stats(lists: DataFrame) -> DataFrame:
     )
 
 
-def _select_by_quota(pdf: pd.DataFrame, top: int, floor: int, cap: int) -> pd.DataFrame:
-    """Greedy selection for one request: a guaranteed floor per need in turn, then the rest by rank."""
-    pdf = pdf.sort_values(["intent_ord", "rank"])
-    needs = list(dict.fromkeys(pdf["intent"]))
-    queues = {n: list(g[["item", "section", "rank"]].itertuples(index=False)) for n, g in pdf.groupby("intent", sort=False)}
-    cursor = dict.fromkeys(needs, 0)
-    used: dict[tuple, int] = {}
-    selected: set = set()
-    picks: list[tuple] = []
-
-    def room(need, section) -> bool:
-        return used.get((need, section), 0) < cap
-
-    for _ in range(floor):
-        for need in needs:
-            while cursor[need] < len(queues[need]):
-                row = queues[need][cursor[need]]
-                cursor[need] += 1
-                if not room(need, row.section):
-                    continue
-                used[(need, row.section)] = used.get((need, row.section), 0) + 1
-                if row.item in selected or len(selected) < top:
-                    if row.item not in selected:
-                        selected.add(row.item)
-                    picks.append((row.item, need))
-                break
-    taken = set(picks)
-    order = {n: i for i, n in enumerate(needs)}
-    rest = [(r.rank, order[n], r, n) for n in needs for r in queues[n] if (r.item, n) not in taken]
-    for _, _, row, need in sorted(rest, key=lambda x: (x[0], x[1])):
-        if row.item in selected or len(selected) >= top or not room(need, row.section):
-            continue
-        used[(need, row.section)] = used.get((need, row.section), 0) + 1
-        selected.add(row.item)
-        picks.append((row.item, need))
-    return pd.DataFrame(
-        {
-            "uid": pdf["uid"].iloc[0],
-            "item": [p[0] for p in picks],
-            "intent": [p[1] for p in picks],
-            "pick": range(1, len(picks) + 1),
-        }
-    )
-
-
 def intent_aware(
     lists: DataFrame, top: int = FUSION.top_k, floor: int = FUSION.floor, cap: int = FUSION.section_cap
 ) -> DataFrame:
-    """(uid, item, intent, pick): the floor guarantees every need its best items before the rest competes."""
-    slim = lists.select("uid", "intent", "intent_ord", "item", "section", "rank")
-    return slim.groupBy("uid").applyInPandas(
-        lambda pdf: _select_by_quota(pdf, top, floor, cap), "uid long, item long, intent long, pick int"
+    """(uid, item, intent, pick): the floor guarantees every need its best items before the rest competes.
+
+    A need offers at most ``cap`` items of one section.  Its first ``floor`` offers come in turns over the needs, all others after
+    them by rank; an item picked in a turn, or offered better by another need, does not compete again.  ``top`` counts items, so
+    an item that serves two needs takes one place.  All windows span the lists of one request.
+    """
+    best = lambda *keys: Window.partitionBy("uid", *keys).orderBy("rank", "item")
+    offers = (
+        lists.select("uid", "intent", "intent_ord", "item", "section", "rank")
+        .withColumn("in_section", F.row_number().over(best("intent", "section")))
+        .where(F.col("in_section") <= cap)
+        .withColumn("turn", F.row_number().over(best("intent")))
+    )
+    guaranteed = F.col("turn") <= floor
+    order = F.struct(
+        F.when(guaranteed, 0).otherwise(1).alias("phase"),
+        F.when(guaranteed, F.col("turn")).otherwise(F.col("rank")).alias("at"),
+        F.col("intent_ord"),
+        F.col("item"),
+    )
+    per_item = Window.partitionBy("uid", "item").orderBy("order")
+    standing = (
+        offers.withColumn("order", order)
+        .withColumn("copy", F.row_number().over(per_item))
+        .where((F.col("order.phase") == 0) | (F.col("copy") == 1))
+    )
+    places = Window.partitionBy("uid").orderBy("order")
+    placed = standing.withColumn("place", F.sum((F.col("copy") == 1).cast("int")).over(places)).withColumn(
+        "place", F.min("place").over(Window.partitionBy("uid", "item"))
     )
+    return placed.where(F.col("place") <= top).select("uid", "item", "intent", F.row_number().over(places).alias("pick"))
 
 
 def labelled(picks: DataFrame) -> DataFrame:

@@ -132,71 +132,78 @@ def fold(feed: DataFrame, silence_ms: int = CONTROLLER.endpoint_ms, late: str =
 class OrderedRelease(StatefulProcessor):
     """Releases items of a stream in sequence.
 
-    An item waits for its predecessors; once the event clock has moved ``hold_ms`` past its arrival the gap before it is skipped and
-    reported.  Repeats of released numbers are dropped with a row.
+    What has arrived is kept as runs of consecutive numbers.  The run that continues the released part goes out; a run behind a gap
+    goes out once its oldest item has waited ``hold_ms`` of event time, and the gap before it is reported as one row (``seq`` to
+    ``last``).  Repeats of released or held numbers are reported and dropped.  A stream without waiting items keeps two numbers.
     """
 
+    columns = ("stream", "seq", "last", "item", "status")
+
     def __init__(self, hold_ms: int = 2000) -> None:
         self.hold_ms = hold_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getMapState("held", "seq long", "item string, at long")
-        self.next = handle.getValueState("next", "seq long")
-
-    def _drain(self, stream, nxt: int, out: list) -> int:
-        while self.held.containsKey((nxt,)):
-            out.append((stream, nxt, self.held.getValue((nxt,))[0], "released"))
-            self.held.removeKey((nxt,))
-            nxt += 1
-        return nxt
-
-    def _skip(self, stream, nxt: int, now: int, out: list) -> int:
-        while True:
-            waiting = sorted((k[0], v[1]) for k, v in self.held.iterator())
-            if not waiting or min(at for _, at in waiting) + self.hold_ms > now:
-                return nxt
-            first = waiting[0][0]
-            out.extend((stream, s, None, "skipped") for s in range(nxt, first))
-            nxt = self._drain(stream, first, out)
+        self.waiting = handle.getMapState("waiting", "seq long", "item string, at long")
+        self.place = handle.getValueState("place", "expected long, timer long")
+
+    def _settle(self, stream: int, fresh: pd.DataFrame, now: int) -> pd.DataFrame:
+        expected, timer = self.place.get() if self.place.exists() else (0, 0)
+        held = pd.DataFrame(
+            [(k[0], v[0], v[1], True) for k, v in self.waiting.iterator()], columns=["seq", "item", "at", "known"]
+        )
+        rows = pd.concat([held, fresh.assign(known=False)], ignore_index=True).astype({"seq": "int64", "at": "int64"})
+        repeat = (rows["seq"] < expected) | rows["seq"].duplicated()
+        again = rows[repeat].assign(status="duplicate", last=rows["seq"])
+        rows = rows[~repeat].sort_values("seq").reset_index(drop=True)
+        run = (rows["seq"].diff() != 1).cumsum()
+        runs = rows.groupby(run).agg(first=("seq", "min"), end=("seq", "max"), at=("at", "min"))
+        ripe = (runs["at"] + self.hold_ms <= now) | (runs["first"] == expected)
+        # a run also goes out when a later one does, for order is kept
+        out = ripe[::-1].cummax()[::-1] if len(ripe) else ripe
+        # runs that directly follow the released part never wait for the clock, later ones only for their own
+        gone = rows[run.map(out).astype(bool)] if len(rows) else rows
+        before = runs["end"].shift(fill_value=expected - 1)[out] + 1 if len(runs) else runs["end"]
+        gaps = pd.DataFrame({"seq": before, "last": runs["first"][out] - 1}) if len(runs) else pd.DataFrame(columns=["seq", "last"])
+        gaps = gaps[gaps["seq"] <= gaps["last"]].assign(item=None, status="skipped")
+        released = gone.assign(status="released", last=gone["seq"])
+        for seq in gone.loc[gone["known"].astype(bool), "seq"]:
+            self.waiting.removeKey((int(seq),))
+        stay = rows[~rows["seq"].isin(gone["seq"])]
+        for r in stay[~stay["known"].astype(bool)].itertuples(index=False):
+            self.waiting.updateValue((int(r.seq),), (r.item, int(r.at)))
+        if timer:
+            self.handle.deleteTimer(timer)
+        due = int(stay["at"].min()) + self.hold_ms if len(stay) else 0
+        if due:
+            self.handle.registerTimer(due)
+        self.place.update((int(gone["seq"].max()) + 1 if len(gone) else expected, due))
+        shown = pd.concat([x for x in (gaps, released, again) if len(x)] or [released])
+        return shown.sort_values("seq", kind="stable").assign(stream=stream)[list(self.columns)]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        nxt = self.next.get()[0] if self.next.exists() else 0
-        batch = pd.concat(list(rows)).sort_values(["ts", "seq"])
-        out: list = []
-        now = 0
-        for r in batch.itertuples(index=False):
-            now = int(r.ts.value // 1_000_000)
-            nxt = self._skip(key[0], nxt, now, out)
-            if r.seq < nxt or self.held.containsKey((int(r.seq),)):
-                out.append((key[0], int(r.seq), r.item, "duplicate"))
-                continue
-            self.held.updateValue((int(r.seq),), (r.item, now))
-            nxt = self._drain(key[0], nxt, out)
-        self.next.update((nxt,))
-        self.handle.registerTimer(now + self.hold_ms)
-        yield pd.DataFrame(out, columns=["stream", "seq", "item", "status"])
+        arrived = pd.concat(list(rows)).sort_values(["ts", "seq"])
+        arrived["at"] = arrived["ts"].astype("datetime64[ms]").astype("int64")
+        # the clock moves with the arrivals: each instant at which a held run may ripen is settled on its own
+        for now, batch in arrived.groupby("at", sort=True):
+            yield self._settle(key[0], batch[["seq", "item", "at"]], int(now))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out: list = []
-        nxt = self.next.get()[0] if self.next.exists() else 0
-        nxt = self._skip(key[0], nxt, expiredTimerInfo.getExpiryTimeInMs(), out)
-        self.next.update((nxt,))
-        if out:
-            yield pd.DataFrame(out, columns=["stream", "seq", "item", "status"])
+        nothing = pd.DataFrame({"seq": pd.Series(dtype="int64"), "item": pd.Series(dtype=object), "at": pd.Series(dtype="int64")})
+        yield self._settle(key[0], nothing, expiredTimerInfo.getExpiryTimeInMs())
 
     def close(self) -> None:
         pass
 
 
 def ordered_release(items: DataFrame, hold_ms: int = 2000, late: str = "10 seconds") -> DataFrame:
-    """(stream, seq, item, ts) -> (stream, seq, item, status)."""
+    """(stream, seq, item, ts) -> (stream, seq, last, item, status)."""
     return (
         items.withWatermark("ts", late)
         .groupBy("stream")
         .transformWithStateInPandas(
             statefulProcessor=OrderedRelease(hold_ms),
-            outputStructType="stream long, seq long, item string, status string",
+            outputStructType="stream long, seq long, last long, item string, status string",
             outputMode="Append",
             timeMode="EventTime",
         )
