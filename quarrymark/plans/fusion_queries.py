@@ -151,10 +151,10 @@ def fusion_rrf(t):
 _PICKS = (
     f"{LISTS}, s1 AS (SELECT *, row_number() OVER (PARTITION BY uid, intent, section ORDER BY rank, item) AS in_section FROM lists), "
     "s2 AS (SELECT *, row_number() OVER (PARTITION BY uid, intent ORDER BY rank, item) AS turn FROM s1 WHERE in_section <= 2), "
-    "s3 AS (SELECT *, CASE WHEN turn <= 2 THEN 0 ELSE 1 END AS phase, CASE WHEN turn <= 2 THEN turn ELSE rank END AS at FROM s2), "
-    "s4 AS (SELECT *, row_number() OVER (PARTITION BY uid, item ORDER BY phase, at, intent_ord) AS copy FROM s3), "
-    "firsts AS (SELECT uid, item, row_number() OVER (PARTITION BY uid ORDER BY phase, at, intent_ord, item) AS place FROM s4 WHERE copy = 1), "
-    "picks AS (SELECT s4.uid, s4.item, s4.intent, row_number() OVER (PARTITION BY s4.uid ORDER BY phase, at, intent_ord, s4.item) AS pick FROM s4 JOIN firsts USING (uid, item) WHERE place <= 8 AND (phase = 0 OR copy = 1))"
+    "s3 AS (SELECT *, CASE WHEN turn <= 2 THEN 0 ELSE 1 END AS phase, CASE WHEN turn <= 2 THEN turn ELSE rank END AS spot FROM s2), "
+    "s4 AS (SELECT *, row_number() OVER (PARTITION BY uid, item ORDER BY phase, spot, intent_ord) AS copy FROM s3), "
+    "firsts AS (SELECT uid, item, row_number() OVER (PARTITION BY uid ORDER BY phase, spot, intent_ord, item) AS place FROM s4 WHERE copy = 1), "
+    "picks AS (SELECT s4.uid, s4.item, s4.intent, row_number() OVER (PARTITION BY s4.uid ORDER BY phase, spot, intent_ord, s4.item) AS pick FROM s4 JOIN firsts USING (uid, item) WHERE place <= 8 AND (phase = 0 OR copy = 1))"
 )
 
 
