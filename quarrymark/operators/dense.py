@@ -1,13 +1,13 @@
 """Exact vector search.
 
-A block of at most ``BLOCK`` query vectors travels with the task closure; the corpus is scored batch by batch with one matrix
-product and each batch emits at most k rows per query.  A larger query batch is split into several such blocks.
+Vectors are dealt into slices and query vectors into blocks of bounded size; every slice meets every block in a group of its own,
+scored with one matrix product, and each group emits at most k rows per query.  The numbers of slices and blocks follow the row
+counts inside the plan, so neither side ever passes through the driver or a task as a whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -18,56 +18,58 @@ from quarrymark.functions.text import analyse, let
 from quarrymark.operators.rank import top_k
 from quarrymark.sources.tables import spread
 
+SLICE = 2048
 BLOCK = 2048
 
 
-def query_blocks(queries: DataFrame, qid: str, vector: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, matrix) blocks of bounded size."""
-    rows = queries.select(F.col(qid).alias("q"), F.col(vector).alias("v"))
-    head = rows.limit(BLOCK + 1).collect()
-    if len(head) <= BLOCK:
-        groups = [head]
-    else:
-        n_blocks = 2 * -(-rows.count() // BLOCK)
-        slot = F.pmod(F.xxhash64("q"), F.lit(n_blocks))
-        groups = (rows.where(slot == i).collect() for i in range(n_blocks))
-    for group in groups:
-        if group:
-            group = sorted(group, key=lambda r: r["q"])
-            yield (
-                np.array([r["q"] for r in group]),
-                np.array([r["v"] for r in group], dtype=np.float64),
-            )
-
-
-def _matrix(column: pd.Series, dim: int) -> np.ndarray:
+def counted(rows: DataFrame) -> Column:
+    """Row count as a value of the plan."""
+    return rows.agg(F.count(F.lit(1))).scalar()
+
+
+def _matrix(column: pd.Series, dim: int | None = None) -> np.ndarray:
     m = np.stack(column.to_numpy()).astype(np.float64)
-    if m.shape[1] != dim:
+    if dim is not None and m.shape[1] != dim:
         raise ValueError(f"vector has {m.shape[1]} dimensions, query has {dim}")
     return m
 
 
-def _score_block(vectors: DataFrame, key: str, vector: str, ids: np.ndarray, q: np.ndarray, k: int, least: float | None):
-    def run(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            keys = pdf["key"].to_numpy()
-            scores = np.round(_matrix(pdf["vector"], q.shape[1]) @ q.T, 6)
-            out_q, out_k, out_s = [], [], []
-            for j in range(len(ids)):
-                s = scores[:, j]
-                rows = np.arange(len(s)) if least is None else np.flatnonzero(s >= least)
-                best = rows[np.lexsort((keys[rows], -s[rows]))[:k]]
-                out_q.append(np.repeat(ids[j], len(best)))
-                out_k.append(keys[best])
-                out_s.append(s[best])
-            yield pd.DataFrame(
-                {"qid": np.concatenate(out_q), "key": np.concatenate(out_k), "score": np.concatenate(out_s)}
-            )
-
-    slim = vectors.select(F.col(key).alias("key"), F.col(vector).alias("vector"))
-    return slim.mapInPandas(run, "qid long, key long, score double").withColumnRenamed("key", key)
+def _each_group(
+    vectors: DataFrame,
+    queries: DataFrame,
+    score: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]],
+    names: tuple[str, str, str],
+    sizes: tuple[Column | None, Column | None],
+) -> DataFrame:
+    """(qid, key, score) rows that ``score(keys, ids, similarities)`` picks from every slice x block group."""
+    key, vector, qid = names
+    slices = F.ceil(F.greatest(counted(vectors) if sizes[0] is None else sizes[0], F.lit(1)) / SLICE)
+    blocks = F.ceil(F.greatest(counted(queries) if sizes[1] is None else sizes[1], F.lit(1)) / BLOCK)
+    mine = vectors.select(
+        F.col(key).cast("long").alias("key"),
+        F.col(vector).cast("array<double>").alias("vector"),
+        F.pmod(F.xxhash64(key), slices).alias("slice"),
+        blocks.alias("n"),
+    ).select("key", "vector", "slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("block"))
+    asked = queries.select(
+        F.col(qid).cast("long").alias("key"),
+        F.col(vector).cast("array<double>").alias("vector"),
+        F.pmod(F.xxhash64(qid), blocks).alias("block"),
+        slices.alias("n"),
+    ).select("key", "vector", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("slice"))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"qid": [], "key": [], "score": []}).astype({"qid": "int64", "key": "int64", "score": "float64"})
+        right = right.sort_values("key")
+        q = _matrix(right["vector"])
+        similar = np.round(_matrix(left["vector"], q.shape[1]) @ q.T, 6)
+        ids, keys, scores = score(left["key"].to_numpy(), right["key"].to_numpy(), similar)
+        return pd.DataFrame({"qid": ids, "key": keys, "score": scores})
+
+    place = ["slice", "block"]
+    grouped = mine.groupBy(*place).cogroup(asked.groupBy(*place))
+    return grouped.applyInPandas(run, "qid long, key long, score double")
 
 
 def search(
@@ -78,60 +80,49 @@ def search(
     vector: str = "embedding",
     qid: str = "qid",
     least: float | None = None,
+    sizes: tuple[Column | None, Column | None] = (None, None),
 ) -> DataFrame:
-    """(qid, key, score, rank) of the k most similar vectors of every query."""
-    parts = [_score_block(vectors, key, vector, ids, q, k, least) for ids, q in query_blocks(queries, qid, vector)]
-    return top_k(reduce(DataFrame.unionByName, parts), ["qid"], F.col("score").desc(), F.col(key).asc(), k=k)
-
-
-def relevance(candidates: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", qid: str = "qid"):
-    """(qid, key, score) of a short candidate list against every query."""
-
-    def block(ids, q):
-        def run(batches):
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                scores = np.round(_matrix(pdf["vector"], q.shape[1]) @ q.T, 6)
-                n = len(pdf)
-                yield pd.DataFrame(
-                    {
-                        "qid": np.tile(ids, n),
-                        "key": np.repeat(pdf["key"].to_numpy(), len(ids)),
-                        "score": scores.ravel(),
-                    }
-                )
-
-        slim = candidates.select(F.col(key).alias("key"), F.col(vector).alias("vector"))
-        return slim.mapInPandas(run, "qid long, key long, score double").withColumnRenamed("key", key)
-
-    return reduce(DataFrame.unionByName, [block(ids, q) for ids, q in query_blocks(queries, qid, vector)])
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, n: int, key: str = "vec_id", vector: str = "embedding", qid: str = "qid"):
-    """(key, qid, score, rank): the n closest queries of every vector; one row in, at most n rows out."""
-
-    def block(ids, q):
-        def run(batches):
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                scores = np.round(_matrix(pdf["vector"], q.shape[1]) @ q.T, 6)
-                order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :n]
-                width = order.shape[1]
-                yield pd.DataFrame(
-                    {
-                        "key": np.repeat(pdf["key"].to_numpy(), width),
-                        "qid": ids[order].ravel(),
-                        "score": np.take_along_axis(scores, order, axis=1).ravel(),
-                    }
-                )
-
-        slim = vectors.select(F.col(key).alias("key"), F.col(vector).alias("vector"))
-        return slim.mapInPandas(run, "key long, qid long, score double")
-
-    parts = [block(ids, q) for ids, q in query_blocks(queries, qid, vector)]
-    best = top_k(reduce(DataFrame.unionByName, parts), ["key"], F.col("score").desc(), F.col("qid").asc(), k=n)
+    """(qid, key, score, rank) of the k most similar vectors of every query; ``sizes`` may tell the row counts of both sides."""
+
+    def best(keys: np.ndarray, ids: np.ndarray, similar: np.ndarray):
+        out = []
+        for j in range(len(ids)):
+            s = similar[:, j]
+            rows = np.arange(len(s)) if least is None else np.flatnonzero(s >= least)
+            top = rows[np.lexsort((keys[rows], -s[rows]))[:k]]
+            out.append((np.repeat(ids[j], len(top)), keys[top], s[top]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    found = _each_group(vectors, queries, best, (key, vector, qid), sizes).withColumnRenamed("key", key)
+    return top_k(found, ["qid"], F.col("score").desc(), F.col(key).asc(), k=k)
+
+
+def relevance(candidates: DataFrame, needs: DataFrame, request: str = "uid", key: str = "vec_id", vector: str = "embedding"):
+    """(request, qid, key, score): every candidate of a request against every need of the same request."""
+    a = candidates.select(request, key, F.col(vector).cast("array<double>").alias("_a"))
+    b = needs.select(request, "qid", F.col(vector).cast("array<double>").alias("_b"))
+    dot = F.aggregate(F.zip_with("_a", "_b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return a.join(b, request).select(request, "qid", key, F.round(dot, 6).alias("score"))
+
+
+def nearest(
+    vectors: DataFrame,
+    queries: DataFrame,
+    n: int,
+    key: str = "vec_id",
+    vector: str = "embedding",
+    qid: str = "qid",
+    sizes: tuple[Column | None, Column | None] = (None, None),
+) -> DataFrame:
+    """(key, qid, score, rank): the n closest queries of every vector; each group emits at most n rows a vector."""
+
+    def closest(keys: np.ndarray, ids: np.ndarray, similar: np.ndarray):
+        order = np.lexsort((np.broadcast_to(ids, similar.shape), -similar), axis=1)[:, :n]
+        width = order.shape[1]
+        return ids[order].ravel(), np.repeat(keys, width), np.take_along_axis(similar, order, axis=1).ravel()
+
+    found = _each_group(vectors, queries, closest, (key, vector, qid), sizes)
+    best = top_k(found, ["key"], F.col("score").desc(), F.col("qid").asc(), k=n)
     return best.withColumnRenamed("key", key)
 
 

@@ -42,31 +42,40 @@ def ranking(run: DataFrame, gold: DataFrame, queries: DataFrame, k: int, key: st
     )
 
 
+def needed(rows: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
+    """Rows once for every size n in 1..most that ``sizes`` asks for."""
+    every = F.explode(F.array(*[F.lit(n) for n in range(1, most + 1)]))
+    return rows.select("*", every.alias("n")).join(sizes.select("n").distinct(), "n", "left_semi")
+
+
 def containing(docs: DataFrame, passages: DataFrame, width: int = 5) -> DataFrame:
-    """(qid, doc_id) of every document that contains a passage word for word.
+    """(qid, doc_id) of every document that contains a passage character for character; an empty passage is in none.
 
-    Interior words of a contained passage are whole words of the document, so a hash join on one interior word run finds every
-    candidate; the text comparison then confirms it.  Passages too short to have one (fewer than three words) are compared directly.
+    Interior words of a contained passage are whole words of the document, so its first up to ``width`` interior words are looked
+    up as a run.  A passage of one or two words has none; its first up to three characters are looked up instead.  Both are
+    hash joins on keys that the passages ask for, and the text comparison confirms what they find.
     """
     words = lambda c: F.regexp_extract_all(F.col(c), F.lit(r"[\p{L}\p{N}_]+"), 0)
-    asked = passages.select("qid", "query", words("query").alias("ws")).withColumn("n", F.size("ws"))
-    long = asked.where(F.col("n") >= width + 2).select("qid", "query", F.array_join(F.slice("ws", 2, width), " ").alias("run"))
-    short = asked.where((F.col("n") < width + 2) & (F.col("n") >= 3)).select("qid", "query", F.element_at("ws", 2).alias("run"))
-    tiny = asked.where(F.col("n") < 3).select("qid", "query")
-    base = docs.select("doc_id", "text", words("text").alias("ws"))
-    runs = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size("ws") - width + 1, F.lit(1))),
-        lambda i: F.array_join(F.slice(F.col("ws"), i, width), " "),
+    asked = passages.select("qid", "query", words("query").alias("ws")).where("query <> ''")
+    inner = F.size("ws") - 2
+    by_words = asked.where(inner > 0).withColumn("n", F.least(F.lit(width), inner))
+    by_words = by_words.select("qid", "query", "n", F.array_join(F.slice("ws", F.lit(2), F.col("n")), " ").alias("gram"))
+    by_letters = asked.where(inner <= 0).select("qid", "query", F.substring("query", 1, 3).alias("gram"))
+    by_letters = by_letters.withColumn("n", F.length("gram"))
+
+    def places(length):
+        return F.sequence(F.lit(1), F.greatest(length - F.col("n") + 1, F.lit(1)))
+
+    texts = docs.select("doc_id", "text")
+    runs = F.transform(places(F.size("ws")), lambda i: F.array_join(F.slice(F.col("ws"), i, F.col("n")), " "))
+    word_grams = needed(texts.select("doc_id", words("text").alias("ws")), by_words, width).select(
+        "doc_id", "n", F.explode(F.array_distinct(runs)).alias("gram")
     )
-
-    def match(keys: Column, wanted: DataFrame) -> DataFrame:
-        found = base.select("doc_id", F.explode(F.array_distinct(keys)).alias("run")).join(wanted, "run")
-        return found.select("qid", "doc_id", "query")
-
-    candidates = match(runs, long).unionByName(match(F.col("ws"), short))
-    confirmed = candidates.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "query")).select("qid", "doc_id")
-    direct = docs.select("doc_id", "text").join(tiny, F.contains("text", "query")).select("qid", "doc_id")
-    return confirmed.unionByName(direct).distinct()
+    letters = F.transform(places(F.length("text")), lambda i: F.substring(F.col("text"), i, F.col("n")))
+    letter_grams = needed(texts, by_letters, 3).select("doc_id", "n", F.explode(F.array_distinct(letters)).alias("gram"))
+    found = word_grams.join(by_words, ["n", "gram"]).unionByName(letter_grams.join(by_letters, ["n", "gram"]))
+    candidates = found.select("qid", "doc_id", "query")
+    return candidates.join(texts, "doc_id").where(F.contains("text", "query")).select("qid", "doc_id").distinct()
 
 
 def list_evidence(run: DataFrame, gold: DataFrame, key: str = "qid", item: str = "doc_id") -> DataFrame:

@@ -39,20 +39,20 @@ def dense_min_similarity(t):
 
 @named(
     "cross_intent_relevance",
-    f"WITH {PROTO}, top AS (SELECT qid, vec_id FROM (SELECT qid, vec_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM sims) WHERE rank <= 10), "
-    "cand AS (SELECT DISTINCT vec_id FROM top), best AS (SELECT s.vec_id, max(s.score) AS best_score, arg_min(s.qid, (-s.score, s.qid)) AS best_qid FROM sims s JOIN cand USING (vec_id) GROUP BY s.vec_id) "
-    "SELECT s.qid, s.vec_id, s.score, b.best_qid, b.best_score FROM sims s JOIN cand c USING (vec_id) JOIN best b USING (vec_id)",
+    f"WITH {PROTO}, top AS (SELECT qid // 3 AS uid, vec_id FROM (SELECT qid, vec_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM sims) WHERE rank <= 10), "
+    "cand AS (SELECT DISTINCT uid, vec_id FROM top), s AS (SELECT c.uid, sims.qid, sims.vec_id, sims.score FROM sims JOIN cand c ON c.uid = sims.qid // 3 AND c.vec_id = sims.vec_id), "
+    "best AS (SELECT uid, vec_id, max(score) AS best_score, arg_min(qid, (-score, qid)) AS best_qid FROM s GROUP BY uid, vec_id) "
+    "SELECT uid, s.qid, vec_id, s.score, b.best_qid, b.best_score FROM s JOIN best b USING (uid, vec_id)",
 )
 def cross_intent_relevance(t):
-    """Union of all lists scored against every need, with the need each candidate fits best."""
-    queries = prototypes(t)
-    found = dense.search(t.embeddings, queries, k=10).select("vec_id").distinct()
-    candidates = t.embeddings.join(found, "vec_id", "left_semi")
-    scores = dense.relevance(candidates, queries)
-    best = scores.groupBy("vec_id").agg(
+    """Three labels are one request: its lists' union scored against its needs, with the need each candidate fits best."""
+    queries = prototypes(t).withColumn("uid", F.floor(F.col("qid") / 3))
+    found = dense.search(t.embeddings, queries, k=10).select(F.floor(F.col("qid") / 3).alias("uid"), "vec_id").distinct()
+    scores = dense.relevance(found.join(t.embeddings.select("vec_id", "embedding"), "vec_id"), queries)
+    best = scores.groupBy("uid", "vec_id").agg(
         F.max("score").alias("best_score"), F.max_by("qid", F.struct("score", -F.col("qid"))).alias("best_qid")
     )
-    return scores.join(best, "vec_id").select("qid", "vec_id", "score", "best_qid", "best_score")
+    return scores.join(best, ["uid", "vec_id"]).select("uid", "qid", "vec_id", "score", "best_qid", "best_score")
 
 
 @named(

@@ -57,7 +57,7 @@ HASHED = (
 def vector_lists(t, k: int = 50):
     docs = dense.hashed(t.documents)
     asked = dense.hashed(t.benchmark, key="item_id").withColumnRenamed("item_id", "qid")
-    return dense.search(docs, asked, k=k, key="doc_id")
+    return dense.search(docs, asked, k=k, key="doc_id", sizes=(dense.counted(t.documents), dense.counted(t.benchmark)))
 
 
 @named("hashing_embedder", f"WITH {HASHED} SELECT qid, doc_id, score, rank FROM vranked")

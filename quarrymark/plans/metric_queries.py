@@ -289,7 +289,7 @@ def leakage_ngrams(t):
 
     wanted = items.where("n > 0").select("item_id", F.explode(F.array_distinct(runs(F.col("n")))).alias("s"))
     lengths = items.where("n > 0").select("n").distinct()  # eight rows at most
-    docs = spread(t.documents.select("doc_id", "text"), "doc_id").select(words).join(lengths, F.size("ws") >= F.col("n"))
+    docs = metrics.needed(spread(t.documents.select("doc_id", "text"), "doc_id").select(words), lengths, 8).where(F.size("ws") >= F.col("n"))
     seen = docs.select(F.explode(runs(F.col("n"))).alias("s")).join(wanted.select("s").distinct(), "s", "left_semi").distinct()
     marked = wanted.join(seen.withColumn("seen", F.lit(True)), "s", "left")
     counts = marked.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_runs"), F.count_if("seen").alias("n_seen"))
