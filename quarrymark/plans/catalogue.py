@@ -20,6 +20,7 @@ MODULES = (
     "adaptive_queries",
     "dialogue_queries",
     "session_queries",
+    "need_queries",
 )
 
 for _module in MODULES:

@@ -79,7 +79,7 @@ def boilerplate_lines(t):
     "s AS (SELECT source, doc_id, 'top' AS side, unnest(ls[1:k]) AS line FROM e UNION ALL SELECT source, doc_id, 'bottom', unnest(ls[greatest(len(ls) - k + 1, 1):]) FROM e WHERE len(ls) > k), "
     "g AS (SELECT source, side, regexp_replace(lower(line), '\\d+', '#', 'g') AS key, count(DISTINCT doc_id) AS n FROM s GROUP BY ALL), "
     "n AS (SELECT source, count(*) AS pages FROM documents GROUP BY source) "
-    "SELECT g.source, g.side, g.key, g.n AS n_pages FROM g JOIN n USING (source) WHERE n.pages >= 3 AND g.n >= 0.04 * n.pages",
+    "SELECT g.source, g.side, g.key, g.n AS n_pages FROM g JOIN n USING (source) WHERE n.pages >= 3 AND g.n >= 0.6 * n.pages",
 )
 def header_footer_keys(t):
     """Edge lines that recur over the pages of one source."""
@@ -88,7 +88,7 @@ def header_footer_keys(t):
     ).select("source", "doc_id", "e.side", corpus.line_key(F.col("e.line")).alias("key"))
     counts = edges.distinct().groupBy("source", "side", "key").agg(F.count(F.lit(1)).alias("n_pages"))
     pages = t.documents.groupBy("source").agg(F.count(F.lit(1)).alias("pages")).where("pages >= 3")
-    return counts.join(pages, "source").where(F.col("n_pages") >= 0.04 * F.col("pages")).select(
+    return counts.join(pages, "source").where(F.col("n_pages") >= 0.6 * F.col("pages")).select(
         "source", "side", "key", "n_pages"
     )
 
@@ -271,20 +271,33 @@ def page_texts(t):
 
 @named("html_sections")
 def html_sections(t):
-    """Sections of every page with id, level, title path and the paragraphs below the heading."""
+    """Sections of every page with id, level, title path and the paragraphs below the heading; what stands before the first
+    heading, or a whole page without one, is section "0"."""
     blocks = page_texts(t).select("page_id", F.split("text", r"\n\n").alias("blocks"))
-    tree = blocks.withColumn("tree", corpus.section_tree(F.col("blocks")))
-    rows = tree.select("page_id", F.size("blocks").alias("n"), "tree", F.posexplode("tree").alias("ordinal", "s"))
+    tree = blocks.withColumn("tree", corpus.section_tree(F.col("blocks"))).withColumn("n", F.size("blocks"))
+    rows = tree.select("page_id", "n", "tree", F.posexplode("tree").alias("ordinal", "s"))
     following = F.coalesce(F.try_element_at("tree", F.col("ordinal") + 2)["block"], F.col("n"))
-    return rows.select(
+    headed = rows.select(
         "page_id",
-        "ordinal",
+        (F.col("ordinal") + 1).alias("ordinal"),
         F.col("s.sid").alias("section_id"),
         "s.level",
         "s.title",
         F.array_join("s.path", " > ").alias("path"),
         (following - F.col("s.block") - 1).alias("n_paragraphs"),
     )
+    before = F.coalesce(F.try_element_at("tree", F.lit(1))["block"], F.col("n"))
+    empty = F.lit("")
+    preamble = tree.select(
+        "page_id",
+        F.lit(0).alias("ordinal"),
+        F.lit("0").alias("section_id"),
+        F.lit(0).alias("level"),
+        empty.alias("title"),
+        empty.alias("path"),
+        before.alias("n_paragraphs"),
+    )
+    return headed.unionByName(preamble.where("n_paragraphs > 0"))
 
 
 @named("join_wrapped_lines")

@@ -143,3 +143,41 @@ def test_word_windows_close_at_the_end(spark):
 def test_html(spark):
     html = "<html><head><title>x</title></head><body><h2>Top</h2><p>a &lt; b &amp; c<script>var x;</script></p><ul><li>one</li></ul></body></html>"
     assert one(spark, corpus.html_text(F.col("t")), html) == "## Top\n\na < b & c\n\n- one"
+
+
+def test_edges_that_recur_and_page_numbers_go(spark):
+    from quarrymark.operators import needs
+
+    body = "\n".join(f"line {c}" for c in "abcdefgh")
+    rows = [("s", i, f"Report 2024\n{body}{i}\nSite footer\n{i}") for i in range(4)] + [("u", 9, "Report 2024\nx\ny\nSite footer")]
+    frame = spark.createDataFrame(rows, "source string, doc_id long, text string")
+    got = {r.doc_id: (r.n_repeated, r.n_page_numbers, r.lines) for r in needs.edge_removals(frame, "source", "doc_id").collect()}
+    # the second line from the top recurs as well; page numbers recur under one key
+    assert got[1] == (4, 0, ["1", "Report 2024", "Site footer", "line a"]) and got[9] == (0, 0, [])
+
+
+def test_markers_go_with_their_blanks(spark):
+    from quarrymark.operators import needs
+
+    frame = spark.createDataFrame([("The fee is 5 (E1), paid twice [E2, F3] .",)], ["t"])
+    row = frame.select(needs.without_markers(F.col("t")).alias("t"), needs.markers(F.col("t")).alias("m")).first()
+    assert row.t == "The fee is 5, paid twice." and row.m == ["(E1)", "[E2, F3]"]
+
+
+def test_constraints_are_set_repeated_and_updated(spark):
+    from quarrymark.operators import needs
+
+    rows = [(1, 0, 0, ["adult", "fee"], "fee"), (1, 1, 0, ["fee", "adult"], "fee"), (1, 2, 0, ["child", "fee"], "fee"), (1, 2, 1, ["zoo"], "zoo"), (2, 3, 0, ["x", "fee"], "fee")]
+    frame = spark.createDataFrame(rows, "session long, utterance long, ord int, terms array<string>, head string")
+    got = {(r.session, r.utterance, r.ord): (r.operation, r.replaces) for r in needs.operations(frame).collect()}
+    assert got == {(1, 0, 0): ("set", None), (1, 1, 0): ("repeat", 0), (1, 2, 0): ("update", 1), (1, 2, 1): ("set", None), (2, 3, 0): ("set", None)}
+
+
+def test_asked_kinds_and_applicability(spark):
+    from quarrymark.operators import needs
+
+    texts = ["How much does it cost?", "how long does it take", "how many people", "which date works", "tell me about it", "How old must I be"]
+    frame = spark.createDataFrame([(t,) for t in texts], ["t"])
+    assert [r[0] for r in frame.select(needs.asked_kind(F.col("t"))).collect()] == ["amount", "duration", "count", "time", None, "age"]
+    frame = spark.createDataFrame([("en",), ("de",), ("ALL",), (None,)], "v string")
+    assert [r[0] for r in frame.select(needs.applicability(F.col("v"), F.lit("en"), "lang")).collect()] == ["kept", "not_applicable:lang", "kept", "kept"]
