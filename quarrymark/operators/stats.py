@@ -16,6 +16,7 @@ MIN_PAIRS = 20
 MIN_NONZERO = 6
 SEED = 20261004
 RESAMPLES = 10_000
+RANGES = 64
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
@@ -26,10 +27,12 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, wanted: dict[s
     """
     v = F.col(value).cast("double")
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, v.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    edges = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
-    low = edges.select("lo").scalar()
-    width = edges.select(F.greatest((F.col("hi") - F.col("lo")) / 256, F.lit(1e-9))).scalar()
-    split = Split(keys, ["_v"], F.floor((F.col("_v") - low) / width))
+    # range edges at equal shares of the distinct values, so no range holds much more than its share
+    shares = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
+    edges = counted.agg(F.percentile_approx("_v", shares, F.lit(100 * RANGES))).scalar()
+    below = F.size(F.filter("_edges", lambda e: e <= F.col("_v")))
+    counted = counted.withColumn("_edges", edges).withColumn("_range", below).drop("_edges")
+    split = Split(keys, ["_v"], F.col("_range"))
     running = split.running_sum(counted, "_upto", F.col("_c"))
     sizes = counted.groupBy(*keys).agg(F.sum("_c").alias("n"))
     placed = running.join(sizes, keys)
@@ -184,20 +187,21 @@ def normal_two_sided(z: Column) -> Column:
 
 
 def bootstrap_ci(
-    df: DataFrame, keys: list[str], value: str, resamples: int = RESAMPLES, blocks: int = 16, digits: int = 4
+    df: DataFrame, keys: list[str], value: str, resamples: int = RESAMPLES, block: int = 4096, digits: int = 4
 ) -> DataFrame:
     """Percentile interval of the mean over seeded multinomial resamples.
 
     The distinct values of a group are hashed into blocks.  A resample first draws how many samples fall into each block, then
     every block draws its own values; that is the same multinomial, but no task holds more than one block of values and one
-    slice of the resamples.  Raise ``blocks`` with the number of distinct values.
+    slice of the resamples.  The number of blocks follows the number of distinct values, ``block`` of them each.
     """
     slices = 8
     per = -(-resamples // slices)
     take = [min(per, max(resamples - per * i, 0)) for i in range(slices)]
     v = F.col(value).cast("double")
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, v.alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    placed = counted.withColumn("block", F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int"))
+    blocks = counted.agg(F.ceil(F.greatest(F.count(F.lit(1)), F.lit(1)) / block)).scalar()
+    placed = counted.withColumn("block", F.pmod(F.xxhash64("v"), blocks).cast("int"))
     sizes = placed.groupBy(*keys, "block").agg(
         F.sum("c").alias("size"), F.array_sort(F.collect_list(F.struct("v", "c"))).alias("d")
     )

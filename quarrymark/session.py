@@ -14,13 +14,13 @@ ROCKSDB_PROVIDER = (
 def build_session(
     master: str = "local[*]",
     app_name: str = "quarrymark",
-    shuffle_partitions: int | None = 8,
+    shuffle_partitions: int | None = None,
     driver_memory: str | None = None,
     checkpoint_dir: str | None = None,
 ) -> SparkSession:
     """Create (or reuse) a session.
 
-    On a cluster pass ``shuffle_partitions=None``: AQE coalesces from the cluster's own setting.  ``checkpoint_dir`` only
+    Without ``shuffle_partitions`` the cluster's own setting stands, and AQE coalesces from there.  ``checkpoint_dir`` only
     applies where the session has none, so a cluster-provided shared folder always wins.
     """
     builder = (

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrymark.functions.text import let
+
 # What is read, and which front-matter names are kept.
 EXTENSIONS = ("md", "txt", "pdf")
 METADATA = "title id version effective_date valid_until published_date status supersedes doc_type applicant_type".split()
 # The Windows Latin page differs from ISO 8859-1 in these code points.
 _CODES = [b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
 WINDOWS = ("".join(map(chr, _CODES)), bytes(_CODES).decode("cp1252"))
+LONGEST_VALUE = 120
 FRONT_MATTER = r"\A---[ \t]*\n(?s:(.*?))\n---[ \t]*(?:\n|\z)"
 
 
@@ -31,9 +34,10 @@ def decoded(content: Column) -> Column:
     return F.regexp_replace(F.when(F.is_valid_utf8(text), text).otherwise(latin), "^﻿", "")
 
 
-def metadata(block: Column) -> Column:
-    """Whitelisted `name: value` lines: dates cut to the day, lists joined by commas, control characters removed, 120 characters at
-    most."""
+def metadata(block: Column, longest: int = LONGEST_VALUE) -> Column:
+    """Whitelisted `name: value` lines: dates cut to the day, lists joined by commas, control characters removed.
+
+    A value is cut at ``longest`` characters, and the names of cut values are listed under ``_cut``."""
     lines = F.filter(F.split(block, "\n"), lambda l: l.rlike(r"^[A-Za-z_]+:\s*\S"))
     pairs = F.transform(
         lines,
@@ -47,10 +51,18 @@ def metadata(block: Column) -> Column:
         v = F.when(v.rlike(r"^\[.*\]$"), F.regexp_replace(F.regexp_replace(v, r"^\[|\]$", ""), r"\s*,\s*", ",")).otherwise(v)
         v = F.regexp_replace(v, r"\p{Cntrl}", " ")
         day = F.regexp_extract(v, r"^(\d{4}-\d{2}-\d{2})(?:[T ].*)?$", 1)
-        return F.left(F.when(day != "", day).otherwise(v), F.lit(120))
+        return F.when(day != "", day).otherwise(v)
 
     kept = F.filter(pairs, lambda p: p["k"].isin(METADATA))
-    return F.map_from_entries(F.transform(kept, lambda p: F.struct(p["k"], clean(p["v"]))))
+    whole = F.transform(kept, lambda p: F.struct(p["k"].alias("k"), clean(p["v"]).alias("v")))
+
+    def shortened(ps: Column) -> Column:
+        long = F.filter(ps, lambda p: F.length(p["v"]) > longest)
+        names = F.struct(F.lit("_cut").alias("k"), F.array_join(F.transform(long, lambda p: p["k"]), ",").alias("v"))
+        short = F.transform(ps, lambda p: F.struct(p["k"].alias("k"), F.left(p["v"], F.lit(longest)).alias("v")))
+        return F.map_from_entries(F.when(F.size(long) > 0, F.concat(short, F.array(names))).otherwise(short))
+
+    return let(whole, shortened)
 
 
 def load(files: DataFrame) -> DataFrame:
@@ -109,9 +121,9 @@ def document_ids(docs: DataFrame) -> DataFrame:
     from quarrymark.operators.ordered import Split
 
     base = F.coalesce(native, stem)
-    rows = docs.withColumn("native", native.isNotNull()).withColumn("base", base).withColumn("shard", F.left("path", F.lit(1)))
+    rows = docs.withColumn("native", native.isNotNull()).withColumn("base", base)
     placed = Split(["base"], ["path"], F.lit(0)).position(rows, "k")
     clash = F.col("native") & (F.col("k") > 1)
     chosen = F.when(F.col("k") == 1, F.col("base")).otherwise(F.concat_ws("_", "base", F.col("k").cast("string")))
     checked = F.when(clash, F.raise_error(F.concat(F.lit("document id used twice: "), "base"))).otherwise(chosen)
-    return placed.withColumn("document_id", checked.cast("string")).drop("native", "base", "k", "shard")
+    return placed.withColumn("document_id", checked.cast("string")).drop("native", "base", "k")

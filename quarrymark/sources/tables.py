@@ -10,6 +10,9 @@ TABLES = (
 ).split()
 
 
+SMALL = 8
+
+
 class Tables:
     """Attribute access to the tables of one folder: ``Tables(spark, path).documents``."""
 
@@ -24,12 +27,12 @@ class Tables:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash a frame by key only when its scan has fewer splits than there are task slots.
+    """Hash a frame by key only when its scan is a handful of splits, fewer than an eighth of the task slots.
 
-    A single-row-group file would otherwise be processed by one task.  An input with many splits is left where it is, so no
-    text is shuffled at scale; later aggregations then add the exchange they need after filtering and combining.
+    A single-row-group file would otherwise be processed by one task.  Such an input is small by its number of splits; any other is
+    left where it is, so no text is shuffled at scale.  The rows are the same either way.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots:
+    if SMALL * df.rdd.getNumPartitions() > slots:
         return df
     return df.repartition(slots, *keys)

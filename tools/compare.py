@@ -67,7 +67,7 @@ def main() -> int:
     from quarrymark.plans.catalogue import CATALOGUE
     from quarrymark.session import build_session
 
-    spark = build_session("local[8]", driver_memory="8g")
+    spark = build_session("local[8]", driver_memory="8g", shuffle_partitions=8)
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(args.d)
     names = args.names or [
