@@ -91,4 +91,117 @@ SQL: dict[str, str] = {
                true AS intact
         FROM payloads LEFT JOIN keepers USING (payload_digest)
     """,
+    "op3_fm_index_decontamination": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+            FROM documents
+        ), b AS (
+            SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+            FROM benchmark
+        ), bw AS (
+            SELECT DISTINCT item, n, array_to_string(ws[i:i + n - 1], ' ') AS s
+            FROM (SELECT item, ws, n, unnest(range(1, len(ws) - n + 2)) AS i
+                  FROM (SELECT *, least(len(ws), 10) AS n FROM b) WHERE n > 0)
+        ), dw AS (
+            SELECT doc_id, i, n, array_to_string(ws[i:i + n - 1], ' ') AS s
+            FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i
+                  FROM d JOIN (SELECT DISTINCT n FROM bw) ON len(ws) >= n)
+        ), hits AS (
+            SELECT doc_id, i, dw.n, item FROM dw JOIN bw ON dw.n = bw.n AND dw.s = bw.s
+        ), words AS (
+            SELECT doc_id, count(DISTINCT p) AS n_hit
+            FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id
+        ), items AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+            FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id
+        )
+        SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+    """,
+    "op5_quotation_linking": r"""
+        WITH RECURSIVE m AS (
+            SELECT conv_id, turn, role,
+                   string_split(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), chr(10)) AS ls
+            FROM conversations
+        ), x AS (
+            SELECT conv_id, turn,
+                   length(translate(regexp_extract(raw, '^[ \t]*((?:>[ \t]?)+)', 1), ' ' || chr(9), '')) AS level,
+                   trim(regexp_replace(lower(regexp_replace(raw, '^[ \t]*((?:>[ \t]?)+)', '')), '[^\p{L}\p{N}]+', ' ', 'g'))
+                       AS plain
+            FROM (SELECT conv_id, turn, unnest(ls) AS raw FROM m)
+        ), said AS (
+            SELECT conv_id, plain, min(turn) AS from_turn FROM x WHERE level = 0 AND plain <> '' GROUP BY ALL
+        ), quoted AS (
+            SELECT conv_id, turn, plain, min(level) AS level FROM x WHERE level > 0 AND plain <> '' GROUP BY ALL
+        ), p AS (
+            SELECT q.conv_id, q.turn, count(*) AS n_linked, max(s.from_turn) FILTER (WHERE q.level = 1) AS parent_turn
+            FROM quoted q JOIN said s ON s.conv_id = q.conv_id AND s.plain = q.plain AND s.from_turn < q.turn
+            GROUP BY ALL
+        ), walk AS (
+            SELECT conv_id, turn, turn AS top FROM m
+            UNION ALL
+            SELECT w.conv_id, w.turn, p.parent_turn FROM walk w JOIN p ON p.conv_id = w.conv_id AND p.turn = w.top
+            WHERE p.parent_turn IS NOT NULL
+        ), roots AS (
+            SELECT conv_id, turn, min(top) AS root_turn FROM walk GROUP BY ALL
+        )
+        SELECT m.conv_id, m.turn, m.role,
+               trim(array_to_string(list_filter(ls, lambda l: NOT regexp_matches(l, '^[ \t]*>')), chr(10)),
+                    ' ' || chr(9) || chr(10)) AS text,
+               len(list_filter(ls, lambda l: regexp_matches(l, '^[ \t]*>'))) AS n_quoted,
+               coalesce(n_linked, 0) AS n_linked, parent_turn, root_turn,
+               row_number() OVER (PARTITION BY m.conv_id ORDER BY root_turn, m.turn) AS position
+        FROM m LEFT JOIN p USING (conv_id, turn) JOIN roots USING (conv_id, turn)
+    """,
+    "op7_quality_rules": r"""
+        WITH t AS (
+            SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents
+        ), w AS (
+            SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws,
+                   list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls
+            FROM t
+        ), g AS (
+            SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS s
+            FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)
+        ), twice AS (
+            SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS c FROM g) WHERE c > 1
+        ), r AS (
+            SELECT doc_id, CAST(sum(least(8, coalesce(nxt - i, 8))) AS BIGINT) AS n
+            FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM twice) GROUP BY doc_id
+        ), m AS (
+            SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+                   len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+                   len(regexp_extract_all(text, '[!?]')) AS marks,
+                   len(ls) AS lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+                   CASE lang
+                   WHEN 'en' THEN len(list_filter(ws, lambda x: lower(rtrim(x, '.,;:!?')) IN ({en})))
+                   WHEN 'de' THEN len(list_filter(ws, lambda x: lower(rtrim(x, '.,;:!?')) IN ({de})))
+                   WHEN 'fr' THEN len(list_filter(ws, lambda x: lower(rtrim(x, '.,;:!?')) IN ({fr})))
+                   WHEN 'es' THEN len(list_filter(ws, lambda x: lower(rtrim(x, '.,;:!?')) IN ({es}))) END AS stops,
+                   len(list_filter(ls, lambda l: regexp_matches(l, '^\s*[-*•]\s'))) AS bullets,
+                   len(list_filter(ls, lambda l: regexp_matches(l, '(\.\.\.|…)\s*$'))) AS ellipses
+            FROM w LEFT JOIN r USING (doc_id)
+        ), q AS (
+            SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+                   CASE WHEN n_words > 0 THEN word_chars / n_words END AS mean_word_length,
+                   CASE WHEN n_words > 0 THEN n_symbols / n_words END AS symbol_ratio,
+                   CASE WHEN n_words > 0 THEN marks / n_words END AS mark_ratio,
+                   CASE WHEN n_words > 0 THEN stops / n_words END AS stop_word_ratio,
+                   CASE WHEN lines > 0 THEN n_dup_lines / lines END AS dup_line_ratio,
+                   CASE WHEN lines > 0 THEN bullets / lines END AS bullet_line_ratio,
+                   CASE WHEN lines > 0 THEN ellipses / lines END AS ellipsis_line_ratio,
+                   n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed
+            FROM m
+        )
+        SELECT *, NOT base_failed AND coalesce(mean_word_length BETWEEN 1.5 AND 30, true)
+               AND coalesce(symbol_ratio <= 0.3, true) AND coalesce(mark_ratio <= 0.5, true)
+               AND coalesce(stop_word_ratio >= 0.01, true) AND coalesce(dup_line_ratio <= 0.5, true)
+               AND coalesce(bullet_line_ratio <= 0.9, true) AND coalesce(ellipsis_line_ratio <= 0.5, true) AS kept
+        FROM q
+    """.format(**{code: ", ".join(f"'{w}'" for w in words) for code, words in quality_rules.STOP_WORDS.items()}),
 }

@@ -75,3 +75,28 @@ def test_native_plan(spark):
     frame = quotation.links(quotation.parsed(from_folder(spark, "conversations")))
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_sql_agrees_on_quotes(spark):
+    import random
+
+    import compare
+    import duckdb
+
+    from quarrymark.llm import queries
+
+    rng = random.Random(6)
+    lines = [f"Line {i}, said once" for i in range(12)]
+    rows = []
+    for conv in range(6):
+        for turn in range(25):
+            text = "\n".join(rng.choice(["", "> ", ">> ", "", " > > "]) + rng.choice(lines) for _ in range(rng.randint(0, 4)))
+            rows.append((conv, turn, "u", text))
+    frame = talk(spark, rows)
+    got = quotation.conversations_in_reply_order(frame)
+    con = duckdb.connect()
+    con.register("conversations", frame.select("conv_id", "turn", "role", "text").toPandas())
+    rel = con.sql(queries.SQL["op5_quotation_linking"])
+    mine = [tuple(r) for r in got.collect()]
+    assert any(r.n_linked for r in got.collect())
+    assert compare.canonical(got.columns, mine) == compare.canonical(rel.columns, [tuple(None if x != x else x for x in r) for r in rel.fetchall()])
