@@ -4,9 +4,18 @@ A block is a fixed number of documents of one source.  With target weight w, blo
 floor(j / w) and must run before its deadline ceil((j + 1) / w).  Running the released block with the earliest deadline in every
 slot keeps each source within less than one block of its target after any number of slots.
 
-Weights are fractions a / P of a common period P, so all windows repeat after P slots.  The schedule of one period is therefore
-worked out once, as a fold over P slots in one small row, and every block finds its slot by arithmetic: no loop over documents, and
-no row of the corpus is ordered by more than its own source.
+Sources of almost equal weight (within one percent) form a group.  A group's blocks go round its sources in turn: block j of the i-th
+of m sources is block j * m + i of the group, and its window lies inside the source's own window, so only groups are scheduled.
+Their number grows with the logarithm of the weights' range, not with the sources.
+
+Group weights are fractions a / P of a common period P, so all windows repeat after P slots.  P grows until rounding changes no
+group by more than two percent.  The schedule of one period is worked out once, as a fold over P slots and the groups, and every
+block finds its slot by arithmetic: no loop over documents or sources.
+
+The smallest groups, together at most 0.4 percent of the weight, would make P very long.  They share a reserve of two percent of
+the slots: a source of share u of the reserve owns the slots r modulo q there, with q a power of two of at most 1 / u - 2, and each
+block takes the first of them in its window.  Slots of the reserve that nobody takes stay empty.  In all, a source's share of
+the slots is within five percent of its target, and each block within its window.
 
 Documents are numbered inside their source by (hash range, hash, id): ranges are counted first and their offsets added, so that
 a source with a third of all rows is numbered by many tasks.
@@ -20,6 +29,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quarrymark.llm.store import written
 
@@ -27,27 +37,111 @@ BLOCK = 16
 PERIOD = 1000
 FLATTEN = 0.9
 CELLS = 256
+STEP = 1.01
+PRECISION = 50
+TAIL = 0.004
+RESERVE = 0.02
+TAIL_GROUP = -(10**6)
+BITS = 40
+SLOTS = 1000
 
 
-def _weights(counts: DataFrame, target: dict[str, float] | None, flatten: float, period: int) -> DataFrame:
-    """(source, n, share): integer shares of the period for each source, at least 1, apportioned by largest remainder."""
+def _weights(counts: DataFrame, target: dict[str, float] | None, flatten: float) -> DataFrame:
+    """(source, n, w, grp): sources of positive weight, and the group of almost equal weights each is in."""
     if target is None:
         weighted = counts.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(flatten)))
     else:
-        value = F.lit(0.0)
-        for name, w in target.items():
-            value = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(float(w))).otherwise(value)
-        weighted = counts.withColumn("w", value).where("w > 0")
-    everything = Window.partitionBy(F.lit(0))  # one row per source, not per document
-    sized = weighted.withColumn("sources", F.count(F.lit(1)).over(everything)).withColumn(
-        "period", F.greatest(F.lit(period), F.col("sources"))
+        kinds = StructType([StructField("t_source", counts.schema["source"].dataType), StructField("w", DoubleType())])
+        given = counts.sparkSession.createDataFrame([(name, float(w)) for name, w in target.items()], kinds)
+        weighted = counts.join(given, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
+    group = F.floor(F.log("w") / F.log(F.lit(STEP))).cast("int")
+    return weighted.where("w > 0").select("source", "n", "w", group.alias("grp"))
+
+
+def _groups(weights: DataFrame) -> DataFrame:
+    """(grp, members, in_tail, part, total_w, total_n): a row a group, its part of the slots, the tail's being the reserve."""
+    sums = weights.groupBy("grp").agg(F.count(F.lit(1)).alias("members"), F.sum("w").alias("mass"), F.sum("n").alias("docs"))
+    everything = Window.partitionBy(F.lit(0))  # one row per group of weights, not per source
+    rising = everything.orderBy("mass", "grp").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = F.sum("mass").over(everything)
+    marked = sums.withColumn("in_tail", F.sum("mass").over(rising) <= TAIL * total)
+    large = F.sum(F.when(F.col("in_tail"), 0.0).otherwise(F.col("mass"))).over(everything)
+    reserve = F.when(F.max("in_tail").over(everything), RESERVE).otherwise(0.0)
+    part = F.when(F.col("in_tail"), reserve).otherwise(F.col("mass") / large * (1 - reserve))
+    return marked.select(
+        "grp",
+        "members",
+        "in_tail",
+        part.alias("part"),
+        total.alias("total_w"),
+        F.sum("docs").over(everything).alias("total_n"),
+    )
+
+
+def _shares(groups: DataFrame, period: int) -> DataFrame:
+    """(source, share, period): integer shares of the period for each group, the tail as one, apportioned by largest remainder."""
+    name = F.when(F.col("in_tail"), TAIL_GROUP).otherwise(F.col("grp"))
+    parts = groups.groupBy(name.alias("source")).agg(F.max("part").alias("part"))
+    everything = Window.partitionBy(F.lit(0))
+    least = F.ceil(PRECISION / F.min("part").over(everything))
+    cut = parts.withColumn("period", F.greatest(F.lit(period).cast("long"), least)).withColumn(
+        "ideal", F.col("part") * F.col("period")
+    )
+    whole = cut.withColumn("whole", F.floor("ideal"))
+    by_rest = everything.orderBy(F.desc(F.col("ideal") - F.col("whole")), "source")
+    extra = F.row_number().over(by_rest) <= F.col("period") - F.sum("whole").over(everything)
+    return whole.select("source", (F.col("whole") + extra.cast("long")).alias("share"), "period")
+
+
+def _placed(weights: DataFrame, groups: DataFrame, shares: DataFrame) -> DataFrame:
+    """Every source with its weight and its place in its group: ``rank`` of ``members``, or ``r`` modulo ``q`` in the reserve."""
+    named = weights.join(groups, "grp").withColumn("slots_of", F.when(F.col("in_tail"), TAIL_GROUP).otherwise(F.col("grp")))
+    sized = named.join(shares.withColumnRenamed("source", "slots_of"), "slots_of")
+    weight = F.col("w") / F.col("total_w")
+    every = F.col("share") / F.col("period") / weight  # 1 / u
+    bits = F.least(F.floor(F.log2(every - 2)).cast("int"), F.lit(BITS))
+    sized = sized.withColumns({"weight": weight, "every": every, "bits": F.when(F.col("in_tail"), bits)})
+    sized = sized.withColumn("row", F.when(F.col("in_tail"), TAIL_GROUP - F.col("bits")).otherwise(F.col("grp")))
+    ranks = _numbered(sized, "source", "row").select(F.col("doc_id").alias("r_source"), F.col("seq").alias("rank"))
+    ranked = sized.join(ranks, F.col("source").eqNullSafe(F.col("r_source")))
+
+    # residues: bits reversed, a source of q slots takes 1 / q of the numbers below 2 ** BITS, longest runs first
+    unit = F.pow(F.lit(2.0), BITS - F.col("bits")).cast("long")
+    tail = sized.where("in_tail").groupBy("bits").agg(F.count(F.lit(1)).alias("k"))
+    before = Window.partitionBy(F.lit(0)).orderBy("bits").rowsBetween(Window.unboundedPreceding, -1)
+    begins = tail.select(F.col("bits").alias("b"), F.coalesce(F.sum(F.col("k") * unit).over(before), F.lit(0)).alias("begin"))
+    full = ranked.join(begins, F.col("bits") == F.col("b"), "left")
+    number = F.floor(F.col("begin") / unit).cast("long") + F.col("rank")
+    turned = F.conv(F.reverse(F.lpad(F.bin(number), F.col("bits"), F.lit("0"))), 2, 10).cast("long")
+    favoured = weight >= F.col("n") / F.col("total_n") * (1 - 1e-9)
+    return full.select(
+        "source",
+        "n",
+        favoured.alias("favoured"),
+        F.col("slots_of").alias("grp"),
+        "share",
+        "period",
+        "members",
+        "rank",
+        "weight",
+        "every",
+        "in_tail",
+        F.pow(F.lit(2.0), F.col("bits")).cast("long").alias("q"),
+        turned.alias("r"),
     )
-    ideal = F.col("w") / F.sum("w").over(everything) * (F.col("period") - F.col("sources"))
-    cut = sized.withColumn("ideal", ideal).withColumn("whole", F.floor("ideal").cast("int"))
-    by_rest = everything.orderBy(F.desc(F.col("ideal") - F.col("whole")), F.asc_nulls_first("source"))
-    spare = F.col("period") - F.col("sources") - F.sum("whole").over(everything)
-    extra = (F.row_number().over(by_rest) <= spare).cast("int")
-    return cut.select("source", "n", "period", (F.lit(1) + F.col("whole") + extra).cast("int").alias("share"))
+
+
+def _turn(block: Column) -> Column:
+    """Which of its group's slots a block of a source takes, from 0."""
+    first = F.ceil(block * F.col("every"))
+    reserved = first + F.pmod(F.col("r") - first, F.col("q"))
+    return F.when(F.col("in_tail"), reserved).otherwise(block * F.col("members") + F.col("rank"))
+
+
+def _time(block: Column) -> Column:
+    """Ideal time of the start of a block, in slots."""
+    grouped = block * F.col("members") * F.col("period") / F.col("share")
+    return F.when(F.col("in_tail"), block / F.col("weight")).otherwise(grouped)
 
 
 def _earliest(state: Column, slot: Column, shares: Column, period: Column) -> Column:
@@ -63,11 +157,11 @@ def _earliest(state: Column, slot: Column, shares: Column, period: Column) -> Co
 
 
 def schedule(weights: DataFrame) -> DataFrame:
-    """(source, share, period, turn, at): the slot inside a period of the turn-th block of each source."""
-    row = weights.agg(
-        F.sort_array(F.collect_list(F.struct("source", "share"))).alias("sources"), F.max("period").alias("period")
-    ).where(F.size("sources") > 0)
-    row = row.withColumn("shares", F.transform("sources", lambda s: s["share"]))
+    """(source, share, period, turn, at): the slot inside a period of the turn-th block of each source, or group of sources."""
+    pair = F.struct("source", F.col("share").cast("long").alias("share"))
+    row = weights.agg(F.sort_array(F.collect_list(pair)).alias("sources"), F.max("period").cast("long").alias("period"))
+    row = row.where(F.size("sources") > 0).withColumn("shares", F.transform("sources", lambda s: s["share"]))
+    none = F.array().cast("array<int>")
 
     def step(state: Column, slot: Column) -> Column:
         def take(pick: Column) -> Column:
@@ -79,11 +173,20 @@ def schedule(weights: DataFrame) -> DataFrame:
         chosen = _earliest(state["done"], slot, F.col("shares"), F.col("period"))
         return F.get(F.transform(F.array(chosen), take), F.lit(0))
 
+    def stretch(state: Column, first: Column) -> Column:  # lists grow by SLOTS picks, so nothing long is copied for every slot
+        slots = F.sequence(first, F.least(first + SLOTS, F.col("period")) - 1)
+        begin = F.struct(state["done"].alias("done"), none.alias("picks"))
+
+        def joined(end: Column) -> Column:
+            return F.struct(end["done"].alias("done"), F.concat(state["parts"], F.array(end["picks"])).alias("parts"))
+
+        return F.get(F.transform(F.array(F.aggregate(slots, begin, step)), joined), F.lit(0))
+
     start = F.struct(
-        F.transform("shares", lambda s: F.lit(0)).alias("done"), F.array().cast("array<int>").alias("picks")
+        F.transform("shares", lambda s: F.lit(0).cast("long")).alias("done"), F.array().cast("array<array<int>>").alias("parts")
     )
-    slots = F.sequence(F.lit(0), F.col("period") - 1)
-    picks = row.select("sources", "period", F.aggregate(slots, start, step)["picks"].alias("picks"))
+    firsts = F.sequence(F.lit(0).cast("long"), F.col("period") - 1, F.lit(SLOTS).cast("long"))
+    picks = row.select("sources", "period", F.flatten(F.aggregate(firsts, start, stretch)["parts"]).alias("picks"))
     runs = picks.select("sources", "period", F.posexplode("picks").alias("at", "pick"))
     named = runs.select(F.get("sources", F.col("pick")).alias("s"), "period", "at")
     turn = F.row_number().over(Window.partitionBy("s").orderBy("at")) - 1
@@ -125,42 +228,36 @@ def mixed(
     """
     numbered = _numbered(docs, key, source)
     counts = docs.select(docs[source].alias("source")).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    weights = written(_weights(counts, target, flatten, period), "mix-weights")
-    plan = written(schedule(weights), "mix-schedule")
+    weights = written(_weights(counts, target, flatten), "mix-weights")
+    groups = written(_groups(weights), "mix-groups")
+    shares = written(_shares(groups, period), "mix-shares")
+    sources = written(_placed(weights, groups, shares), "mix-sources")
+    plan = written(schedule(shares).select(F.col("source").alias("p_grp"), F.col("turn").alias("p_turn"), "at"), "mix-schedule")
 
-    def slot_of(number: Column) -> Column:
-        return F.floor(number / F.col("share")) * F.col("period") + F.col("at")
+    def timed(frame: DataFrame) -> DataFrame:
+        turns = frame.withColumn("turn", _turn(F.col("block")))
+        ours = (F.col("grp") == F.col("p_grp")) & (F.col("turn") % F.col("share") == F.col("p_turn"))
+        slot = F.floor(F.col("turn") / F.col("share")) * F.col("period") + F.col("at")
+        return turns.join(plan, ours, "left").withColumn("slot", slot)
 
     # the last block of each favoured source ends the mix; one number comes back
-    everything = Window.partitionBy(F.lit(0))
-    last = weights.select(
-        F.col("source").alias("w_source"),
-        "n",
-        F.floor((F.col("n") - 1) / block).alias("last"),
-        F.sum("n").over(everything).alias("total"),
-    )
-    ends = last.join(
-        plan, F.col("w_source").eqNullSafe(F.col("source")) & (F.col("last") % F.col("share") == F.col("turn"))
-    )
-    favoured = F.col("share") * F.col("total") >= F.col("n") * F.col("period")
-    end = ends.agg(F.max(F.when(favoured, slot_of(F.col("last")))).alias("end")).first()["end"]
-
-    shares = plan.select(F.col("source").alias("s_source"), "share", "period").distinct()
-    shared = numbered.join(shares, numbered["source"].eqNullSafe(shares["s_source"]), "left").drop("s_source")
-    blocks = shared.withColumn("block", F.floor(F.col("seq") / block)).withColumn("turn", F.col("block") % F.col("share"))
-    p = plan.select(F.col("source").alias("p_source"), F.col("turn").alias("p_turn"), "at")
-    timed = blocks.join(p, blocks["source"].eqNullSafe(p["p_source"]) & (blocks["turn"] == p["p_turn"]), "left")
-    slot = slot_of(F.col("block"))
-    return timed.select(
+    last = timed(sources.where("favoured").withColumn("block", F.floor((F.col("n") - 1) / block)))
+    end = last.agg(F.max("slot").alias("end")).first()["end"]
+
+    known = sources.withColumnRenamed("source", "s_source").drop("n")
+    shared = numbered.join(known, numbered["source"].eqNullSafe(known["s_source"]), "left").drop("s_source")
+    placed = timed(shared.withColumn("block", F.floor(F.col("seq") / block)))
+    even = F.col("share") / (F.col("period") * F.col("members"))
+    return placed.select(
         "doc_id",
         "source",
-        (F.col("share") / F.col("period")).alias("target_weight"),
+        F.when(F.col("in_tail"), F.col("weight")).otherwise(even).alias("target_weight"),
         "block",
-        F.floor(F.col("block") * F.col("period") / F.col("share")).alias("release"),
-        F.ceil((F.col("block") + 1) * F.col("period") / F.col("share")).alias("deadline"),
-        slot.alias("slot"),
-        (slot * block + F.col("seq") % block).alias("position"),
-        F.coalesce(slot <= F.lit(end), F.lit(False)).alias("in_mix"),
+        F.floor(_time(F.col("block"))).alias("release"),
+        F.ceil(_time(F.col("block") + 1)).alias("deadline"),
+        "slot",
+        (F.col("slot") * block + F.col("seq") % block).alias("position"),
+        F.coalesce(F.col("slot") <= F.lit(end), F.lit(False)).alias("in_mix"),
     )
 
 

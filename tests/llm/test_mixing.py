@@ -79,3 +79,34 @@ def test_schedule_is_earliest_deadline_first(spark):
         pick = min(ready)[1]
         done[pick] += 1
         assert got[t] == pick
+
+
+def test_targets_hold_with_two_thousand_sources_and_one_hot(spark):
+    names = ["hot"] * 10_000 + [f"s{i}" for i in range(2000) for _ in range(10)]
+    docs = spark.createDataFrame(list(enumerate(names)), "doc_id long, source string")
+    target = {"hot": 0.33} | {f"s{i}": 0.67 / 2000 for i in range(2000)}
+    for given, share in ((target, 0.33), (None, 10_000**0.9 / (10_000**0.9 + 2000 * 10**0.9))):
+        rows = mixing.mixed(docs, given).collect()
+        assert len(rows) == len(names)
+        weights = {r["source"]: r["target_weight"] for r in rows}
+        assert weights["hot"] == pytest.approx(share, rel=0.05)
+        assert all(w == pytest.approx((1 - share) / 2000, rel=0.05) for s, w in weights.items() if s != "hot")
+        assert all(r["release"] <= r["slot"] < r["deadline"] for r in rows)
+        blocks = {(r["source"], r["block"]) for r in rows}
+        assert len({r["slot"] for r in rows}) == len(blocks)
+        taken = Counter(r["source"] for r in rows if r["in_mix"])
+        if given is None:
+            assert taken["hot"] > 2000 and all(taken[s] == 10 for s in weights if s != "hot")
+        else:
+            assert taken["hot"] > 4000
+
+
+def test_smallest_sources_keep_their_windows(spark):
+    names = [f"big{i}" for i in range(3) for _ in range(6000 + 500 * i)] + [f"s{i}" for i in range(8) for _ in range(1 + i % 4)]
+    docs = spark.createDataFrame(list(enumerate(names)), "doc_id long, source string")
+    rows = mixing.mixed(docs, block=1).collect()
+    checked(rows, 1)
+    weights, sizes = {r["source"]: r["target_weight"] for r in rows}, Counter(names)
+    total = sum(n**0.9 for n in sizes.values())
+    assert all(w == pytest.approx(sizes[s] ** 0.9 / total, rel=0.05) for s, w in weights.items())
+    assert len({r["position"] for r in rows}) == len(rows)
