@@ -6,7 +6,8 @@ the sums of count times number over the pages are equal exactly when the vectors
 from sums that are combined before they are shuffled, however many pages a host has.
 
 Classes with enough support make the template.  They nest along their element paths, since a path is opened on every page its
-inner paths are.  A text whose class is that of the element it stands in is a constant of the template.  A path is a slot; one
+inner paths are.  A text that belongs to the class of the page or of any element around it is a constant of the template, wherever
+article text shares its path.  The order of a class's members on the pages is not compared.  A path is a slot; one
 whose text is mostly links over the whole host is a menu.  What is left of a page when constants, menus and elements with another
 purpose (by element name, role or class words) are taken away is its article; an ``article`` or ``main`` element, where there is
 one, bounds it.
@@ -41,7 +42,7 @@ ROWS = 200
 PAGE = 0
 
 TOKENS = (
-    "host string, token long, at long, n long, total long, sum_a long, sum_b long, chars long, linked long"
+    "host string, token long, at long, around array<long>, n long, total long, sum_a long, sum_b long, chars long, linked long"
 )
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
@@ -58,19 +59,25 @@ def text_token(path: str, text: str) -> int:
     return _signed(xxhash.xxh64_intdigest(f"{path}\n{text}"))
 
 
-def _page_tokens(html: str) -> dict[int, list[int]]:
-    """token -> [path token it stands in, count, characters, linked characters]; PAGE counts the page itself."""
+def _around(path: str) -> list[int]:
+    """The page, the element of a path and all elements around it."""
+    parts = path.split(">")
+    return [PAGE] + [path_token(">".join(parts[: i + 1])) for i in range(min(1, len(parts) - 1), len(parts))]
+
+
+def _page_tokens(html: str) -> dict[int, list]:
+    """token -> [path token it stands in, count, characters, linked characters, path]; PAGE counts the page itself."""
     blocks, opened = parse(html)
-    tokens = {PAGE: [PAGE, 1, 0, 0]}
+    tokens = {PAGE: [PAGE, 1, 0, 0, ""]}
     for path, count in opened.items():
-        tokens[path_token(path)] = [PAGE, count, 0, 0]
+        tokens[path_token(path)] = [PAGE, count, 0, 0, path]
     for b in blocks:
         at = path_token(b.path)
-        slot = tokens.setdefault(at, [PAGE, 1, 0, 0])
+        slot = tokens.setdefault(at, [PAGE, 1, 0, 0, b.path])
         slot[2] += len(b.text)
         slot[3] += b.linked
         if len(b.text) <= SHORT_TEXT:
-            t = tokens.setdefault(text_token(b.path, b.text), [at, 0, 0, 0])
+            t = tokens.setdefault(text_token(b.path, b.text), [at, 0, 0, 0, None])
             t[1] += 1
             t[2] += len(b.text)
     return tokens
@@ -78,13 +85,13 @@ def _page_tokens(html: str) -> dict[int, list[int]]:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Token sums of the pages a task reads, combined up to HELD tokens at a time."""
-    held: dict[tuple[str, int], list[int]] = {}
+    held: dict[tuple[str, int], list] = {}
 
     def out() -> pa.RecordBatch:
         rows = [(host, token, *sums) for (host, token), sums in held.items()]
         held.clear()
-        kinds = [pa.string()] + [pa.int64()] * 8
-        names = ["host", "token", "at", "n", "total", "sum_a", "sum_b", "chars", "linked"]
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64())] + [pa.int64()] * 6
+        names = ["host", "token", "at", "around", "n", "total", "sum_a", "sum_b", "chars", "linked"]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     for batch in batches:
@@ -92,16 +99,16 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(lo, ROWS)
             for host, mark, html in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 a, b = mark & 0x7FFFFFFF, (mark >> 32) & 0x7FFFFFFF
-                for token, (at, count, chars, linked) in _page_tokens(html).items():
+                for token, (at, count, chars, linked, path) in _page_tokens(html).items():
                     sums = held.get((host, token))
                     if sums is None:
-                        sums = held[host, token] = [at, 0, 0, 0, 0, 0, 0]
-                    sums[1] += 1
-                    sums[2] += count
-                    sums[3] += count * a
-                    sums[4] += count * b
-                    sums[5] += chars
-                    sums[6] += linked
+                        sums = held[host, token] = [at, None if path is None else _around(path), 0, 0, 0, 0, 0, 0]
+                    sums[2] += 1
+                    sums[3] += count
+                    sums[4] += count * a
+                    sums[5] += count * b
+                    sums[6] += chars
+                    sums[7] += linked
             if len(held) >= HELD:
                 yield out()
     if held:
@@ -117,19 +124,23 @@ def templates(pages: DataFrame) -> DataFrame:
     """(host, drop): the path tokens of menu slots and the text tokens of template constants of each host."""
     marked = pages.select("host", F.xxhash64("page_id", "url").alias("mark"), "html")
     sums = [F.sum(c).alias(c) for c in ("n", "total", "sum_a", "sum_b", "chars", "linked")]
-    counted = marked.mapInArrow(_counted, TOKENS).groupBy("host", "token").agg(F.first("at").alias("at"), *sums)
+    counted = marked.mapInArrow(_counted, TOKENS).groupBy("host", "token").agg(
+        F.first("at").alias("at"), F.first("around").alias("around"), *sums
+    )
     tokens = written(counted.where((F.col("n") > 1) | (F.col("token") == PAGE)), "tokens")
 
     per_host = tokens.where(F.col("token") == PAGE).select("host", F.col("n").alias("pages"))
     common = tokens.join(per_host, "host").where(
-        (F.col("n") >= LEAST_PAGES) & (F.col("n") >= SUPPORT * F.col("pages")) & (F.col("token") != PAGE)
+        (F.col("n") >= LEAST_PAGES) & (F.col("n") >= SUPPORT * F.col("pages"))
     )
     vector = ["n", "total", "sum_a", "sum_b"]
     supported = written(common.withColumn("class", F.xxhash64(*vector)), "classes")
-    paths = supported.where(F.col("at") == PAGE)
-    texts = supported.where(F.col("at") != PAGE)
-    outer = paths.select("host", F.col("token").alias("at"), F.col("class").alias("outer"))
-    constants = texts.join(outer, ["host", "at"]).where(F.col("class") == F.col("outer"))
+    paths = supported.where(F.col("around").isNotNull())
+    texts = supported.where(F.col("around").isNull())
+    outer = paths.select("host", F.col("token").alias("above"), F.col("class").alias("outer"))
+    ways = paths.select("host", F.col("token").alias("at"), F.explode("around").alias("above"))
+    enclosing = ways.join(outer, ["host", "above"]).select("host", "at", F.col("outer").alias("class")).distinct()
+    constants = texts.join(enclosing, ["host", "at", "class"], "left_semi")
     # pages that are copies of each other make everything look constant: then nothing is
     seen = paths.groupBy("host").agg(F.sum("chars").alias("all_chars"))
     share = constants.groupBy("host").agg(F.sum("chars").alias("constant_chars")).join(seen, "host")

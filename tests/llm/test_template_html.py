@@ -108,3 +108,13 @@ def test_equal_vectors_give_equal_sums():
     sums = {r["token"]: (r["n"], r["total"], r["sum_a"], r["sum_b"]) for r in out.to_pylist()}
     assert sums[th.path_token(">div")] == sums[th.PAGE] == sums[th.text_token(">div>p", "same")]
     assert sums[th.path_token(">div>p")][1] == 16
+
+
+def test_constant_beside_article_text_goes(spark):
+    def page(i: int) -> str:
+        inner = "".join(f"<p>{prose(40 + k, 11 * i + k)} {i}.{k}</p>" for k in range(1 + i % 4))
+        return f"<html><body><div>{inner}<p>Follow us for more</p></div></body></html>"
+
+    got = texts(pages(spark, [(i, f"https://d.example.org/{i}", page(i)) for i in range(24)]))
+    for i, text in got.items():
+        assert text == "\n\n".join(f"{prose(40 + k, 11 * i + k)} {i}.{k}" for k in range(1 + i % 4))
