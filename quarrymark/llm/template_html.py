@@ -1,6 +1,6 @@
 """HTML extraction by template deduction from equivalence classes.
 
-Tokens of a page are its element paths and its short texts.  Over all pages of a host, tokens with the same occurrence vector (the
+Tokens of a page are its element paths and its texts.  Over all pages of a host, tokens with the same occurrence vector (the
 same count on every page) form an equivalence class.  A vector is never stored: each page has two fixed pseudo-random numbers, and
 the sums of count times number over the pages are equal exactly when the vectors are (up to a negligible chance), so classes come
 from sums that are combined before they are shuffled, however many pages a host has.
@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 from quarrymark.llm.page_blocks import Block, parse
 from quarrymark.llm.store import written
 
-SHORT_TEXT = 200
 SUPPORT = 0.5
 LEAST_PAGES = 8
 MENU_LINKS = 0.6
@@ -76,10 +75,9 @@ def _page_tokens(html: str) -> dict[int, list]:
         slot = tokens.setdefault(at, [PAGE, 1, 0, 0, b.path])
         slot[2] += len(b.text)
         slot[3] += b.linked
-        if len(b.text) <= SHORT_TEXT:
-            t = tokens.setdefault(text_token(b.path, b.text), [at, 0, 0, 0, None])
-            t[1] += 1
-            t[2] += len(b.text)
+        t = tokens.setdefault(text_token(b.path, b.text), [at, 0, 0, 0, None])
+        t[1] += 1
+        t[2] += len(b.text)
     return tokens
 
 

@@ -118,3 +118,10 @@ def test_constant_beside_article_text_goes(spark):
     got = texts(pages(spark, [(i, f"https://d.example.org/{i}", page(i)) for i in range(24)]))
     for i, text in got.items():
         assert text == "\n\n".join(f"{prose(40 + k, 11 * i + k)} {i}.{k}" for k in range(1 + i % 4))
+
+
+def test_long_constant_goes(spark):
+    licence = prose(90, 4)
+    assert len(licence) > 400
+    rows = [(i, f"https://e.example.org/{i}", f"<body><div><p>{prose(300, i)} {i}</p></div><div><i>{licence}</i></div></body>") for i in range(12)]
+    assert texts(pages(spark, rows)) == {i: f"{prose(300, i)} {i}" for i in range(12)}
