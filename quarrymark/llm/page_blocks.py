@@ -33,7 +33,15 @@ MARKED = frozenset(
     "notice notification alert popup modal overlay newsletter subscribe subscription signup login promo promotion promoted "
     "sponsor sponsored related recommended share sharing social pager pagination search skip toolbar masthead".split()
 )
-MARKED_OUTSIDE = frozenset({"header", "topbar", "top-bar"})
+MARKED_OUTSIDE = frozenset({"header", "topbar"})
+# Words that only say where a marked part is or how it is built; a name with any other word says something else.
+PLAIN = frozenset(
+    "site page post entry main primary secondary global top bottom left right upper lower side sticky fixed mobile desktop area "
+    "bar block box btn button buttons col column container content form group holder icon icons inner item items layer link "
+    "links list outer panel row section slot unit wrap wrapper".split()
+)
+COMMENTS = frozenset({"comment", "comments"})
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 
 MARKUP = re.compile(
@@ -66,6 +74,26 @@ class Block:
     main: bool
 
 
+def _named(names: str, marked: frozenset[str]) -> bool:
+    """Whether one of the names, read as a whole, is a marked word or one with words of place and build only."""
+    for name in names.split():
+        words = WORD.findall(name)
+        if not marked.isdisjoint(words) and all(w in marked or w in PLAIN for w in words):
+            return True
+    return False
+
+
+def _purpose(tag: str, classes: str, identity: str, main: bool) -> bool:
+    """Whether class and id say that an element is not the article; the frame of a page and of its article is never judged."""
+    if tag in ("html", "body", "main"):
+        return False
+    if tag == "article":  # HTML marks up each comment as an article of its own
+        return not COMMENTS.isdisjoint(classes.split())
+    if tag in HEADINGS or (main and tag == "section"):
+        identity = ""  # anchors named after what the text is about
+    return _named(f"{classes} {identity}", MARKED if main else MARKED | MARKED_OUTSIDE)
+
+
 def _opened(tag: str, rest: str, parent: Open) -> Open:
     main = parent.main or tag in ("article", "main")
     chrome = parent.chrome or tag in CHROME or (tag == "header" and not main)
@@ -74,13 +102,12 @@ def _opened(tag: str, rest: str, parent: Open) -> Open:
         found = {}
         for m in ATTRIBUTE.finditer(rest):
             found.setdefault(m[1].lower(), next((v for v in m.groups()[1:] if v is not None), ""))
-        names = f"{found.get('class', '')} {found.get('id', '')}".lower()
+        classes, identity = found.get("class", "").lower(), found.get("id", "").lower()
+        names = f"{classes} {identity}"
         label += "." + ".".join(sorted(NUMBER.sub("N", names).split()))
-        words = WORD.findall(names)
         chrome = (
             chrome
-            or not MARKED.isdisjoint(words)
-            or (not main and not MARKED_OUTSIDE.isdisjoint(words))
+            or _purpose(tag, classes, identity, main)
             or found.get("role", "").lower() in ROLES
             or "hidden" in found
             or found.get("aria-hidden", "").lower() == "true"

@@ -125,3 +125,23 @@ def test_long_constant_goes(spark):
     assert len(licence) > 400
     rows = [(i, f"https://e.example.org/{i}", f"<body><div><p>{prose(300, i)} {i}</p></div><div><i>{licence}</i></div></body>") for i in range(12)]
     assert texts(pages(spark, rows)) == {i: f"{prose(300, i)} {i}" for i in range(12)}
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body class="has-sidebar"><h1>T</h1><p>yes</p></body>', '<body class="menu"><h1>T</h1><p>yes</p></body>',
+        '<html class="no-widget"><body><main class="no-sidebar"><h1>T</h1><p>yes</p></main></body></html>',
+        '<main id="search"><h1>T</h1><p>yes</p></main>', '<article class="related share"><h1>T</h1><p>yes</p></article>',
+        '<article><h1 id="search">T</h1><section id="related-work"><p>yes</p></section></article>',
+        '<article><h1 id="menu-of-the-day">T</h1><section id="comments"><p>yes</p></section></article>',
+        '<body><h1 id="notice">T</h1><div class="binary-search no-sidebar"><p>yes</p></div></body>',
+    ],
+)
+def test_names_that_only_contain_a_marked_word_stay(page):
+    assert th.article(page, frozenset()) == "T\n\nyes"
+
+
+@pytest.mark.parametrize("name", ["sidebar-left", "site-footer", "ad_container", "share-buttons", "main-menu"])
+def test_marked_names_with_place_go(name):
+    assert th.article(f'<body><h1>T</h1><div class="x {name}">no</div><p>yes</p></body>', frozenset()) == "T\n\nyes"
