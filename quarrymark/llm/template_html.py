@@ -35,13 +35,13 @@ from quarrymark.llm.store import written
 SUPPORT = 0.5
 LEAST_PAGES = 8
 MENU_LINKS = 0.6
-CONSTANT_SHARE = 0.3
 HELD = 100_000
+MARKUP = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<[^>]*>"
 ROWS = 200
 PAGE = 0
 
 TOKENS = (
-    "host string, token long, at long, around array<long>, n long, total long, sum_a long, sum_b long, chars long, linked long"
+    "host string, payload long, token long, at long, around array<long>, n long, total long, sum_a long, sum_b long, chars long, linked long"
 )
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
@@ -82,25 +82,31 @@ def _page_tokens(html: str) -> dict[int, list]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Token sums of the pages a task reads, combined up to HELD tokens at a time."""
-    held: dict[tuple[str, int], list] = {}
+    """Token sums of the pages a task reads, combined up to HELD tokens at a time; those of a copied page under its payload, once."""
+    held: dict[tuple[str, int, int], list] = {}
+    counted: set[tuple[str, int]] = set()
 
     def out() -> pa.RecordBatch:
-        rows = [(host, token, *sums) for (host, token), sums in held.items()]
+        rows = [(*key, *sums) for key, sums in held.items()]
         held.clear()
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64())] + [pa.int64()] * 6
-        names = ["host", "token", "at", "around", "n", "total", "sum_a", "sum_b", "chars", "linked"]
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())] + [pa.int64()] * 6
+        names = ["host", "payload", "token", "at", "around", "n", "total", "sum_a", "sum_b", "chars", "linked"]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     for batch in batches:
         for lo in range(0, batch.num_rows, ROWS):
             part = batch.slice(lo, ROWS)
-            for host, mark, html in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            for host, mark, html, *copied in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                payload = mark if copied and copied[0] else 0
+                if payload:
+                    if (host, payload) in counted:
+                        continue
+                    counted.add((host, payload))
                 a, b = mark & 0x7FFFFFFF, (mark >> 32) & 0x7FFFFFFF
                 for token, (at, count, chars, linked, path) in _page_tokens(html).items():
-                    sums = held.get((host, token))
+                    sums = held.get((host, payload, token))
                     if sums is None:
-                        sums = held[host, token] = [at, None if path is None else _around(path), 0, 0, 0, 0, 0, 0]
+                        sums = held[host, payload, token] = [at, None if path is None else _around(path), 0, 0, 0, 0, 0, 0]
                     sums[2] += 1
                     sums[3] += count
                     sums[4] += count * a
@@ -120,11 +126,16 @@ def _hosted(pages: DataFrame) -> DataFrame:
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, drop): the path tokens of menu slots and the text tokens of template constants of each host."""
-    marked = pages.select("host", F.xxhash64("page_id", "url").alias("mark"), "html")
-    sums = [F.sum(c).alias(c) for c in ("n", "total", "sum_a", "sum_b", "chars", "linked")]
-    counted = marked.mapInArrow(_counted, TOKENS).groupBy("host", "token").agg(
-        F.first("at").alias("at"), F.first("around").alias("around"), *sums
-    )
+    # pages of a host that differ in markup only are copies: they say nothing about its template and count as one page
+    marked = pages.select("host", F.xxhash64(F.regexp_replace("html", MARKUP, " ")).alias("mark"), "html")
+    twice = marked.groupBy("host", "mark").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    copied = written(twice.select("host", "mark", F.lit(True).alias("copied")), "copies")
+    sums = ("n", "total", "sum_a", "sum_b", "chars", "linked")
+    kinds = [F.first("at").alias("at"), F.first("around").alias("around")]
+    once = [F.when(F.col("payload") == 0, F.sum(c)).otherwise(F.max(c)).alias(c) for c in sums]
+    parts = marked.join(copied, ["host", "mark"], "left").select("host", "mark", "html", "copied").mapInArrow(_counted, TOKENS)
+    singles = parts.groupBy("host", "payload", "token").agg(*kinds, *once)
+    counted = singles.groupBy("host", "token").agg(*kinds, *[F.sum(c).alias(c) for c in sums])
     tokens = written(counted.where((F.col("n") > 1) | (F.col("token") == PAGE)), "tokens")
 
     per_host = tokens.where(F.col("token") == PAGE).select("host", F.col("n").alias("pages"))
@@ -139,12 +150,8 @@ def templates(pages: DataFrame) -> DataFrame:
     ways = paths.select("host", F.col("token").alias("at"), F.explode("around").alias("above"))
     enclosing = ways.join(outer, ["host", "above"]).select("host", "at", F.col("outer").alias("class")).distinct()
     constants = texts.join(enclosing, ["host", "at", "class"], "left_semi")
-    # pages that are copies of each other make everything look constant: then nothing is
-    seen = paths.groupBy("host").agg(F.sum("chars").alias("all_chars"))
-    share = constants.groupBy("host").agg(F.sum("chars").alias("constant_chars")).join(seen, "host")
-    varied = share.where(F.col("constant_chars") <= CONSTANT_SHARE * F.col("all_chars")).select("host")
     menus = paths.where(F.col("linked") > MENU_LINKS * F.col("chars")).select("host", "token")
-    drop = constants.join(varied, "host", "left_semi").select("host", "token").union(menus)
+    drop = constants.select("host", "token").union(menus)
     return drop.groupBy("host").agg(F.collect_set("token").alias("drop"))  # bounded: every token has SUPPORT
 
 

@@ -145,3 +145,20 @@ def test_names_that_only_contain_a_marked_word_stay(page):
 @pytest.mark.parametrize("name", ["sidebar-left", "site-footer", "ad_container", "share-buttons", "main-menu"])
 def test_marked_names_with_place_go(name):
     assert th.article(f'<body><h1>T</h1><div class="x {name}">no</div><p>yes</p></body>', frozenset()) == "T\n\nyes"
+
+
+def test_long_frame_around_short_articles_goes(spark):
+    frame = "".join(f"<div class=f{k}>{prose(20, 3 * k)}</div>" for k in range(5))
+    rows = [(i, f"https://f.example.org/{i}", f"<body>{frame}<p>Short {i} {prose(4, i)}</p></body>") for i in range(20)]
+    assert texts(pages(spark, rows)) == {i: f"Short {i} {prose(4, i)}" for i in range(20)}
+
+
+def test_copies_count_as_one_page(spark):
+    def page(i: int, text: int) -> str:
+        return f'<body><!-- {i} --><script>n={i}</script><div id="a">About us</div><p data-n="{i}">{prose(30, text)} {text}</p></body>'
+
+    copies = [(i, f"https://g.example.org/c{i}", page(i, 0)) for i in range(60)]
+    alone = texts(pages(spark, copies).repartition(4))
+    assert set(alone.values()) == {f"About us\n\n{prose(30)} 0"}
+    mixed = texts(pages(spark, [*copies, *((100 + i, f"https://g.example.org/{i}", page(i, i)) for i in range(1, 20))]).repartition(4))
+    assert mixed == {i: f"{prose(30)} 0" for i in range(60)} | {100 + i: f"{prose(30, i)} {i}" for i in range(1, 20)}
