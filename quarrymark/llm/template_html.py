@@ -8,7 +8,7 @@ from sums that are combined before they are shuffled, however many pages a host
 Classes with enough support make the template.  They nest along their element paths, since a path is opened on every page its
 inner paths are.  A text that belongs to the class of the page or of any element around it is a constant of the template, wherever
 article text shares its path.  The order of a class's members on the pages is not compared.  A path is a slot; one
-whose text is mostly links over the whole host is a menu.  What is left of a page when constants, menus and elements with another
+outside ``article`` and ``main`` whose text is mostly links over the whole host, and the same links on several pages, is a menu.  What is left of a page when constants, menus and elements with another
 purpose (by element name, role or class words) are taken away is its article; an ``article`` or ``main`` element, where there is
 one, bounds it.
 
@@ -35,10 +35,12 @@ from quarrymark.llm.store import written
 SUPPORT = 0.5
 LEAST_PAGES = 8
 MENU_LINKS = 0.6
+RECURRING = 0.5
 HELD = 100_000
 MARKUP = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<[^>]*>"
 ROWS = 200
 PAGE = 0
+MAIN = 1
 
 TOKENS = (
     "host string, payload long, token long, at long, around array<long>, n long, total long, sum_a long, sum_b long, chars long, linked long"
@@ -59,9 +61,10 @@ def text_token(path: str, text: str) -> int:
 
 
 def _around(path: str) -> list[int]:
-    """The page, the element of a path and all elements around it."""
+    """The page, the element of a path and all elements around it; MAIN for those of an article."""
     parts = path.split(">")
-    return [PAGE] + [path_token(">".join(parts[: i + 1])) for i in range(min(1, len(parts) - 1), len(parts))]
+    inside = any(label.split(".")[0] in ("article", "main") for label in parts)
+    return [PAGE] + [MAIN] * inside + [path_token(">".join(parts[: i + 1])) for i in range(min(1, len(parts) - 1), len(parts))]
 
 
 def _page_tokens(html: str) -> dict[int, list]:
@@ -78,6 +81,7 @@ def _page_tokens(html: str) -> dict[int, list]:
         t = tokens.setdefault(text_token(b.path, b.text), [at, 0, 0, 0, None])
         t[1] += 1
         t[2] += len(b.text)
+        t[3] += b.linked
     return tokens
 
 
@@ -150,7 +154,9 @@ def templates(pages: DataFrame) -> DataFrame:
     ways = paths.select("host", F.col("token").alias("at"), F.explode("around").alias("above"))
     enclosing = ways.join(outer, ["host", "above"]).select("host", "at", F.col("outer").alias("class")).distinct()
     constants = texts.join(enclosing, ["host", "at", "class"], "left_semi")
-    menus = paths.where(F.col("linked") > MENU_LINKS * F.col("chars")).select("host", "token")
+    again = tokens.where(F.col("around").isNull()).groupBy("host", F.col("at").alias("token")).agg(F.sum("linked").alias("again"))
+    lists = paths.where((F.col("linked") > MENU_LINKS * F.col("chars")) & ~F.array_contains("around", MAIN))
+    menus = lists.join(again, ["host", "token"]).where(F.col("again") > RECURRING * F.col("linked")).select("host", "token")
     drop = constants.select("host", "token").union(menus)
     return drop.groupBy("host").agg(F.collect_set("token").alias("drop"))  # bounded: every token has SUPPORT
 

@@ -162,3 +162,23 @@ def test_copies_count_as_one_page(spark):
     assert set(alone.values()) == {f"About us\n\n{prose(30)} 0"}
     mixed = texts(pages(spark, [*copies, *((100 + i, f"https://g.example.org/{i}", page(i, i)) for i in range(1, 20))]).repartition(4))
     assert mixed == {i: f"{prose(30)} 0" for i in range(60)} | {100 + i: f"{prose(30, i)} {i}" for i in range(1, 20)}
+
+
+@pytest.mark.parametrize("around", ["article", "main", "div"])
+def test_lists_of_links_that_do_not_recur_stay(spark, around):
+    def page(i: int) -> str:
+        items = "".join(f'<li><a href="/{i}/{k}">{prose(9, i + k)} {i}.{k}</a></li>' for k in range(4))
+        return f"<body><{around}><h1>Title {i}</h1><p>{prose(30, i)} {i}</p><ul>{items}<li>plain {i}</li></ul></{around}></body>"
+
+    for i, text in texts(pages(spark, [(i, f"https://i.example.org/{i}", page(i)) for i in range(16)])).items():
+        items = [f"{prose(9, i + k)} {i}.{k}" for k in range(4)]
+        assert text.split("\n\n") == [f"Title {i}", f"{prose(30, i)} {i}", *items, f"plain {i}"]
+
+
+def test_recurring_links_in_an_article_stay(spark):
+    def page(i: int) -> str:
+        items = "".join(f'<li><a href="/{k}">{prose(9, k)}</a></li>' for k in range(i % 5, 3 + i % 5))
+        return f"<body><article><p>{prose(30, i)} {i}</p><ul>{items}</ul></article></body>"
+
+    for i, text in texts(pages(spark, [(i, f"https://j.example.org/{i}", page(i)) for i in range(16)])).items():
+        assert text.split("\n\n") == [f"{prose(30, i)} {i}", *(prose(9, k) for k in range(i % 5, 3 + i % 5))]
