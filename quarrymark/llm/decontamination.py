@@ -6,8 +6,8 @@ what remains holds every possible occurrence.  The index over these numbers answ
 through wavelet-tree ranks, finds the occurrences by sampled suffix positions, and their word ranges are merged to removal spans.
 
 A window is ``WINDOW`` consecutive item words; an item with fewer words is one window.  Nothing is shuffled and nothing of the
-corpus leaves its task.  Benchmark items are prepared in parts of bounded size, each one file in the shared folder; a task holds one
-part at a time, so the benchmark may be larger than memory.
+corpus leaves its task.  Benchmark items are prepared by tasks in parts of bounded size, each one file in the shared folder; a task
+holds one part at a time, so the benchmark may be larger than memory.
 
 Defined cases: null and empty texts have no words; an item without words has no window; items of equal text are all reported;
 repeated rows are reported each; a document longer than a shard is a shard of its own; without items nothing is hit; other
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -67,28 +68,51 @@ def _windows(texts: list[str], window: int) -> dict[int, tuple[np.ndarray, np.nd
     }
 
 
+def _stored(ids: list[str], texts: list[str], window: int, uri: str) -> None:
+    data = {"ids": np.array(ids)}
+    for length, (matrix, owner) in _windows(texts, window).items():
+        data[f"w{length}"], data[f"i{length}"] = matrix, owner
+    packed = io.BytesIO()
+    np.savez(packed, **data)
+    system, path = place(uri)
+    system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    with system.open_output_stream(path) as out:
+        out.write(packed.getvalue())
+
+
+def _prepared(batches: Iterator[pa.RecordBatch], window: int, target: str) -> Iterator[pa.RecordBatch]:
+    """One file for each run of rows of the same part; a repeated task writes files of its own."""
+
+    def file(part: int, ids: list[str], texts: list[str]) -> pa.RecordBatch:
+        uri = f"{target}/part-{part}-{uuid.uuid4().hex}.npz"
+        _stored(ids, texts, window, uri)
+        return pa.RecordBatch.from_arrays([pa.array([uri])], names=["file"])
+
+    now, ids, texts = None, [], []
+    for batch in batches:
+        for part, id_, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if part != now:
+                if ids:
+                    yield file(now, ids, texts)
+                now, ids, texts = part, [], []
+            ids.append(id_ if id_ is not None else "")
+            texts.append(text)
+    if ids:
+        yield file(now, ids, texts)
+
+
 def prepare(items: DataFrame, window: int = WINDOW, key: str = "item_id", text: str = "text") -> list[str]:
-    """Write the windows of all items, a bounded part at a time, and return the files."""
+    """Write the windows of all items from tasks, a bounded part at a time, and return the files."""
     rows = items.select(F.col(key).cast("string").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
     parts = -(-size // PART_BYTES)
+    if not parts:
+        return []
     target = folder(items.sparkSession, "phrases")
-    files = []
-    for part in range(parts):
-        mine = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == part).collect()  # about PART_BYTES
-        if not mine:
-            continue
-        data = {"ids": np.array([r["id"] if r["id"] is not None else "" for r in mine])}
-        for length, (matrix, owner) in _windows([r["text"] for r in mine], window).items():
-            data[f"w{length}"], data[f"i{length}"] = matrix, owner
-        packed = io.BytesIO()
-        np.savez(packed, **data)
-        system, path = place(target)
-        system.create_dir(path, recursive=True)
-        with system.open_output_stream(f"{path}/part-{part}.npz") as out:
-            out.write(packed.getvalue())
-        files.append(f"{target}/part-{part}.npz")
-    return files
+    part = F.pmod(F.xxhash64("id", "text"), F.lit(parts)).alias("part")
+    dealt = rows.select(part, "id", "text").repartition(parts, "part").sortWithinPartitions("part")
+    written = dealt.mapInArrow(lambda batches: _prepared(batches, window, target), "file string")
+    return sorted(r["file"] for r in written.collect())  # one name a part
 
 
 @lru_cache(maxsize=1)

@@ -135,3 +135,22 @@ def test_index_against_plain_search():
                 places = [k for k in range(len(symbols) - size + 1) if symbols[k : k + size].tolist() == p.tolist()]
                 rows = np.arange(*found[i]) if i in found else np.zeros(0, int)
                 assert sorted(index.locate(rows).tolist()) == places
+
+
+def test_items_do_not_pass_through_the_driver(spark, monkeypatch):
+    items = from_folder(spark, "benchmark")
+    monkeypatch.setattr(dec, "PART_BYTES", 2000)
+    seen = []
+    collect = type(items).collect
+
+    def watched(frame):
+        rows = collect(frame)
+        seen.extend(rows)
+        return rows
+
+    monkeypatch.setattr(type(items), "collect", watched)
+    files = dec.prepare(items)
+    values = [v for r in seen for v in r]  # the size of the table, and a name a part
+    assert len(files) > 1 and sorted(v for v in values if not isinstance(v, int)) == files and len(values) == len(files) + 1
+    ids = [i for f in files for i in np.load(dec.place(f)[1])["ids"]]
+    assert Counter(ids) == Counter(str(r["item_id"]) for r in collect(items))
