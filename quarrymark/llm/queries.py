@@ -12,8 +12,11 @@ from quarrymark.llm import (
     quality_rules,
     quotation,
     simhash,
+    stratified_search,
     template_html,
     trigram_secrets,
+    turn_repair,
+    vector_graph,
     warc_bundles,
 )
 
@@ -62,6 +65,18 @@ def op10_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digests(_table(spark, sf_dir, "documents"))
 
 
+def op11_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_graph.digests(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_stratified_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stratified_search.digests(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.digests(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_warc_bundles": op1_warc_bundles,
     "op2_histogram_sort": op2_histogram_sort,
@@ -73,6 +88,9 @@ QUERIES = {
     "op8_pfair_mixing": op8_pfair_mixing,
     "op9_html_templates": op9_html_templates,
     "op10_simhash_pigeonring": op10_simhash_pigeonring,
+    "op11_pruned_graph": op11_pruned_graph,
+    "op12_stratified_search": op12_stratified_search,
+    "op13_turn_repair": op13_turn_repair,
 }
 
 SQL: dict[str, str] = {
