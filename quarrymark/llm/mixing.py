@@ -2,27 +2,22 @@
 
 A block is a fixed number of documents of one source.  With target weight w, block j (from 0) of a source is released at slot
 floor(j / w) and must run before its deadline ceil((j + 1) / w).  Running the released block with the earliest deadline in every
-slot keeps each source within less than one block of its target after any number of slots.
+slot keeps each source within less than one block of its target after any number of slots, as long as it has blocks: releases and
+deadlines come from the weight itself, so no rounding adds up however long the mix is.
 
-Sources of almost equal weight (within one percent) form a group.  A group's blocks go round its sources in turn: block j of the i-th
-of m sources is block j * m + i of the group, and its window lies inside the source's own window, so only groups are scheduled.
-Their number grows with the logarithm of the weights' range, not with the sources.
-
-Group weights are fractions a / P of a common period P, so all windows repeat after P slots.  P grows until rounding changes no
-group by more than two percent.  The schedule of one period is worked out once, as a fold over P slots and the groups, and every
-block finds its slot by arithmetic: no loop over documents or sources.
-
-The smallest groups, together at most 0.4 percent of the weight, would make P very long.  They share a reserve of two percent of
-the slots: a source of share u of the reserve owns the slots r modulo q there, with q a power of two of at most 1 / u - 2, and each
-block takes the first of them in its window.  Slots of the reserve that nobody takes stay empty.  In all, a source's share of
-the slots is within five percent of its target, and each block within its window.
+Sources with the same weight and the same number of blocks form a group, whose blocks run round by round: that is the very
+schedule of its members, ties by their place in the group.  So the fold over the slots carries one number a group.  There are no
+more groups than distinct numbers of blocks and weights together: weights derived from document counts step by half a percent, and
+distinct block counts of b blocks are fewer than the root of 2b.  A mix has at most about ``MOST_BLOCKS`` blocks, since a block
+grows with the table where none is given; with that the fold, which is one task, is bounded at any size of the table.
 
 Documents are numbered inside their source by (hash range, hash, id): ranges are counted first and their offsets added, so that
-a source with a third of all rows is numbered by many tasks.
+a source with a third of all rows is numbered by many tasks; the number of ranges follows the number of documents.
 
 Defined cases: null sources form one source of their own; weights that are given for sources without documents are ignored and
-missing ones count as zero, which leaves their documents out of the mix (slot null, in_mix false); equal ids, nulls among them,
-stand together in any order; an empty table gives an empty result; other columns are passed through or not read.
+missing ones count as zero, which leaves their documents out of the mix (target, slot null, in_mix false); the mix ends when the
+sources that the target favours have run out, later blocks have no slot; a slot in which no source may run stays empty; equal ids,
+nulls among them, stand together in any order; an empty table gives an empty result; other columns are passed through or not read.
 """
 
 from __future__ import annotations
@@ -34,173 +29,97 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from quarrymark.llm.store import written
 
 BLOCK = 16
-PERIOD = 1000
+MOST_BLOCKS = 1 << 18
 FLATTEN = 0.9
-CELLS = 256
-STEP = 1.01
-PRECISION = 50
-TAIL = 0.004
-RESERVE = 0.02
-TAIL_GROUP = -(10**6)
-BITS = 40
+STEP = 1.005
+CELL_ROWS = 1 << 17
+LEAST_CELLS = 256
 SLOTS = 1000
+EDGE = 1e-9
 
 
-def _weights(counts: DataFrame, target: dict[str, float] | None, flatten: float) -> DataFrame:
-    """(source, n, w, grp): sources of positive weight, and the group of almost equal weights each is in."""
+def _weights(counts: DataFrame, target: dict[str, float] | None, flatten: float, block: int) -> DataFrame:
+    """(source, n, w, blocks) of the sources that take part; w sums to one."""
     if target is None:
-        weighted = counts.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(flatten)))
+        step = F.lit(STEP)
+        given = counts.withColumn("raw", F.pow(step, F.round(F.log("n") * flatten / F.log(step))))
     else:
-        kinds = StructType([StructField("t_source", counts.schema["source"].dataType), StructField("w", DoubleType())])
-        given = counts.sparkSession.createDataFrame([(name, float(w)) for name, w in target.items()], kinds)
-        weighted = counts.join(given, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
-    group = F.floor(F.log("w") / F.log(F.lit(STEP))).cast("int")
-    return weighted.where("w > 0").select("source", "n", "w", group.alias("grp"))
-
-
-def _groups(weights: DataFrame) -> DataFrame:
-    """(grp, members, in_tail, part, total_w, total_n): a row a group, its part of the slots, the tail's being the reserve."""
-    sums = weights.groupBy("grp").agg(F.count(F.lit(1)).alias("members"), F.sum("w").alias("mass"), F.sum("n").alias("docs"))
-    everything = Window.partitionBy(F.lit(0))  # one row per group of weights, not per source
-    rising = everything.orderBy("mass", "grp").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = F.sum("mass").over(everything)
-    marked = sums.withColumn("in_tail", F.sum("mass").over(rising) <= TAIL * total)
-    large = F.sum(F.when(F.col("in_tail"), 0.0).otherwise(F.col("mass"))).over(everything)
-    reserve = F.when(F.max("in_tail").over(everything), RESERVE).otherwise(0.0)
-    part = F.when(F.col("in_tail"), reserve).otherwise(F.col("mass") / large * (1 - reserve))
-    return marked.select(
-        "grp",
-        "members",
-        "in_tail",
-        part.alias("part"),
-        total.alias("total_w"),
-        F.sum("docs").over(everything).alias("total_n"),
-    )
-
+        kinds = StructType([StructField("t_source", counts.schema["source"].dataType), StructField("raw", DoubleType())])
+        asked = counts.sparkSession.createDataFrame([(name, float(w)) for name, w in target.items()], kinds)
+        given = counts.join(asked, F.col("source").eqNullSafe(F.col("t_source")))
+    positive = written(given.where("raw > 0").select("source", "n", "raw"), "mix-weights")
+    all_raw, all_n = positive.agg(F.sum("raw"), F.sum("n")).first()
+    w = F.col("raw") / F.lit(all_raw or 1.0)
+    favoured = w >= F.col("n") / F.lit(all_n or 1) * (1 - EDGE)
+    return positive.select("source", "n", w.alias("w"), F.ceil(F.col("n") / block).alias("blocks"), favoured.alias("favoured"))
 
-def _shares(groups: DataFrame, period: int) -> DataFrame:
-    """(source, share, period): integer shares of the period for each group, the tail as one, apportioned by largest remainder."""
-    name = F.when(F.col("in_tail"), TAIL_GROUP).otherwise(F.col("grp"))
-    parts = groups.groupBy(name.alias("source")).agg(F.max("part").alias("part"))
-    everything = Window.partitionBy(F.lit(0))
-    least = F.ceil(PRECISION / F.min("part").over(everything))
-    cut = parts.withColumn("period", F.greatest(F.lit(period).cast("long"), least)).withColumn(
-        "ideal", F.col("part") * F.col("period")
-    )
-    whole = cut.withColumn("whole", F.floor("ideal"))
-    by_rest = everything.orderBy(F.desc(F.col("ideal") - F.col("whole")), "source")
-    extra = F.row_number().over(by_rest) <= F.col("period") - F.sum("whole").over(everything)
-    return whole.select("source", (F.col("whole") + extra.cast("long")).alias("share"), "period")
-
-
-def _placed(weights: DataFrame, groups: DataFrame, shares: DataFrame) -> DataFrame:
-    """Every source with its weight and its place in its group: ``rank`` of ``members``, or ``r`` modulo ``q`` in the reserve."""
-    named = weights.join(groups, "grp").withColumn("slots_of", F.when(F.col("in_tail"), TAIL_GROUP).otherwise(F.col("grp")))
-    sized = named.join(shares.withColumnRenamed("source", "slots_of"), "slots_of")
-    weight = F.col("w") / F.col("total_w")
-    every = F.col("share") / F.col("period") / weight  # 1 / u
-    bits = F.least(F.floor(F.log2(every - 2)).cast("int"), F.lit(BITS))
-    sized = sized.withColumns({"weight": weight, "every": every, "bits": F.when(F.col("in_tail"), bits)})
-    sized = sized.withColumn("row", F.when(F.col("in_tail"), TAIL_GROUP - F.col("bits")).otherwise(F.col("grp")))
-    ranks = _numbered(sized, "source", "row").select(F.col("doc_id").alias("r_source"), F.col("seq").alias("rank"))
-    ranked = sized.join(ranks, F.col("source").eqNullSafe(F.col("r_source")))
-
-    # residues: bits reversed, a source of q slots takes 1 / q of the numbers below 2 ** BITS, longest runs first
-    unit = F.pow(F.lit(2.0), BITS - F.col("bits")).cast("long")
-    tail = sized.where("in_tail").groupBy("bits").agg(F.count(F.lit(1)).alias("k"))
-    before = Window.partitionBy(F.lit(0)).orderBy("bits").rowsBetween(Window.unboundedPreceding, -1)
-    begins = tail.select(F.col("bits").alias("b"), F.coalesce(F.sum(F.col("k") * unit).over(before), F.lit(0)).alias("begin"))
-    full = ranked.join(begins, F.col("bits") == F.col("b"), "left")
-    number = F.floor(F.col("begin") / unit).cast("long") + F.col("rank")
-    turned = F.conv(F.reverse(F.lpad(F.bin(number), F.col("bits"), F.lit("0"))), 2, 10).cast("long")
-    favoured = weight >= F.col("n") / F.col("total_n") * (1 - 1e-9)
-    return full.select(
-        "source",
-        "n",
-        favoured.alias("favoured"),
-        F.col("slots_of").alias("grp"),
-        "share",
-        "period",
-        "members",
-        "rank",
-        "weight",
-        "every",
-        "in_tail",
-        F.pow(F.lit(2.0), F.col("bits")).cast("long").alias("q"),
-        turned.alias("r"),
-    )
 
+def _release(round_: Column, w: Column) -> Column:
+    return F.floor(round_ / w + EDGE)
 
-def _turn(block: Column) -> Column:
-    """Which of its group's slots a block of a source takes, from 0."""
-    first = F.ceil(block * F.col("every"))
-    reserved = first + F.pmod(F.col("r") - first, F.col("q"))
-    return F.when(F.col("in_tail"), reserved).otherwise(block * F.col("members") + F.col("rank"))
 
+def _deadline(round_: Column, w: Column) -> Column:
+    return F.ceil((round_ + 1) / w - EDGE)
 
-def _time(block: Column) -> Column:
-    """Ideal time of the start of a block, in slots."""
-    grouped = block * F.col("members") * F.col("period") / F.col("share")
-    return F.when(F.col("in_tail"), block / F.col("weight")).otherwise(grouped)
 
+def schedule(groups: DataFrame, slots: int) -> DataFrame:
+    """(grp, turn, slot): earliest deadline first over groups of (grp, w, members, blocks, favoured), until favoured ones end.
 
-def _earliest(state: Column, slot: Column, shares: Column, period: Column) -> Column:
-    """Index of the released source block with the earliest deadline."""
-
-    def window(done: Column, i: Column) -> Column:
-        share = F.get(shares, i)
-        release = F.floor(done * period / share)
-        deadline = F.ceil((done + 1) * period / share)
-        return F.when((done < share) & (release <= slot), F.struct(deadline.alias("deadline"), i.alias("i")))
-
-    return F.array_min(F.filter(F.transform(state, window), lambda x: x.isNotNull()))["i"]
-
-
-def schedule(weights: DataFrame) -> DataFrame:
-    """(source, share, period, turn, at): the slot inside a period of the turn-th block of each source, or group of sources."""
-    pair = F.struct("source", F.col("share").cast("long").alias("share"))
-    row = weights.agg(F.sort_array(F.collect_list(pair)).alias("sources"), F.max("period").cast("long").alias("period"))
-    row = row.where(F.size("sources") > 0).withColumn("shares", F.transform("sources", lambda s: s["share"]))
+    The fold is one row; its lists grow by stretches, so that nothing long is copied for every slot.
+    """
+    kind = F.struct("grp", "w", "members", "blocks", "favoured")
+    row = groups.agg(F.sort_array(F.collect_list(kind)).alias("groups"))  # bounded: see the module
     none = F.array().cast("array<int>")
 
+    def window(done: Column, i: Column, slot: Column) -> Column:
+        g = F.get("groups", i)
+        round_ = F.floor(done / g["members"])
+        ready = (round_ < g["blocks"]) & (_release(round_, g["w"]) <= slot)
+        return F.when(ready, F.struct(_deadline(round_, g["w"]).alias("deadline"), i.alias("i")))
+
     def step(state: Column, slot: Column) -> Column:
         def take(pick: Column) -> Column:
-            return F.struct(
-                F.transform(state["done"], lambda d, i: d + F.when(i == pick, 1).otherwise(0)).alias("done"),
-                F.concat(state["picks"], F.array(pick)).alias("picks"),
-            )
+            done = F.transform(state["done"], lambda d, i: d + F.when(i == pick, 1).otherwise(0))
+            return F.struct(done.alias("done"), F.concat(state["picks"], F.array(pick)).alias("picks"))
 
-        chosen = _earliest(state["done"], slot, F.col("shares"), F.col("period"))
-        return F.get(F.transform(F.array(chosen), take), F.lit(0))
+        ready = F.filter(F.transform(state["done"], lambda d, i: window(d, i, slot)), lambda x: x.isNotNull())
+        return F.get(F.transform(F.array(F.array_min(ready)["i"]), take), F.lit(0))
 
-    def stretch(state: Column, first: Column) -> Column:  # lists grow by SLOTS picks, so nothing long is copied for every slot
-        slots = F.sequence(first, F.least(first + SLOTS, F.col("period")) - 1)
-        begin = F.struct(state["done"].alias("done"), none.alias("picks"))
+    def stretch(state: Column, first: Column) -> Column:
+        run = F.aggregate(
+            F.sequence(first, F.least(first + SLOTS, F.lit(slots)) - 1),
+            F.struct(state["done"].alias("done"), none.alias("picks")),
+            step,
+        )
 
         def joined(end: Column) -> Column:
             return F.struct(end["done"].alias("done"), F.concat(state["parts"], F.array(end["picks"])).alias("parts"))
 
-        return F.get(F.transform(F.array(F.aggregate(slots, begin, step)), joined), F.lit(0))
+        open_ = F.exists(
+            F.arrays_zip(state["done"].alias("done"), F.col("groups").alias("g")),
+            lambda x: x["g"]["favoured"] & (x["done"] < x["g"]["members"] * x["g"]["blocks"]),
+        )
+        return F.when(open_, F.get(F.transform(F.array(run), joined), F.lit(0))).otherwise(state)
 
     start = F.struct(
-        F.transform("shares", lambda s: F.lit(0).cast("long")).alias("done"), F.array().cast("array<array<int>>").alias("parts")
+        F.transform("groups", lambda g: F.lit(0).cast("long")).alias("done"), F.array().cast("array<array<int>>").alias("parts")
     )
-    firsts = F.sequence(F.lit(0).cast("long"), F.col("period") - 1, F.lit(SLOTS).cast("long"))
-    picks = row.select("sources", "period", F.flatten(F.aggregate(firsts, start, stretch)["parts"]).alias("picks"))
-    runs = picks.select("sources", "period", F.posexplode("picks").alias("at", "pick"))
-    named = runs.select(F.get("sources", F.col("pick")).alias("s"), "period", "at")
-    turn = F.row_number().over(Window.partitionBy("s").orderBy("at")) - 1
-    return named.select(F.col("s.source").alias("source"), F.col("s.share").alias("share"), "period", turn.alias("turn"), "at")
+    firsts = F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"), F.lit(SLOTS).cast("long"))
+    picks = row.select("groups", F.flatten(F.aggregate(firsts, start, stretch)["parts"]).alias("picks"))
+    runs = picks.select("groups", F.posexplode("picks").alias("slot", "pick")).where("pick IS NOT NULL")
+    named = runs.select(F.get("groups", F.col("pick"))["grp"].alias("grp"), F.col("slot").cast("long").alias("slot"))
+    turn = F.row_number().over(Window.partitionBy("grp").orderBy("slot")) - 1
+    return named.select("grp", turn.cast("long").alias("turn"), "slot")
 
 
-def _numbered(docs: DataFrame, key: str, source: str) -> DataFrame:
+def _numbered(docs: DataFrame, key: str, source: str, cells: int) -> DataFrame:
     """(doc_id, source, seq): documents numbered from 0 inside each source in hash order."""
     h = F.xxhash64(docs[key])
     rows = docs.select(
         docs[key].alias("doc_id"),
         docs[source].alias("source"),
         h.alias("h"),
-        F.pmod(F.shiftright(h, 40), F.lit(CELLS)).cast("int").alias("cell"),
+        F.pmod(F.shiftright(h, 24), F.lit(cells)).alias("cell"),
     )
     counts = rows.groupBy("source", "cell").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -215,49 +134,51 @@ def _numbered(docs: DataFrame, key: str, source: str) -> DataFrame:
 def mixed(
     docs: DataFrame,
     target: dict[str, float] | None = None,
-    block: int = BLOCK,
-    period: int = PERIOD,
+    block: int | None = None,
     flatten: float = FLATTEN,
     key: str = "doc_id",
     source: str = "source",
 ) -> DataFrame:
     """Every document with its block, release, deadline, slot and position, and whether the mix takes it.
 
-    Without ``target``, a source of n documents weighs n ** flatten.  The mix lasts until the sources that the target favours
-    (target share at least their natural share) have run out; what other sources have left over then is not taken.
+    Without ``target``, a source of n documents weighs n ** flatten, to half a percent.  The mix lasts until the sources that the
+    target favours (target share at least their natural share) have run out; what other sources have left over then is not taken.
+    Without ``block``, a block has 16 documents, or more where that would make more than ``MOST_BLOCKS``.
     """
-    numbered = _numbered(docs, key, source)
     counts = docs.select(docs[source].alias("source")).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    weights = written(_weights(counts, target, flatten), "mix-weights")
-    groups = written(_groups(weights), "mix-groups")
-    shares = written(_shares(groups, period), "mix-shares")
-    sources = written(_placed(weights, groups, shares), "mix-sources")
-    plan = written(schedule(shares).select(F.col("source").alias("p_grp"), F.col("turn").alias("p_turn"), "at"), "mix-schedule")
-
-    def timed(frame: DataFrame) -> DataFrame:
-        turns = frame.withColumn("turn", _turn(F.col("block")))
-        ours = (F.col("grp") == F.col("p_grp")) & (F.col("turn") % F.col("share") == F.col("p_turn"))
-        slot = F.floor(F.col("turn") / F.col("share")) * F.col("period") + F.col("at")
-        return turns.join(plan, ours, "left").withColumn("slot", slot)
-
-    # the last block of each favoured source ends the mix; one number comes back
-    last = timed(sources.where("favoured").withColumn("block", F.floor((F.col("n") - 1) / block)))
-    end = last.agg(F.max("slot").alias("end")).first()["end"]
-
-    known = sources.withColumnRenamed("source", "s_source").drop("n")
-    shared = numbered.join(known, numbered["source"].eqNullSafe(known["s_source"]), "left").drop("s_source")
-    placed = timed(shared.withColumn("block", F.floor(F.col("seq") / block)))
-    even = F.col("share") / (F.col("period") * F.col("members"))
-    return placed.select(
+    counts = written(counts, "mix-sources")
+    total, largest = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    block = block or max(BLOCK, -(-total // MOST_BLOCKS))
+    sources = written(_weights(counts, target, flatten, block), "mix-targets")
+    kinds = sources.groupBy("w", "blocks").agg(F.count(F.lit(1)).alias("members"), F.max("favoured").alias("favoured"))
+    numbers = F.row_number().over(Window.orderBy("w", "blocks"))  # one row a group, bounded: see the module
+    groups = written(kinds.select(numbers.alias("grp"), "w", "blocks", "members", "favoured"), "mix-groups")
+    named = sources.join(groups.select("grp", "w", "blocks", "members"), ["w", "blocks"])
+    ranks = _numbered(named, "source", "grp", max(LEAST_CELLS, largest // CELL_ROWS))
+    ranks = ranks.select(F.col("doc_id").alias("s_source"), F.col("seq").alias("rank"))
+    placed = written(named.join(ranks, F.col("source").eqNullSafe(F.col("s_source"))).drop("source", "n", "favoured"), "mix-places")
+
+    # every favoured block is released within the natural length of the mix, and what waits then runs without a pause
+    blocks = groups.agg(F.coalesce(F.sum(F.col("members") * F.col("blocks")), F.lit(0))).first()[0]
+    plan = written(schedule(groups, -(-total // block) + blocks + 2), "mix-schedule")
+    end = plan.join(groups.where("favoured"), "grp", "left_semi").agg(F.max("slot")).first()[0]
+    plan = plan.where(F.col("slot") <= F.lit(end)).select(F.col("grp").alias("p_grp"), F.col("turn").alias("p_turn"), "slot")
+
+    numbered = _numbered(docs, key, source, max(LEAST_CELLS, total // CELL_ROWS))
+    shared = numbered.join(placed, F.col("source").eqNullSafe(F.col("s_source")), "left")
+    number = F.floor(F.col("seq") / block)
+    timed = shared.withColumns({"block": number, "turn": number * F.col("members") + F.col("rank")})
+    found = timed.join(plan, (F.col("grp") == F.col("p_grp")) & (F.col("turn") == F.col("p_turn")), "left")
+    return found.select(
         "doc_id",
         "source",
-        F.when(F.col("in_tail"), F.col("weight")).otherwise(even).alias("target_weight"),
+        F.col("w").alias("target_weight"),
         "block",
-        F.floor(_time(F.col("block"))).alias("release"),
-        F.ceil(_time(F.col("block") + 1)).alias("deadline"),
+        _release(F.col("block"), F.col("w")).alias("release"),
+        _deadline(F.col("block"), F.col("w")).alias("deadline"),
         "slot",
         (F.col("slot") * block + F.col("seq") % block).alias("position"),
-        F.coalesce(F.col("slot") <= F.lit(end), F.lit(False)).alias("in_mix"),
+        F.col("slot").isNotNull().alias("in_mix"),
     )
 
 

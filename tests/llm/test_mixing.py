@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 from collections import Counter, defaultdict
 
 import pytest
@@ -8,43 +9,52 @@ from corpus_cases import from_folder
 from quarrymark.llm import mixing
 
 
-def checked(rows, block=mixing.BLOCK) -> None:
-    """Windows, one block a slot, and a deviation of less than one block after every slot."""
+def checked(rows, targets: dict, block=mixing.BLOCK) -> None:
+    """Windows of the given targets, one block a slot, and a deviation of less than one block after every slot."""
     at: dict[int, tuple] = {}
     size = Counter()
+    blocks = defaultdict(set)
     for r in rows:
+        blocks[r["source"]].add(r["block"])
+        if r["target_weight"] is not None:
+            assert r["target_weight"] == pytest.approx(targets[r["source"]], rel=1e-9)
         if r["slot"] is None:
             continue
         assert r["release"] <= r["slot"] < r["deadline"]
         assert at.setdefault(r["slot"], (r["source"], r["block"])) == (r["source"], r["block"])
         size[r["slot"]] += 1
     assert max(size.values(), default=0) <= block
-    weights = {r["source"]: r["target_weight"] for r in rows if r["slot"] is not None}
-    last = {}
-    for slot, (source, _) in at.items():
-        last[source] = max(last.get(source, -1), slot)
     done = Counter()
     for t in range(max(at, default=-1) + 1):
         if t in at:
-            done[at[t][0]] += 1
-        for source, w in weights.items():
-            if t < last[source]:
-                assert abs(done[source] - (t + 1) * w) < 1 + 1e-9
+            source, number = at[t]
+            assert number == done[source]
+            done[source] += 1
+        for source, w in targets.items():
+            if done[source] < len(blocks[source]):
+                assert abs(done[source] - (t + 1) * w) < 1
+
+
+def derived(sizes: Counter, flatten: float = mixing.FLATTEN) -> dict:
+    step = math.log(mixing.STEP)
+    raw = {s: mixing.STEP ** math.floor(math.log(n) * flatten / step + 0.5) for s, n in sizes.items()}
+    return {s: w / sum(raw.values()) for s, w in raw.items()}
 
 
 def test_documents(spark):
     docs = from_folder(spark, "documents", "/root/testdata/sf0.01")
     rows = mixing.mixed(docs).collect()
     assert Counter(r["doc_id"] for r in rows) == Counter(r["doc_id"] for r in docs.collect())
-    assert len({r["position"] for r in rows}) == len(rows)
-    checked(rows)
+    kept = [r["position"] for r in rows if r["in_mix"]]
+    assert len(set(kept)) == len(kept)
+    checked(rows, derived(Counter(r["source"] for r in rows)))
 
 
 def test_hot_source_is_trimmed_and_others_are_whole(spark):
     sources = ["hot"] * 3000 + [f"s{i}" for i in range(9) for _ in range(400)]
     docs = spark.createDataFrame([(i, s) for i, s in enumerate(sources)], "doc_id long, source string")
     rows = mixing.mixed(docs, flatten=0.5).collect()
-    checked(rows)
+    checked(rows, derived(Counter(sources), 0.5))
     taken, all_rows = Counter(r["source"] for r in rows if r["in_mix"]), Counter(sources)
     assert all(taken[s] == n for s, n in all_rows.items() if s != "hot") and 0 < taken["hot"] < 3000
     assert abs(taken["hot"] / sum(taken.values()) - next(r["target_weight"] for r in rows if r["source"] == "hot")) < 0.02
@@ -53,15 +63,14 @@ def test_hot_source_is_trimmed_and_others_are_whole(spark):
 def test_given_weights(spark):
     docs = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(600)], "doc_id long, source string")
     rows = mixing.mixed(docs, {"a": 5, "b": 3, "unknown": 2}, block=4).collect()
-    checked(rows, 4)
-    weights = {r["source"]: r["target_weight"] for r in rows}
-    assert weights["a"] == pytest.approx(0.625, abs=0.002) and weights["c"] is None
+    checked(rows, {"a": 5 / 8, "b": 3 / 8}, 4)
+    assert {r["target_weight"] for r in rows if r["source"] == "c"} == {None}
     assert not any(r["in_mix"] for r in rows if r["source"] == "c")
 
 
 def test_awkward(awkward):
     rows = mixing.mixed(awkward).collect()
-    checked(rows)
+    checked(rows, derived(Counter(r["source"] for r in rows)))
     assert Counter(r["doc_id"] for r in rows) == Counter(r["doc_id"] for r in awkward.collect())
     assert mixing.taken(awkward).columns == awkward.columns
 
@@ -71,42 +80,66 @@ def test_empty(nothing):
 
 
 def test_schedule_is_earliest_deadline_first(spark):
-    weights = spark.createDataFrame([("a", 10, 12, 7), ("b", 10, 12, 3), ("c", 10, 12, 2)], "source string, n long, period int, share int")
-    got = {r["at"]: r["source"] for r in mixing.schedule(weights).collect()}
-    shares, done = {"a": 7, "b": 3, "c": 2}, defaultdict(int)
-    for t in range(12):
-        ready = [(-(-(done[s] + 1) * 12 // n), s) for s, n in shares.items() if done[s] < n and done[s] * 12 // n <= t]
-        pick = min(ready)[1]
-        done[pick] += 1
-        assert got[t] == pick
-
-
-def test_targets_hold_with_two_thousand_sources_and_one_hot(spark):
-    names = ["hot"] * 10_000 + [f"s{i}" for i in range(2000) for _ in range(10)]
-    docs = spark.createDataFrame(list(enumerate(names)), "doc_id long, source string")
+    rows = [(1, 0.5, 1, 9, True), (2, 0.1, 3, 2, True), (3, 0.2, 1, 4, True)]
+    groups = spark.createDataFrame(rows, "grp int, w double, members long, blocks long, favoured boolean")
+    got = {r["slot"]: (r["grp"], r["turn"]) for r in mixing.schedule(groups, 40).collect()}
+    done = Counter()
+    for t in range(40):
+        ready = []
+        for g, w, members, blocks, _ in rows:
+            j = done[g] // members
+            if j < blocks and math.floor(j / w + 1e-9) <= t:
+                ready.append((math.ceil((j + 1) / w - 1e-9), g))
+        pick = min(ready)[1] if ready else None
+        assert got.get(t) == (None if pick is None else (pick, done[pick]))
+        done[pick] += pick is not None
+
+
+@pytest.mark.parametrize("target", [{"a": 1 / 2, "b": 1 / 3, "c": 1 / 6}, {"a": 1 / 3, "b": 0.123457, "c": 1 - 1 / 3 - 0.123457}])
+def test_no_drift_over_a_hundred_thousand_slots(spark, target):
+    docs = spark.range(100_000).selectExpr("id AS doc_id", "element_at(array('a', 'b', 'c'), CAST(id % 3 + 1 AS INT)) AS source")
+    weights = {s: int(w * 90_000) for s, w in target.items()}
+    some = docs.unionByName(docs.withColumn("doc_id", docs["doc_id"] + 10**6)).unionByName(docs.withColumn("doc_id", docs["doc_id"] + 10**7))
+    rows = mixing.mixed(some, target, block=1).collect()
+    checked(rows, target, 1)
+    taken = Counter(r["source"] for r in rows if r["in_mix"])
+    assert all(taken[s] > n for s, n in weights.items())
+
+
+def test_seventy_sources_one_of_them_hot(spark):
+    sizes = Counter({"hot": 14_000} | {f"s{i}": 100 + 13 * i for i in range(70)})
+    docs = spark.createDataFrame(list(enumerate(sizes.elements())), "doc_id long, source string")
+    rows = mixing.mixed(docs, block=1).collect()
+    checked(rows, derived(sizes), 1)
+    taken = Counter(r["source"] for r in rows if r["in_mix"])
+    assert all(taken[s] == n for s, n in sizes.items() if s != "hot")
+
+
+def test_two_thousand_sources_and_one_hot(spark):
+    sizes = Counter({"hot": 10_000} | {f"s{i}": 10 for i in range(2000)})
+    docs = spark.createDataFrame(list(enumerate(sizes.elements())), "doc_id long, source string")
     target = {"hot": 0.33} | {f"s{i}": 0.67 / 2000 for i in range(2000)}
-    for given, share in ((target, 0.33), (None, 10_000**0.9 / (10_000**0.9 + 2000 * 10**0.9))):
+    for given in (target, None):
         rows = mixing.mixed(docs, given).collect()
-        assert len(rows) == len(names)
-        weights = {r["source"]: r["target_weight"] for r in rows}
-        assert weights["hot"] == pytest.approx(share, rel=0.05)
-        assert all(w == pytest.approx((1 - share) / 2000, rel=0.05) for s, w in weights.items() if s != "hot")
-        assert all(r["release"] <= r["slot"] < r["deadline"] for r in rows)
-        blocks = {(r["source"], r["block"]) for r in rows}
-        assert len({r["slot"] for r in rows}) == len(blocks)
+        assert len(rows) == sizes.total()
+        checked(rows, given or derived(sizes))
         taken = Counter(r["source"] for r in rows if r["in_mix"])
-        if given is None:
-            assert taken["hot"] > 2000 and all(taken[s] == 10 for s in weights if s != "hot")
-        else:
-            assert taken["hot"] > 4000
+        assert all(taken[s] == 10 for s in sizes if s != "hot") and taken["hot"] > 2000
 
 
-def test_smallest_sources_keep_their_windows(spark):
-    names = [f"big{i}" for i in range(3) for _ in range(6000 + 500 * i)] + [f"s{i}" for i in range(8) for _ in range(1 + i % 4)]
-    docs = spark.createDataFrame(list(enumerate(names)), "doc_id long, source string")
+def test_single_documents_beside_large_sources(spark):
+    sizes = Counter({f"big{i}": 6000 + 500 * i for i in range(3)} | {f"s{i}": 1 + i % 4 for i in range(8)})
+    docs = spark.createDataFrame(list(enumerate(sizes.elements())), "doc_id long, source string")
     rows = mixing.mixed(docs, block=1).collect()
-    checked(rows, 1)
-    weights, sizes = {r["source"]: r["target_weight"] for r in rows}, Counter(names)
-    total = sum(n**0.9 for n in sizes.values())
-    assert all(w == pytest.approx(sizes[s] ** 0.9 / total, rel=0.05) for s, w in weights.items())
-    assert len({r["position"] for r in rows}) == len(rows)
+    checked(rows, derived(sizes), 1)
+    kept = [r["position"] for r in rows if r["in_mix"]]
+    assert len(set(kept)) == len(kept)
+
+
+def test_blocks_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 50)
+    sizes = Counter({"a": 6000, "b": 3000, "c": 500})
+    docs = spark.createDataFrame(list(enumerate(sizes.elements())), "doc_id long, source string")
+    rows = mixing.mixed(docs).collect()
+    checked(rows, derived(sizes), 190)
+    assert max(r["block"] for r in rows) == 31
