@@ -9,14 +9,17 @@ from dataclasses import dataclass
 # Element roles of HTML, by name.
 RAW = "script|style|textarea|title|iframe|xmp|noembed|noframes"
 BLOCKS = frozenset(
-    "address article aside blockquote body button canvas caption center dd details dialog dir div dl dt fieldset figcaption "
-    "figure footer form h1 h2 h3 h4 h5 h6 head header hgroup html legend li main menu nav noscript object ol optgroup option p "
-    "pre search section select summary svg table tbody td template tfoot th thead tr ul".split()
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption "
+    "figure footer form h1 h2 h3 h4 h5 h6 head header hgroup html legend li main menu nav noscript ol optgroup option p "
+    "pre search section summary table tbody td template tfoot th thead tr ul".split()
 )
 VOID_BREAKS = frozenset({"hr"})
-CHROME = frozenset(
-    "nav footer aside form head noscript template button select svg canvas dialog menu object search option optgroup".split()
-)
+CHROME = frozenset("nav footer aside head noscript template dialog menu search option optgroup".split())
+# Parts of a line that are no text of it; what a control says belongs to a line only with other text beside it.
+GONE = "svg|canvas|select|object|datalist"
+CONTROLS = frozenset({"button", "label"})
+# Elements that stand inside a form only when the form is wrapped around a whole page.
+FRAMES = frozenset("article main nav header footer".split())
 ENDED_BY = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
     "dt": ({"dt", "dd"}, {"dl"}),
@@ -41,19 +44,26 @@ PLAIN = frozenset(
     "links list outer panel row section slot unit wrap wrapper".split()
 )
 COMMENTS = frozenset({"comment", "comments"})
+# Kinds of adverts and comments are named by words before or after these: google-ad, comment-thread.
+ADS = frozenset("ad ads advert adverts advertisement advertisements".split())
+NEGATED = frozenset("no not non has have with without hide".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 
 MARKUP = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[A-Za-z][^<>]*\Z",
+    rf"|<(?P<gone>{GONE})\b[^>]*(?<!/)>.*?</(?P=gone)\s*>"
+    r"|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
+    # a quote that is never closed: the tag ends where it seems to
+    r"|<(?P<end2>/?)(?P<tag2>[A-Za-z][^\s/<>]*)(?P<rest2>[^<>]*)>"
+    r"|<[!?/][^>]*(?:>|\Z)|<[A-Za-z][^<>]*\Z",
     re.DOTALL | re.IGNORECASE,
 )
 ATTRIBUTE = re.compile(
     r"(?<![\w-])(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?![\w-])",
     re.IGNORECASE,
 )
-WORD = re.compile(r"[a-z]+")
+WORD = re.compile(r"[a-z0-9]+")
 NUMBER = re.compile(r"\d+")
 
 
@@ -63,6 +73,7 @@ class Open:
     path: str
     chrome: bool
     main: bool
+    form: int
 
 
 @dataclass(slots=True)
@@ -72,12 +83,23 @@ class Block:
     linked: int
     chrome: bool
     main: bool
+    form: int
+    control: bool
+
+    @property
+    def heading(self) -> bool:
+        return self.path.rsplit(">", 1)[-1].split(".")[0] in HEADINGS
 
 
 def _named(names: str, marked: frozenset[str]) -> bool:
-    """Whether one of the names, read as a whole, is a marked word or one with words of place and build only."""
+    """Whether one of the names, read as a whole, is a marked word or one with words of place and build only, or a kind of advert
+    or reader comment."""
     for name in names.split():
-        words = WORD.findall(name)
+        words = [w.rstrip("0123456789") for w in WORD.findall(name) if not w[0].isdigit()]
+        if not words or not NEGATED.isdisjoint(words):
+            continue
+        if not COMMENTS.isdisjoint(words) or words[-1] in ADS:
+            return True
         if not marked.isdisjoint(words) and all(w in marked or w in PLAIN for w in words):
             return True
     return False
@@ -94,7 +116,7 @@ def _purpose(tag: str, classes: str, identity: str, main: bool) -> bool:
     return _named(f"{classes} {identity}", MARKED if main else MARKED | MARKED_OUTSIDE)
 
 
-def _opened(tag: str, rest: str, parent: Open) -> Open:
+def _opened(tag: str, rest: str, parent: Open, form: int) -> Open:
     main = parent.main or tag in ("article", "main")
     chrome = parent.chrome or tag in CHROME or (tag == "header" and not main)
     label = tag
@@ -113,54 +135,76 @@ def _opened(tag: str, rest: str, parent: Open) -> Open:
             or found.get("aria-hidden", "").lower() == "true"
             or re.search(r"display\s*:\s*none", found.get("style", "").lower()) is not None
         )
-    return Open(tag, f"{parent.path}>{label}", chrome, main)
+    return Open(tag, f"{parent.path}>{label}", chrome, main, form)
+
+
+def _settled(blocks: list[Block], wrappers: set[int]) -> None:
+    """Forms and controls are chrome, but for a form around the page or most of its text."""
+    visible = [b for b in blocks if not b.chrome and not b.control]
+    total = sum(len(b.text) for b in visible)
+    held: dict[int, int] = {}
+    for b in visible:
+        held[b.form] = held.get(b.form, 0) + len(b.text)
+    frames = {form for form, size in held.items() if form and form not in wrappers and 2 * size <= total}
+    for b in blocks:
+        b.chrome = b.chrome or b.control or b.form in frames
 
 
-def parse(html: str) -> tuple[list[Block], dict[str, int]]:
-    """All text blocks in page order, chrome included, and how often each element path opens."""
-    root = Open("", "", False, False)
+def parse(html: str) -> tuple[list[Block], list[str | int]]:
+    """All text blocks in page order, chrome included; and the page as a sequence of element paths and numbers of blocks."""
+    root = Open("", "", False, False, 0)
     stack = [root]
     blocks: list[Block] = []
-    opened: dict[str, int] = {}
+    events: list[str | int] = []
     pieces: list[str] = []
     linked = 0
     in_link = False
+    control: str | None = None
+    spoken = False  # something but controls in the block
+    forms = 0
+    wrappers: set[int] = set()
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, spoken
         if pieces:
             text = " ".join(references.unescape("".join(pieces)).split())
             if text:
                 top = stack[-1]
-                blocks.append(Block(top.path, text, min(linked, len(text)), top.chrome, top.main))
+                events.append(len(blocks))
+                blocks.append(Block(top.path, text, min(linked, len(text)), top.chrome, top.main, top.form, not spoken))
             pieces.clear()
-        linked = 0
+        linked, spoken = 0, False
 
     def take(text: str) -> None:
-        nonlocal linked
+        nonlocal linked, spoken
         if text:
             pieces.append(text)
             if in_link:
                 linked += len(text)
+            if control is None and not text.isspace():
+                spoken = True
 
     done = 0
     for m in MARKUP.finditer(html):
         take(html[done : m.start()])
         done = m.end()
-        tag = m["tag"]
+        tag, end, rest = (m["tag"], m["end"], m["rest"]) if m["tag"] else (m["tag2"], m["end2"], m["rest2"])
         if tag is None:
             continue
         tag = tag.lower()
         if tag not in BLOCKS:
             if tag == "a":
-                in_link = not m["end"]
+                in_link = not end
+            elif tag in CONTROLS:
+                control = None if end else tag
             elif tag == "br" or tag in VOID_BREAKS:
                 take(" ")
                 if tag in VOID_BREAKS:
                     flush()
             continue
         flush()
-        if m["end"]:
+        control = None  # a control does not reach beyond its block
+        if end:
             for at in range(len(stack) - 1, 0, -1):
                 if stack[at].tag == tag:
                     del stack[at:]
@@ -176,10 +220,16 @@ def parse(html: str) -> tuple[list[Block], dict[str, int]]:
                 if stack[at].tag in ended:
                     del stack[at:]
                     break
-        new = _opened(tag, m["rest"], stack[-1])
-        opened[new.path] = opened.get(new.path, 0) + 1
-        if not m["rest"].endswith("/") or tag not in ("svg", "canvas", "object"):
-            stack.append(new)
+        form = stack[-1].form
+        if tag == "form" and not form:
+            forms += 1
+            form = forms
+        if tag in FRAMES and form:
+            wrappers.add(form)
+        new = _opened(tag, rest, stack[-1], form)
+        events.append(new.path)
+        stack.append(new)
     take(html[done:])
     flush()
-    return blocks, opened
+    _settled(blocks, wrappers)
+    return blocks, events
