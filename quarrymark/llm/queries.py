@@ -222,4 +222,109 @@ SQL: dict[str, str] = {
                AND coalesce(bullet_line_ratio <= 0.9, true) AND coalesce(ellipsis_line_ratio <= 0.5, true) AS kept
         FROM q
     """.format(**{code: ", ".join(f"'{w}'" for w in words) for code, words in quality_rules.STOP_WORDS.items()}),
+    "op12_stratified_search": r"""
+        WITH d AS (
+            SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+            FROM documents
+        ), i AS (
+            SELECT item_id, row_number() OVER () AS q, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+            FROM benchmark
+        ), s AS (
+            SELECT count(*) AS n_docs, CAST(sum(len(ws)) AS BIGINT) AS n_words FROM d WHERE len(ws) > 0
+        ), tf AS (
+            SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ws) AS term FROM d) GROUP BY ALL
+        ), m AS (
+            SELECT r, doc_id, 100 - 25 + (25 * len(ws) * n_docs) // n_words AS m FROM d, s WHERE len(ws) > 0
+        ), w AS (
+            SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+            FROM tf, s GROUP BY term, n_docs
+        ), it AS (
+            SELECT q, term, count(*) AS times FROM (SELECT q, unnest(ws) AS term FROM i) GROUP BY ALL
+        ), scored AS (
+            SELECT q, r, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+            FROM it JOIN w USING (term) JOIN tf USING (term) JOIN m USING (r) GROUP BY ALL
+        ), ranked AS (
+            SELECT q, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank
+            FROM scored JOIN m USING (r) WHERE score > 0
+        )
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked JOIN i USING (q) WHERE rank <= 20
+    """,
+    "op13_turn_repair": r"""
+        WITH RECURSIVE keyed AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+                                  lambda c: CAST(unicode(c) AS BIGINT)) AS bytes
+            FROM conversations
+        ), crcs AS (
+            SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) ORDER BY n) AS crc
+            FROM (SELECT unnest(range(256)) AS n)
+        ), summed AS (
+            SELECT conv_id, turn, role, text,
+                   xor(list_reduce(bytes, lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 20 AS kind
+            FROM keyed, crcs
+        ), damaged AS (
+            SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                   CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                   unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+            FROM summed
+        ), numbered AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i,
+                   row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+                   rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS shown
+            FROM damaged
+        ), judged AS (
+            SELECT conv_id, i, turn, role, text, left(role, 1) AS initial, shown = '' AS blank, shown <> '' AND again AS duplicate,
+                   shown <> '' AND NOT again AND right(shown, 1) NOT IN ('.', '!', '?') AS truncated,
+                   lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before
+            FROM numbered
+        ), convs AS (
+            SELECT conv_id, count(i) AS n FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN judged USING (conv_id) GROUP BY conv_id
+        ), inserts(state, ins, paid, mid, names) AS (
+            VALUES (0, '', 0, 0, []), (1, '', 0, 1, []), (2, '', 0, 2, []), (3, '', 0, 3, []),
+                   (0, 'I', 5, 2, ['user:']), (1, 'I', 5, 2, ['user:']), (2, 'I', 5, 3, ['assistant:']), (3, 'I', 5, 2, ['user:']),
+                   (0, 'II', 10, 3, ['user:', 'assistant:']), (1, 'II', 10, 3, ['user:', 'assistant:'])
+        ), keeps(mid, initial, fin) AS (
+            VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)
+        ), names(mid, fin, name) AS (
+            VALUES (0, 2, 'user'), (1, 2, 'user'), (3, 2, 'user'), (2, 3, 'assistant')
+        ), edits AS (
+            SELECT initial, must, state, paid + 2 AS price, ins || 'D' AS e, mid AS fin, names, NULL AS wrote
+            FROM inserts, (SELECT unnest(['s', 'u', 'a', '']) AS initial), (SELECT unnest([true, false]) AS must)
+            UNION ALL
+            SELECT initial, false, state, paid, ins || 'K', fin, names, '' FROM inserts JOIN keeps USING (mid)
+            UNION ALL
+            SELECT initial, false, state, paid + 1, ins || 'R', fin, names, name
+            FROM inserts JOIN names USING (mid), (SELECT unnest(['s', 'u', 'a', '']) AS initial)
+        ), walk AS (
+            SELECT conv_id, 0 AS i, n, 0 AS state, 0 AS cost, '' AS audit, CAST([] AS VARCHAR[]) AS written FROM convs
+            UNION ALL
+            SELECT conv_id, i, n, state, cost, audit, written FROM (
+                SELECT w.conv_id, w.i + 1 AS i, w.n, e.fin AS state,
+                       w.cost + e.price + CASE WHEN j.truncated AND e.wrote IS NOT NULL THEN 5 ELSE 0 END AS cost, w.audit || e.e AS audit,
+                       w.written || e.names || CASE WHEN e.wrote IS NULL THEN [] WHEN e.wrote = '' THEN [j.role || ':' || j.text]
+                                                    ELSE [e.wrote || ':' || j.text] END AS written
+                FROM walk w JOIN judged j ON j.conv_id IS NOT DISTINCT FROM w.conv_id AND j.i = w.i + 1
+                JOIN edits e ON e.state = w.state AND e.must = (j.blank OR j.duplicate)
+                     AND e.initial = CASE WHEN j.initial IN ('s', 'u', 'a') THEN j.initial ELSE '' END
+            ) QUALIFY row_number() OVER (PARTITION BY conv_id, i, state ORDER BY cost, audit) = 1
+        ), ended AS (
+            SELECT conv_id, cost + paid AS cost, audit || ins AS audit, written || names AS written
+            FROM walk JOIN inserts USING (state) WHERE i = n AND mid IN (0, 3)
+            QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY cost + paid, audit || ins) = 1
+        ), counted AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                   count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE duplicate) AS duplicate,
+                   count(*) FILTER (WHERE truncated) AS truncated,
+                   count(*) FILTER (WHERE before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM judged GROUP BY conv_id
+        )
+        SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+               coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(cost AS BIGINT) AS cost, audit,
+               sha256(array_to_string(written, chr(10))) AS repaired_sha256
+        FROM ended e LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+    """,
 }
