@@ -143,38 +143,72 @@ SQL: dict[str, str] = {
     """,
     "op5_quotation_linking": r"""
         WITH RECURSIVE m AS (
-            SELECT conv_id, turn, role,
+            SELECT row_number() OVER () AS mid, conv_id, turn, role,
                    string_split(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), chr(10)) AS ls
             FROM conversations
+        ), raw AS (
+            SELECT mid, unnest(ls) AS raw, unnest(range(len(ls))) AS i FROM m
+        ), body AS (
+            SELECT *, length(translate(regexp_extract(raw, '^[ \t]*((?:>[ \t]?)+)', 1), ' ' || chr(9), '')) AS level,
+                   regexp_replace(raw, '^[ \t]*((?:>[ \t]?)+)', '') AS body
+            FROM raw
+        ), near AS (
+            SELECT *, lead(level) OVER w AS level1, lead(level, 2) OVER w AS level2, trim(lead(body) OVER w, ' ' || chr(9)) AS body1
+            FROM body WINDOW w AS (PARTITION BY mid ORDER BY i)
         ), x AS (
-            SELECT conv_id, turn,
-                   length(translate(regexp_extract(raw, '^[ \t]*((?:>[ \t]?)+)', 1), ' ' || chr(9), '')) AS level,
-                   trim(regexp_replace(lower(regexp_replace(raw, '^[ \t]*((?:>[ \t]?)+)', '')), '[^\p{L}\p{N}]+', ' ', 'g'))
-                       AS plain
-            FROM (SELECT conv_id, turn, unnest(ls) AS raw FROM m)
+            SELECT *, NOT coalesce((level1 > level OR (body1 = '' AND level2 > level)) AND regexp_matches(body,
+                   '(?i)\b(?:wrote|writes|said|schrieb|schreibt|a écrit|écrit|escribió|escreveu|ha scritto)\s*:\s*$'), false) AS stays
+            FROM near
+        ), stepped AS (
+            SELECT *, CASE WHEN level IS DISTINCT FROM lag(level) OVER (PARTITION BY mid ORDER BY i) THEN 1 ELSE 0 END AS step
+            FROM x WHERE stays
+        ), numbered AS (
+            SELECT *, sum(step) OVER (PARTITION BY mid ORDER BY i) AS run FROM stepped
+        ), runs AS (
+            SELECT mid, run, any_value(level) AS level, string_agg(body, chr(10) ORDER BY i) AS text FROM numbered GROUP BY mid, run
+        ), pars AS (
+            SELECT mid, run, level, unnest(ps) AS text, unnest(range(len(ps))) AS par
+            FROM (SELECT *, string_split_regex(text, '\n[ \t]*\n') AS ps FROM runs)
+        ), units AS (
+            SELECT mid, run, level, -1 AS par, 0 AS kind, text FROM runs
+            UNION ALL SELECT mid, run, level, par, 1, text FROM pars
+            UNION ALL SELECT mid, run, level, par, 2,
+                unnest(string_split(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '([.!?]) ', '\1' || chr(10), 'g'), chr(10)))
+                FROM pars
+            UNION ALL SELECT mid, run, level, par, 3, unnest(string_split(text, chr(10))) FROM pars
+        ), u AS (
+            SELECT DISTINCT coalesce(CAST(conv_id AS VARCHAR), '-') AS c, coalesce(turn, -9223372036854775808) AS t, mid, run, level,
+                   par, kind, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) AS plain
+            FROM units JOIN m USING (mid)
         ), said AS (
-            SELECT conv_id, plain, min(turn) AS from_turn FROM x WHERE level = 0 AND plain <> '' GROUP BY ALL
-        ), quoted AS (
-            SELECT conv_id, turn, plain, min(level) AS level FROM x WHERE level > 0 AND plain <> '' GROUP BY ALL
-        ), p AS (
-            SELECT q.conv_id, q.turn, count(*) AS n_linked, max(s.from_turn) FILTER (WHERE q.level = 1) AS parent_turn
-            FROM quoted q JOIN said s ON s.conv_id = q.conv_id AND s.plain = q.plain AND s.from_turn < q.turn
+            SELECT DISTINCT c, plain, t, mid FROM u WHERE level = 0 AND plain <> ''
+        ), found AS (
+            SELECT q.mid, q.run, q.level, q.par, q.kind, q.plain, max(struct_pack(t := s.t, mid := s.mid)) AS latest
+            FROM u q JOIN said s ON s.c = q.c AND s.plain = q.plain AND s.t < q.t
+            WHERE q.level > 0 AND (q.kind < 2 OR (SELECT count(*) FROM said a WHERE a.c = q.c AND a.plain = q.plain) = 1)
             GROUP BY ALL
+        ), kept AS (
+            SELECT * FROM (SELECT *, min(kind) OVER (PARTITION BY mid, run) AS of_run,
+                                  min(kind) OVER (PARTITION BY mid, run, par) AS of_par FROM found)
+            WHERE kind = 0 OR (of_run > 0 AND kind = of_par)
+        ), p AS (
+            SELECT mid, count(*) AS n_linked, max(latest) FILTER (WHERE level = 1) AS parent FROM kept GROUP BY mid
         ), walk AS (
-            SELECT conv_id, turn, turn AS top FROM m
+            SELECT mid, mid AS top FROM m
             UNION ALL
-            SELECT w.conv_id, w.turn, p.parent_turn FROM walk w JOIN p ON p.conv_id = w.conv_id AND p.turn = w.top
-            WHERE p.parent_turn IS NOT NULL
+            SELECT w.mid, p.parent.mid FROM walk w JOIN p ON p.mid = w.top WHERE p.parent IS NOT NULL
         ), roots AS (
-            SELECT conv_id, turn, min(top) AS root_turn FROM walk GROUP BY ALL
+            SELECT w.mid, min_by(w.top, struct_pack(t := coalesce(turn, -9223372036854775808), mid := w.top)) AS root
+            FROM walk w JOIN m ON m.mid = w.top GROUP BY w.mid
         )
         SELECT m.conv_id, m.turn, m.role,
-               trim(array_to_string(list_filter(ls, lambda l: NOT regexp_matches(l, '^[ \t]*>')), chr(10)),
-                    ' ' || chr(9) || chr(10)) AS text,
-               len(list_filter(ls, lambda l: regexp_matches(l, '^[ \t]*>'))) AS n_quoted,
-               coalesce(n_linked, 0) AS n_linked, parent_turn, root_turn,
-               row_number() OVER (PARTITION BY m.conv_id ORDER BY root_turn, m.turn) AS position
-        FROM m LEFT JOIN p USING (conv_id, turn) JOIN roots USING (conv_id, turn)
+               coalesce((SELECT trim(string_agg(raw, chr(10) ORDER BY i), ' ' || chr(9) || chr(10)) FROM x
+                         WHERE x.mid = m.mid AND stays AND level = 0), '') AS text,
+               (SELECT count(*) FROM x WHERE x.mid = m.mid AND level > 0) AS n_quoted,
+               coalesce(n_linked, 0) AS n_linked,
+               CASE WHEN p.parent.t > -9223372036854775808 THEN p.parent.t END AS parent_turn, r.turn AS root_turn,
+               row_number() OVER (PARTITION BY m.conv_id ORDER BY r.turn NULLS FIRST, r.mid, m.turn NULLS FIRST, m.mid) AS position
+        FROM m LEFT JOIN p USING (mid) JOIN roots USING (mid) JOIN m r ON r.mid = roots.root
     """,
     "op7_quality_rules": r"""
         WITH t AS (

@@ -71,6 +71,55 @@ def test_conversations_without_quotes_keep_their_text(spark):
         assert r["position"] == r["turn"] + 1
 
 
+def ordered(spark, texts: list[str]) -> list:
+    rows = [(1, i, "abc"[i % 3], t) for i, t in enumerate(texts)]
+    return sorted(quotation.conversations_in_reply_order(talk(spark, rows)).collect(), key=lambda r: r["turn"])
+
+
+def test_a_greeting_links_to_its_latest_sayer(spark):
+    got = ordered(spark, ["Hello all,\nfirst topic", "Hello all,\nsecond topic", "> Hello all,\nyes"])
+    assert got[2]["parent_turn"] == 1
+
+
+def test_passages_wrapped_at_another_width(spark):
+    text = "The plan holds for the whole\nyear and nobody has to pay\nmore. Ask before May."
+    got = ordered(spark, ["Something else. And more.", text, "> The plan holds\n> for the whole year and\n> nobody has to pay more. Ask\n> before May.\nFine",
+                          "> nobody said this.\n> Ask before\n> May.\nWhen?"])
+    assert [r["parent_turn"] for r in got] == [None, None, 1, 1] and got[3]["n_linked"] == 1
+
+
+def test_lines_link_only_when_one_message_has_said_them(spark):
+    got = ordered(spark, ["Yes\nred", "Yes\nblue", "> Yes\n> or no\nwhat?", "> blue\n> or no\nwhat?"])
+    assert got[2]["parent_turn"] is None and got[3]["parent_turn"] == 1
+
+
+def test_a_paragraph_of_a_longer_message(spark):
+    got = ordered(spark, ["Intro here.\n\nThe middle one\nis long.\n\nEnd.", "> The middle\n> one is long.\n>\n> Unknown words\nok"])
+    assert got[1]["parent_turn"] == 0 and got[1]["n_linked"] == 1 and got[1]["text"] == "ok"
+
+
+def test_announcing_lines_go(spark):
+    got = ordered(spark, ["First words.", "On Monday b wrote:\n> First words.\nI agree.", "Am Dienstag schrieb b:\n\n> On Monday b wrote:\n>> First words.\n> I agree.\nMe too. He wrote:\nnothing"])
+    assert got[1]["text"] == "I agree." and got[1]["parent_turn"] == 0
+    assert got[2]["parent_turn"] == 1 and got[2]["text"].endswith("He wrote:\nnothing")
+
+
+def test_a_long_thread_is_numbered_in_turn_ranges(spark, monkeypatch):
+    monkeypatch.setattr(quotation, "TURN_RANGE", 16)
+    rows = [(1, 0, "a", "line 0")] + [(1, i, "a", f"> line {i - 1 if i % 3 else 0}\nline {i}") for i in range(1, 200)] + [(1, 5, "z", "alone")]
+    got = quotation.conversations_in_reply_order(talk(spark, rows)).collect()
+    thread = sorted((r for r in got if r["role"] == "a"), key=lambda r: r["position"])
+    assert [r["turn"] for r in thread] == list(range(200)) and {r["root_turn"] for r in thread} == {0}
+    assert sorted(r["position"] for r in got) == list(range(1, 202))
+
+
+def test_very_long_texts_and_other_columns(spark):
+    long = " ".join(f"w{i}" for i in range(40_000)) + "."
+    lines = "\n".join(f"l{i}" for i in range(20_000))
+    got = ordered(spark, [long, "> " + long + "\nok", lines, "\n".join("> " + x for x in lines.split("\n"))])
+    assert [r["parent_turn"] for r in got] == [None, 0, None, 2] and got[3]["n_quoted"] == 20_000
+
+
 def test_native_plan(spark):
     frame = quotation.links(quotation.parsed(from_folder(spark, "conversations")))
     plan = frame._jdf.queryExecution().executedPlan().toString()
@@ -90,7 +139,7 @@ def test_sql_agrees_on_quotes(spark):
     rows = []
     for conv in range(6):
         for turn in range(25):
-            text = "\n".join(rng.choice(["", "> ", ">> ", "", " > > "]) + rng.choice(lines) for _ in range(rng.randint(0, 4)))
+            text = "\n".join(rng.choice(["", "> ", ">> ", "", " > > ", "> "]) + rng.choice([*lines, "b wrote:", ""]) for _ in range(rng.randint(0, 7)))
             rows.append((conv, turn, "u", text))
     frame = talk(spark, rows)
     got = quotation.conversations_in_reply_order(frame)
