@@ -31,8 +31,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document gets a shard of near-equal bytes and its slot there."""
-    return histogram_sort.manifest(docs)
+    """Every document moves to a shard of near-equal bytes and gets its slot there."""
+    return histogram_sort.sharded(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -48,10 +48,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; the result of each is written to the shared folder and read again by the next."""
+    """All stages over ``documents``; the result of each is written to the shared folder and read again by the next.
+
+    What a stage has written on its way is removed when its result stands; of the results only the one that the last stage reads
+    outlives this call.
+    """
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for position, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if position < len(STAGES) - 1:
-            docs = store.written(docs, name)
-    return docs
+    with store.temporary(spark):
+        for position, (name, stage) in enumerate(STAGES[:-1]):
+            with store.temporary(spark):
+                docs = store.written(stage(spark, docs, sf_dir), name, up=2 if position == len(STAGES) - 2 else 1)
+    return STAGES[-1][1](spark, docs, sf_dir)

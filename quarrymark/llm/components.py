@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymark.llm.store import written
+from quarrymark.llm.store import temporary, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,6 +15,12 @@ def components(edges: DataFrame) -> DataFrame:
     of their pointers; the graph that is left shrinks until it has no edge.  Every round is written to the shared folder, so a
     lost executor never repeats earlier rounds.
     """
+    with temporary(edges.sparkSession):
+        found = _contracted(edges)
+        return written(found, "components", up=1)
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
     left = written(edges.where("a <> b").select("a", "b"), "edges")
     labels: DataFrame | None = None
     while not left.isEmpty():

@@ -242,19 +242,34 @@ def digests(docs: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-def _cut(text: bytes, files: list[str]) -> tuple[bytes, bool]:
-    """The text without its spans, and whether a word is left; repeated until joined ends form no new occurrence."""
-    while True:
-        column = pa.array([text], pa.large_binary()).view(pa.large_string())
-        words = words_of(*raw(column))
-        hit, _ = _find(words, files)
-        if not hit.any():
-            return text, len(hit) > 0
-        pieces, done = [], 0
-        for start, end in _spans(words, hit, 0):
-            pieces.append(text[done:start])
-            done = end
-        text = b" ".join([*pieces, text[done:]])
+def _cut(text: bytes, spans: list[tuple[int, int]], base: int) -> bytes:
+    """A text without its spans, which count from ``base`` before it."""
+    pieces, done = [], 0
+    for start, end in spans:
+        pieces.append(text[done : start - base])
+        done = end - base
+    return b" ".join([*pieces, text[done:]])
+
+
+def _cut_until_clean(texts: dict[int, bytes], files: list[str]) -> dict[int, bool]:
+    """Cut texts again, all of them in one index a round, until joined ends form no new occurrence; whether words are left."""
+    left: dict[int, bool] = {}
+    open_ = list(texts)
+    while open_:
+        column = pa.array([texts[i] for i in open_], pa.large_binary()).view(pa.large_string())
+        data, at = raw(column)
+        again = []
+        for lo, hi in slices(at, SHARD_BYTES):
+            words = words_of(data, at[lo : hi + 1])
+            hit, items = _find(words, files)
+            for j, i in enumerate(open_[lo:hi]):
+                if items[j]:
+                    texts[i] = _cut(texts[i], _spans(words, hit, j), int(at[lo + j] - at[lo]))
+                    again.append(i)
+                else:
+                    left[i] = bool(words.first[j + 1] > words.first[j])
+        open_ = again
+    return left
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch], files: list[str], text_at: int, size_at: int | None):
@@ -263,17 +278,22 @@ def _cleaned(batches: Iterator[pa.RecordBatch], files: list[str], text_at: int,
         for lo, hi in slices(at, SHARD_BYTES):
             part = at[lo : hi + 1]
             words = words_of(data, part)
-            _, items = _find(words, files)
+            hit, items = _find(words, files)
             rows = batch.slice(lo, hi - lo)
             dirty = [i for i, x in enumerate(items) if x]
             if not dirty:
                 yield rows
                 continue
+            cut = {}
+            for i in dirty:
+                whole = data[part[i] : part[i + 1]].tobytes()
+                cut[i] = _cut(whole, _spans(words, hit, i), int(part[i] - part[0]))
+            keep = np.ones(hi - lo, dtype=bool)
+            for i, some in _cut_until_clean(cut, files).items():
+                keep[i] = some
             texts = rows.column(text_at).to_pylist()
-            keep = np.ones(len(texts), dtype=bool)
             sizes = rows.column(size_at).to_pylist() if size_at is not None else None
-            for i in dirty:
-                text, keep[i] = _cut(texts[i].encode(), files)
+            for i, text in cut.items():
                 texts[i] = text.decode()
                 if sizes is not None:
                     sizes[i] = len(texts[i])

@@ -39,10 +39,11 @@ class Span:
     keys: list[tuple[int, int]] = field(default_factory=list)
 
 
-def keyed(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One slim row per document: id, size, checksum and sort key."""
+def keyed(docs: DataFrame, text: str = "text", key: str = "doc_id", row: bool = False) -> DataFrame:
+    """One slim row per document: id, size, checksum and sort key; with ``row`` also the document as it is."""
     whole = F.coalesce(docs[text], F.lit(""))
     return docs.select(
+        *([F.struct("*").alias("row")] if row else []),
         docs[key].alias("doc_id"),
         (F.octet_length(whole).cast("long") + 1).alias("size"),
         F.crc32(whole.cast("binary")).alias("text_crc32"),
@@ -140,17 +141,14 @@ def _near(span: Span, targets, spans: list[Span]) -> bool:
     return any(left.below <= t < span.below or span.below <= t < span.below + span.size for t in targets)
 
 
-def assigned(
-    docs: DataFrame, shards: int = 8, tolerance: float = 0.001, text: str = "text", key: str = "doc_id"
-) -> DataFrame:
-    """(doc_id, size, text_crc32, shard, slot): shards of near-equal bytes, slots gapless from 0 inside each."""
-    rows = written(keyed(docs, text, key), "sort-keys")
+def _numbered(rows: DataFrame, whole: DataFrame, shards: int, tolerance: float) -> DataFrame:
+    """``whole`` with its shard and slot; all counting is done on ``rows``, the same rows with nothing but their keys."""
     bounds = splitters(rows, shards, tolerance)
     placed = rows.withColumn("shard", _range_of(bounds))
     ends = ("k_text", "k_id")
     limits = [f(n).cast("double").alias(f"{t}_{n}") for n in ends for t, f in (("lo", F.min), ("hi", F.max))]
     per_shard = {r["shard"]: r for r in placed.groupBy("shard").agg(*limits).collect()}  # one row a shard
-    wide = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards)
+    wide = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards)
 
     def cell(name: str, parts: int) -> Column:
         low = F.lit(0.0)
@@ -161,25 +159,48 @@ def assigned(
         share = (F.col(name).cast("double") - low) / width * parts
         return F.least(F.floor(share), F.lit(parts - 1)).cast("int")
 
-    cells = placed.withColumns({"c_text": cell("k_text", wide), "c_id": cell("k_id", ID_CELLS)})
+    cells = {"c_text": cell("k_text", wide), "c_id": cell("k_id", ID_CELLS)}
     place = ["shard", "c_text", "c_id"]
-    counts = cells.groupBy(*place).agg(F.count(F.lit(1)).alias("n"))
+    counts = placed.withColumns(cells).groupBy(*place).agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("c_text", "c_id").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*place, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    numbered = cells.withColumn("at", F.row_number().over(Window.partitionBy(*place).orderBy(*KEYS)))
-    return numbered.join(offsets, place).select(
-        "doc_id", "size", "text_crc32", "shard", (F.col("offset") + F.col("at") - 1).cast("long").alias("slot")
-    )
+    moved = whole.withColumn("shard", _range_of(bounds)).withColumns(cells)
+    numbered = moved.withColumn("at", F.row_number().over(Window.partitionBy(*place).orderBy(*KEYS)))
+    return numbered.join(offsets, place).withColumn("slot", (F.col("offset") + F.col("at") - 1).cast("long"))
 
 
-def manifest(docs: DataFrame, shards: int = 8, tolerance: float = 0.001) -> DataFrame:
-    """The assignment with the law it keeps; ``grown_shard`` belongs to another law and is null."""
-    return assigned(docs, shards, tolerance).select(
-        "doc_id",
-        "size",
-        "text_crc32",
+def assigned(
+    docs: DataFrame, shards: int = 8, tolerance: float = 0.001, text: str = "text", key: str = "doc_id"
+) -> DataFrame:
+    """(doc_id, size, text_crc32, shard, slot): shards of near-equal bytes, slots gapless from 0 inside each."""
+    rows = written(keyed(docs, text, key), "sort-keys")
+    return _numbered(rows, rows, shards, tolerance).select("doc_id", "size", "text_crc32", "shard", "slot")
+
+
+def _law() -> list[Column]:
+    return [
+        F.col("size"),
+        F.col("text_crc32"),
         F.lit("bytes").alias("law"),
-        "shard",
-        "slot",
+        F.col("shard"),
+        F.col("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
-    )
+    ]
+
+
+def manifest(docs: DataFrame, shards: int = 8, tolerance: float = 0.001) -> DataFrame:
+    """The assignment with the law it keeps; ``grown_shard`` belongs to another law and is null."""
+    return assigned(docs, shards, tolerance).select("doc_id", *_law())
+
+
+def sharded(docs: DataFrame, shards: int = 8, tolerance: float = 0.001) -> DataFrame:
+    """The documents themselves, moved to their shards by one exchange, with the columns of the manifest.
+
+    Columns that have a name of the manifest are replaced.  ``docs`` is read again after the counting and has to give the same rows
+    in the same order: a written table.
+    """
+    rows = written(keyed(docs), "sort-keys")
+    found = _numbered(rows, keyed(docs, row=True), shards, tolerance)
+    added = _law()
+    own = [c for c in docs.columns if c not in ("size", "text_crc32", "law", "shard", "slot", "grown_shard")]
+    return found.select(*[F.col("row")[c].alias(c) for c in own], *added)

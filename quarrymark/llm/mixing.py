@@ -184,5 +184,6 @@ def mixed(
 
 def taken(docs: DataFrame, target: dict[str, float] | None = None, flatten: float = FLATTEN) -> DataFrame:
     """The documents that the mix takes, with the columns they came with; rows of one id go together."""
-    plan = mixed(docs, target, flatten=flatten).where("in_mix").select(F.col("doc_id").alias("__mix_id"))
-    return docs.join(plan.distinct(), docs["doc_id"].eqNullSafe(F.col("__mix_id")), "left_semi")
+    plan = mixed(docs, target, flatten=flatten).where("in_mix").select(F.col("doc_id").alias("mix_id")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), docs["doc_id"].alias("id"))
+    return rows.join(plan, F.col("id").eqNullSafe(F.col("mix_id")), "left_semi").select(*[F.col("row")[c].alias(c) for c in docs.columns])

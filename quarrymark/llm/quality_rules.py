@@ -168,27 +168,25 @@ def passes(m: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     return verdict
 
 
-def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", lang: str = "lang") -> DataFrame:
-    """The input rows with one struct column ``_quality``: all metrics, ``base_failed`` and ``kept``."""
+def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", lang: str = "lang") -> Column:
+    """One struct for every row: all metrics, ``base_failed`` and ``kept``."""
     language = docs[lang] if lang in docs.columns else F.lit(None).cast("string")
-    return docs.select(
-        "*",
-        let(
-            metrics(docs[text], language),
-            lambda m: F.struct(
-                m.alias("metrics"),
-                base_failed(m).alias("base_failed"),
-                (~base_failed(m) & passes(m, rules)).alias("kept"),
-            ),
-        ).alias("_quality"),
+    return let(
+        metrics(docs[text], language),
+        lambda m: F.struct(
+            m.alias("metrics"),
+            base_failed(m).alias("base_failed"),
+            (~base_failed(m) & passes(m, rules)).alias("kept"),
+        ),
     )
 
 
 def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Per document its id, all metrics and the verdict."""
-    return judged(docs, rules).select("doc_id", "_quality.metrics.*", "_quality.base_failed", "_quality.kept")
+    found = docs.select("doc_id", judged(docs, rules).alias("quality"))
+    return found.select("doc_id", "quality.metrics.*", "quality.base_failed", "quality.kept")
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Only the documents that pass, with the columns they came with."""
-    return judged(docs, rules).where("_quality.kept").drop("_quality")
+    return docs.where(judged(docs, rules)["kept"])

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrymark.llm.store import written
+from quarrymark.llm.store import temporary, written
 
 MARKS = r"^[ \t]*((?:>[ \t]?)+)"
 ANNOUNCED = r"(?i)\b(?:wrote|writes|said|schrieb|schreibt|a écrit|écrit|escribió|escreveu|ha scritto)\s*:\s*$"
@@ -87,9 +87,8 @@ def parsed(conversations: DataFrame) -> DataFrame:
     )
 
 
-def _units(messages: DataFrame) -> DataFrame:
-    """(mid, none, conv, at, level, run, par, kind, passage): every run, paragraph, sentence and line with a letter or digit."""
-    runs = messages.select(
+def _runs(messages: DataFrame) -> DataFrame:
+    return messages.select(
         "mid",
         F.col("conv_id").isNull().alias("none"),
         F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv"),
@@ -97,6 +96,10 @@ def _units(messages: DataFrame) -> DataFrame:
         F.posexplode("runs").alias("run", "r"),
     )
 
+
+def _units(runs: DataFrame) -> DataFrame:
+    """(mid, none, conv, at, level, run, par, kind, passage): every run, paragraph, sentence and line with a letter or digit."""
+
     def part(kind: int, par: Column, text: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), par.alias("par"), _plain(text).alias("plain"))
 
@@ -119,10 +122,12 @@ def _units(messages: DataFrame) -> DataFrame:
 
 def links(messages: DataFrame) -> DataFrame:
     """(mid, level, run, kind, passage, from_mid, from_at): quoted passages and the latest earlier message that says them itself."""
-    units = _units(messages)
+    runs = _runs(messages)
     key = ["none", "conv", "passage"]
-    said = units.where("level = 0").groupBy(*key, "at", "mid").agg(F.lit(True).alias("own"))
-    asked = units.where("level > 0").distinct()
+    asked = written(_units(runs.where("r.level > 0")).distinct(), "quoted")
+    # nothing is read of conversations without quotes
+    own = runs.where("r.level = 0").join(asked.select("none", "conv").distinct(), ["none", "conv"], "left_semi")
+    said = _units(own).groupBy(*key, "at", "mid").agg(F.lit(True).alias("own"))
     wanted = asked.select(*key).distinct()
     sayers = said.join(wanted, key, "left_semi")
     alone = sayers.groupBy(*key).agg(F.count(F.lit(1)).alias("sayers"))
@@ -151,17 +156,18 @@ def links(messages: DataFrame) -> DataFrame:
 
 def _roots(parents: DataFrame) -> DataFrame:
     """(mid, root): the message at the top of each reply chain; parents are always earlier, so there are no cycles."""
-    state = written(parents.select("mid", F.col("parent").alias("root")), "quote-roots")
-    moved = True
-    while moved:
-        up = state.select(F.col("mid").alias("u_mid"), F.col("root").alias("u_root"))
-        step = state.join(up, F.col("root") == F.col("u_mid"), "left").select(
-            "mid", F.coalesce("u_root", "root").alias("root"), F.col("u_root").isNotNull().alias("moved")
-        )
-        state = written(step, "quote-roots")
-        moved = not state.where("moved").isEmpty()
-        state = state.select("mid", "root")
-    return state
+    with temporary(parents.sparkSession):
+        state = written(parents.select("mid", F.col("parent").alias("root")), "quote-roots")
+        moved = True
+        while moved:
+            up = state.select(F.col("mid").alias("u_mid"), F.col("root").alias("u_root"))
+            step = state.join(up, F.col("root") == F.col("u_mid"), "left").select(
+                "mid", F.coalesce("u_root", "root").alias("root"), F.col("u_root").isNotNull().alias("moved")
+            )
+            state = written(step, "quote-roots")
+            moved = not state.where("moved").isEmpty()
+            state = state.select("mid", "root")
+        return written(state, "quote-roots", up=1)
 
 
 def _positions(rows: DataFrame) -> DataFrame:

@@ -93,9 +93,10 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")
     keep = groups.groupBy("component_id").agg(F.min(order).alias("k"))
     kept = keep.select(F.col("k.doc_id").alias("__keep_id"), F.col("k.text_hash").alias("__keep_hash"))
-    hashed = docs.withColumn("__dedup_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    same = (hashed["__dedup_hash"] == kept["__keep_hash"]) & hashed["doc_id"].cast("long").eqNullSafe(kept["__keep_id"])
+    text_hash = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    hashed = docs.select(F.struct("*").alias("row"), docs["doc_id"].alias("id"), text_hash.alias("hash"))
+    same = (hashed["hash"] == kept["__keep_hash"]) & hashed["id"].cast("long").eqNullSafe(kept["__keep_id"])
     # rows equal in id and text meet here, and one of them stays; the join has already brought them together
     chosen = hashed.join(kept, same, "left_semi")
-    place = F.row_number().over(Window.partitionBy("__dedup_hash", "doc_id").orderBy(F.lit(0)))
-    return chosen.withColumn("__dedup_place", place).where("__dedup_place = 1").select(*docs.columns)
+    place = F.row_number().over(Window.partitionBy("hash", "id").orderBy(F.lit(0)))
+    return chosen.withColumn("place", place).where("place = 1").select(*[F.col("row")[c].alias(c) for c in docs.columns])

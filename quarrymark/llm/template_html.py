@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrymark.llm.page_blocks import Block, parse
-from quarrymark.llm.store import written
+from quarrymark.llm.store import temporary, written
 
 SUPPORT = 0.5
 LEAST_PAGES = 8
@@ -276,7 +276,8 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extracted(pages: DataFrame, support: float = SUPPORT, least_pages: int = LEAST_PAGES) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
-    read = written(parsed(pages), "pages")
-    known = written(templates(read, support, least_pages), "templates")
+    read = written(parsed(pages), "pages", codec="zstd")
+    with temporary(pages.sparkSession):
+        known = written(templates(read, support, least_pages), "templates", up=1)
     joined = read.join(known, "host", "left").select("page_id", "url", "paths", "texts", "text_path", "chrome", "main", "drop")
     return joined.mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
