@@ -54,24 +54,53 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabular
     return rows
 
 
-def document_frequency(post: DataFrame) -> DataFrame:
-    return post.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+class Corpus:
+    """What ranking needs to know of the documents: counted from the texts, or read from an index (``sources.index``)."""
 
+    def postings(self, vocabulary: DataFrame | None = None) -> DataFrame:
+        """(doc_id, dl, term, tf)."""
+        raise NotImplementedError
 
-def corpus_size(docs: DataFrame) -> Column:
-    return docs.agg(F.count(F.lit(1))).scalar()
+    def frequencies(self, vocabulary: DataFrame | None = None) -> DataFrame:
+        """(term, df, cf)."""
+        raise NotImplementedError
 
+    def size(self) -> Column:
+        raise NotImplementedError
 
-def mean_length(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Column:
-    return analysed(docs, key, text).agg(F.avg("dl")).scalar()
+    def mean_length(self) -> Column:
+        raise NotImplementedError
 
+    def with_idf(self, vocabulary: DataFrame | None = None) -> DataFrame:
+        """(term, df, cf, idf)."""
+        return self.frequencies(vocabulary).withColumn("idf", idf(F.col("df"), self.size()))
 
-def idf(df: Column, n: Column) -> Column:
-    return F.log1p((n - df + 0.5) / (df + 0.5))
 
+class Texts(Corpus):
+    """Counts the texts anew."""
+
+    def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> None:
+        self.docs, self.key, self.text = docs, key, text
+
+    def postings(self, vocabulary: DataFrame | None = None) -> DataFrame:
+        return postings(self.docs, self.key, self.text, vocabulary)
+
+    def frequencies(self, vocabulary: DataFrame | None = None) -> DataFrame:
+        return document_frequency(self.postings(vocabulary))
+
+    def size(self) -> Column:
+        return self.docs.agg(F.count(F.lit(1))).scalar()
 
-def with_idf(frequencies: DataFrame, docs: DataFrame) -> DataFrame:
-    return frequencies.withColumn("idf", idf(F.col("df"), corpus_size(docs)))
+    def mean_length(self) -> Column:
+        return analysed(self.docs, self.key, self.text).agg(F.avg("dl")).scalar()
+
+
+def document_frequency(post: DataFrame) -> DataFrame:
+    return post.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+
+
+def idf(df: Column, n: Column) -> Column:
+    return F.log1p((n - df + 0.5) / (df + 0.5))
 
 
 def weight(tf: Column, dl: Column, idf_: Column, avg_dl: Column, k1: float = RETRIEVAL.k1, b: float = RETRIEVAL.b) -> Column:
@@ -83,25 +112,17 @@ def query_terms(queries: DataFrame, key: str = "qid", text: str = "query") -> Da
     return queries.select(key, F.explode(terms(F.col(text))).alias("term"))
 
 
-def bm25_scores(docs: DataFrame, queries: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
+def bm25_scores(corpus: Corpus, queries: DataFrame) -> DataFrame:
     """(qid, doc_id, score > 0) of every matching pair.
 
-    ``docs`` may be a filtered subset; statistics come from ``corpus`` (default: the same documents), so a filter never
-    changes a weight.  Catalyst broadcasts the query terms when they are small and falls back to a sorted join when not.
+    Catalyst broadcasts the query terms when they are small and falls back to a sorted join when not.
     """
     asked = query_terms(queries)
-    # One exchange by document serves both branches below: the term counts, and the scores (which then need no other).
-    found = postings(docs, vocabulary=asked).repartition("doc_id")
-    if corpus is None:
-        corpus = docs
-        # reading every column keeps this branch on the very same exchange
-        counts = found.groupBy("term").agg(F.count_if((F.col("tf") > 0) & (F.col("dl") > 0)).alias("df"))
-    else:
-        counts = document_frequency(postings(corpus, vocabulary=asked))
-    weighted = asked.join(with_idf(counts, corpus), "term").select("qid", "term", "idf")
-    score = weight(F.col("tf"), F.col("dl"), F.col("idf"), mean_length(corpus))
+    weighted = asked.join(corpus.with_idf(asked), "term").select("qid", "term", "idf")
+    score = weight(F.col("tf"), F.col("dl"), F.col("idf"), corpus.mean_length())
     return (
-        found.join(weighted, "term")
+        corpus.postings(asked)
+        .join(weighted, "term")
         .select("qid", "doc_id", score.alias("w"))
         .groupBy("qid", "doc_id")
         .agg(F.round(F.sum("w"), 6).alias("score"))
@@ -109,12 +130,12 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, corpus: DataFrame | None =
     )
 
 
-def bm25_top(docs: DataFrame, queries: DataFrame, k: int = RETRIEVAL.top_k, corpus: DataFrame | None = None) -> DataFrame:
-    """(qid, doc_id, score, rank): ties by document id."""
-    return top_k(bm25_scores(docs, queries, corpus), ["qid"], F.col("score").desc(), F.col("doc_id").asc(), k=k)
+def bm25_top(corpus: Corpus, queries: DataFrame, k: int = RETRIEVAL.top_k) -> DataFrame:
+    """(qid, doc_id, score, rank) over all matching pairs: ties by document id.  An index answers the same by ``search``."""
+    return top_k(bm25_scores(corpus, queries), ["qid"], F.col("score").desc(), F.col("doc_id").asc(), k=k)
 
 
-def cooccurrence(docs: DataFrame, needs: DataFrame, key: str = "need_id") -> DataFrame:
+def cooccurrence(corpus: Corpus, needs: DataFrame, key: str = "need_id") -> DataFrame:
     """Documents that contain all terms of ``all_of`` and at least one of ``any_of``, counted per need."""
     want = needs.select(
         key,
@@ -127,7 +148,7 @@ def cooccurrence(docs: DataFrame, needs: DataFrame, key: str = "need_id") -> Dat
         ).alias("w"),
     ).select(key, "n_all", "w.term", "w.must")
     hits = (
-        postings(docs, vocabulary=want)
+        corpus.postings(want)
         .join(want, "term")
         .groupBy(key, "doc_id", "n_all")
         .agg(F.count_if("must").alias("n_must"), F.count_if(~F.col("must")).alias("n_any"))

@@ -19,14 +19,12 @@ COMPARISON = r"(?i)\b(?:compared?|comparison|differences?|differs?|versus|vs)\b"
 
 
 def vocabulary(t):
-    counts = lexical.document_frequency(lexical.postings(t.documents))
-    return lexical.with_idf(counts, t.documents).select("term", "idf")
+    return t.index.with_idf().select("term", "idf")
 
 
 def known_terms(t):
     asked = lexical.query_terms(passages(t))
-    counts = lexical.document_frequency(lexical.postings(t.documents, vocabulary=asked))
-    return lexical.with_idf(counts, t.documents).select("term", "idf")
+    return t.index.with_idf(asked).select("term", "idf")
 
 
 def analysis(t):
@@ -87,7 +85,7 @@ def needs(t):
 
 
 def judged(t, k: int = 20):
-    hits = lexical.bm25_top(t.documents, passages(t), k=k).select("qid", "doc_id", "rank")
+    hits = t.index.search(passages(t), k=k).select("qid", "doc_id", "rank")
     docs = texts_of(t, hits, "source").select("doc_id", "source", tx.terms(F.col("text")).alias("e"))
     return ad.judge(hits.join(docs, "doc_id"), needs(t))
 
@@ -179,7 +177,7 @@ def conflict_resolution(t):
 )
 def cache_invalidation(t):
     """Cached answers whose evidence was withdrawn (documents labelled toxic) must be searched again."""
-    entries = lexical.bm25_top(t.documents, passages(t), k=10).select("qid", "doc_id")
+    entries = t.index.search(passages(t), k=10).select("qid", "doc_id")
     withdrawn = t.labels.where("toxic = 1").select("doc_id", F.lit(True).alias("gone"))
     return entries.join(withdrawn, "doc_id", "left").groupBy("qid").agg(
         F.count(F.lit(1)).alias("n_evidence"),

@@ -18,14 +18,13 @@ from quarrymark.plans.text_queries import _SPLIT, _rx
 
 def weights(t):
     asked = lexical.query_terms(passages(t))
-    counts = lexical.document_frequency(lexical.postings(t.documents, vocabulary=asked))
-    known = asked.join(lexical.with_idf(counts, t.documents), "term")
+    known = asked.join(t.index.with_idf(asked), "term")
     return cl.query_weights(known.select("qid", "term", "idf"))
 
 
 def evidence(t):
     """(qid, doc_id, rank) of the five best documents."""
-    return lexical.bm25_top(t.documents, passages(t), k=5).select("qid", "doc_id", "rank")
+    return t.index.search(passages(t), k=5).select("qid", "doc_id", "rank")
 
 
 def evidence_sentences(t):

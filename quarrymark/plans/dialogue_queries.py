@@ -44,8 +44,7 @@ def act_sql(text: str, anchored: str) -> str:
 
 
 def idf_of_documents(t, vocabulary):
-    counts = lexical.document_frequency(lexical.postings(t.documents, vocabulary=vocabulary))
-    return lexical.with_idf(counts, t.documents).select("term", "idf")
+    return t.index.with_idf(vocabulary).select("term", "idf")
 
 
 def anchor_norm(t):

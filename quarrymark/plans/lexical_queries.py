@@ -8,6 +8,7 @@ from quarrymark.operators import lexical
 from quarrymark.operators.rank import top_k
 from quarrymark.plans.registry import named
 from quarrymark.plans.sql_parts import BM25, DOC_TERMS, IDF, POSTINGS, QTERMS, STATS, ranked, sql_terms
+from quarrymark.sources.tables import spread
 
 
 def passages(t):
@@ -19,7 +20,7 @@ def passages(t):
     f"WITH {DOC_TERMS} SELECT doc_id, len(toks) AS n_terms, len(list_distinct(toks)) AS n_distinct FROM doc_terms",
 )
 def tok_counts(t):
-    tokens = t.documents.select("doc_id", lexical.analyse(F.col("text")).alias("toks"))
+    tokens = spread(t.documents.select("doc_id", "text"), "doc_id").select("doc_id", lexical.analyse(F.col("text")).alias("toks"))
     return tokens.select(
         "doc_id", F.size("toks").alias("n_terms"), F.size(F.array_distinct("toks")).alias("n_distinct")
     )
@@ -27,18 +28,17 @@ def tok_counts(t):
 
 @named("term_freq", f"WITH {POSTINGS} SELECT doc_id, term, tf FROM posts")
 def term_freq(t):
-    return lexical.postings(t.documents).select("doc_id", "term", "tf")
+    return t.index.postings().select("doc_id", "term", "tf")
 
 
 @named("doc_freq", f"WITH {POSTINGS} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM posts GROUP BY term")
 def doc_freq(t):
-    return lexical.document_frequency(lexical.postings(t.documents))
+    return t.index.frequencies()
 
 
 @named("idf_table", f"WITH {POSTINGS}, {STATS}, {IDF} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def idf_table(t):
-    counts = lexical.document_frequency(lexical.postings(t.documents))
-    return lexical.with_idf(counts, t.documents).select("term", "df", F.round("idf", 6).alias("idf"))
+    return t.index.with_idf().select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @named(
@@ -47,10 +47,10 @@ def idf_table(t):
     "(SELECT count(DISTINCT term) FROM posts) AS vocabulary, (SELECT CAST(sum(tf) AS BIGINT) FROM posts) AS occurrences FROM stats s",
 )
 def corpus_stats(t):
-    counts = lexical.document_frequency(lexical.postings(t.documents))
+    counts = t.index.frequencies()
     return counts.agg(F.count(F.lit(1)).alias("vocabulary"), F.sum("cf").alias("occurrences")).select(
-        lexical.corpus_size(t.documents).alias("n_docs"),
-        F.round(lexical.mean_length(t.documents), 6).alias("avg_len"),
+        t.index.size().alias("n_docs"),
+        F.round(t.index.mean_length(), 6).alias("avg_len"),
         "vocabulary",
         "occurrences",
     )
@@ -58,7 +58,7 @@ def corpus_stats(t):
 
 @named("bm25_topk", f"WITH {BM25}, {ranked(10)} SELECT qid, doc_id, score, rank FROM ranked")
 def bm25_topk(t):
-    return lexical.bm25_top(t.documents, passages(t))
+    return t.index.search(passages(t))
 
 
 @named(
@@ -68,7 +68,7 @@ def bm25_topk(t):
 )
 def bm25_filtered_topk(t):
     english = t.documents.where(F.col("lang") == "en")
-    return lexical.bm25_top(english, passages(t), corpus=t.documents)
+    return t.index.search(passages(t), only=english)
 
 
 @named(
@@ -77,7 +77,7 @@ def bm25_filtered_topk(t):
     "LEFT JOIN scores s ON s.qid = b.item_id AND s.score > 0 GROUP BY b.item_id",
 )
 def bm25_positive_only(t):
-    scored = lexical.bm25_scores(t.documents, passages(t))
+    scored = lexical.bm25_scores(t.index, passages(t))
     summary = scored.groupBy("qid").agg(F.count(F.lit(1)).alias("n_scored"), F.max("score").alias("best"))
     return (
         passages(t)
@@ -111,7 +111,7 @@ def passage_needs(t):
     "AND h.m = least(len(n.ts), 2) AND h.a > 0 GROUP BY n.need_id",
 )
 def term_cooccurrence(t):
-    return lexical.cooccurrence(t.documents, passage_needs(t))
+    return lexical.cooccurrence(t.index, passage_needs(t))
 
 
 @named(
@@ -126,8 +126,8 @@ def term_cooccurrence(t):
 def bridge_terms(t):
     """Rare query terms that never share a document with any other known term of their query."""
     asked = lexical.query_terms(passages(t))
-    post = lexical.postings(t.documents, vocabulary=asked)
-    known = asked.join(lexical.with_idf(lexical.document_frequency(post), t.documents), "term")
+    post = t.index.postings(asked)
+    known = asked.join(t.index.with_idf(asked), "term")
     # number of the query's known terms per (query, document): one means the term stands alone there
     matched = post.select("doc_id", "term").join(asked, "term")
     per_doc = matched.groupBy("qid", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.collect_set("term").alias("ts"))
@@ -148,7 +148,7 @@ def bridge_terms(t):
 def single_list_rank(t):
     from quarrymark.operators.rank import reciprocal
 
-    top = lexical.bm25_top(t.documents, passages(t), k=50)
+    top = t.index.search(passages(t), k=50)
     return top.select("qid", "doc_id", "rank", F.round(reciprocal(F.col("rank")), 12).alias("rrf"))
 
 
@@ -158,4 +158,4 @@ def single_list_rank(t):
 )
 def global_topk(t):
     """The 100 best pairs of the whole batch: one take-ordered, no window."""
-    return lexical.bm25_scores(t.documents, passages(t)).orderBy(F.col("score").desc(), "qid", "doc_id").limit(100)
+    return lexical.bm25_scores(t.index, passages(t)).orderBy(F.col("score").desc(), "qid", "doc_id").limit(100)

@@ -10,7 +10,7 @@ TABLES = (
 ).split()
 
 
-SMALL = 8
+SPREAD_BYTES = 32 << 20
 
 
 class Tables:
@@ -26,13 +26,20 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
+    @property
+    def index(self):
+        """The lexical index of ``documents``, built at first use."""
+        from quarrymark.sources.index import of_table
+
+        return of_table(self.spark, f"{self.folder}/documents.parquet")
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash a frame by key only when its scan is a handful of splits, fewer than an eighth of the task slots.
+    """Hash a frame by key when it is less than a split for every task slot, by the plan's own estimate of its bytes.
 
-    A single-row-group file would otherwise be processed by one task.  Such an input is small by its number of splits; any other is
+    A file of one row group is read by one task, however many splits it has.  What is larger than ``SPREAD_BYTES`` for every slot is
     left where it is, so no text is shuffled at scale.  The rows are the same either way.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
-    if SMALL * df.rdd.getNumPartitions() > slots:
-        return df
-    return df.repartition(slots, *keys)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df if size > slots * SPREAD_BYTES else df.repartition(slots, *keys)

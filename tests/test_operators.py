@@ -13,6 +13,7 @@ from quarrymark.functions import values as vx
 from quarrymark.functions.stem import stem
 from quarrymark.operators import adaptive, claims, dedup, filters, fusion, lexical, matching, metrics, state, stats
 from quarrymark.operators.rank import fuse_ranks, rrf_top
+from quarrymark.sources import index
 
 DOCS = [
     (1, "Ladders are permitted on platform two."),
@@ -35,7 +36,7 @@ def one(spark, column, **values):
 
 def test_bm25_by_hand(spark, docs):
     queries = spark.createDataFrame([(1, "permit fee fee"), (2, "the of and"), (3, "zebra")], "qid long, query string")
-    rows = {(r.qid, r.doc_id): (r.score, r.rank) for r in lexical.bm25_top(docs, queries).collect()}
+    rows = {(r.qid, r.doc_id): (r.score, r.rank) for r in lexical.bm25_top(lexical.Texts(docs), queries).collect()}
     assert {q for q, _ in rows} == {1}  # stop words alone and unknown words find nothing
     toks = {d: [w for w in t.lower().replace(".", "").split() if w not in tx.STOPWORDS] for d, t in DOCS}
     n, avg = len(toks), sum(map(len, toks.values())) / len(toks)
@@ -52,10 +53,11 @@ def test_bm25_by_hand(spark, docs):
     assert rows == {(1, 5): (score(5), 1), (1, 3): (score(3), 2)}
 
 
-def test_filter_keeps_corpus_weights(spark, docs):
+def test_filter_keeps_corpus_weights(spark, docs, tmp_path):
     queries = spark.createDataFrame([(1, "permit fee")], "qid long, query string")
-    every = {r.doc_id: r.score for r in lexical.bm25_top(docs, queries).collect()}
-    some = {r.doc_id: r.score for r in lexical.bm25_top(docs.where("doc_id = 3"), queries, corpus=docs).collect()}
+    every = {r.doc_id: r.score for r in lexical.bm25_top(lexical.Texts(docs), queries).collect()}
+    found = index.LexicalIndex(spark, index.build(docs, str(tmp_path)))
+    some = {r.doc_id: r.score for r in found.search(queries, only=docs.where("doc_id = 3")).collect()}
     assert some == {3: every[3]}
 
 

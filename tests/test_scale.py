@@ -97,7 +97,7 @@ def test_dense_search_in_blocks_equals_brute_force(spark, monkeypatch):
 
 def test_filters_and_columns_reach_the_scan(tables):
     text = plan(CATALOGUE["bm25_filtered_topk"].build(tables))
-    assert "EqualTo(lang,en)" in text and "ReadSchema: struct<doc_id:bigint,text:string,lang:string>" in text
+    assert "EqualTo(lang,en)" in text and "ReadSchema: struct<doc_id:bigint,lang:string>" in text
     assert "ReadSchema: struct<page_id:bigint,url:string>" in plan(CATALOGUE["document_ids"].build(tables))
 
 
@@ -112,19 +112,69 @@ def test_no_cartesian_plans(tables, name):
     assert "CartesianProduct" not in text and "NestedLoopJoin" not in text
 
 
-def test_large_inputs_shuffle_matched_terms_not_texts(tables, monkeypatch):
-    """With many input splits the text stays where it is: the one exchange by document carries counted query terms."""
+def test_ranking_reads_the_index_and_no_text(tables):
+    for name in ("doc_freq", "bm25_topk", "bm25_filtered_topk", "fusion_rrf", "stop_reason"):
+        tree = plan(CATALOGUE[name].build(tables))
+        scans = [part for part in tree.split("\n\n") if "Scan parquet" in part and "ReadSchema" in part]
+        assert any("cf:bigint" in s or "entries:array" in s for s in scans), name
+        texts = [s for s in scans if "documents.parquet" in s and "text:" in s]
+        assert len(texts) == (1 if name == "stop_reason" else 0), name
+
+
+def test_spread_follows_the_size_of_the_plan(tables, monkeypatch):
+    from quarrymark.sources import tables as source
+
+    docs = tables.documents.select("doc_id", "text")
+    assert "Exchange" in plan(source.spread(docs, "doc_id"))
+    monkeypatch.setattr(source, "SPREAD_BYTES", 100)
+    assert source.spread(docs, "doc_id") is docs
+
+
+def zipf_corpus(spark, n: int):
+    rng = random.Random(4)
+    texts = [(i, " ".join(f"w{int(rng.paretovariate(0.6)) % 400}" for _ in range(rng.choice([3, 20, 60, 200])))) for i in range(n)]
+    return spark.createDataFrame([*texts, (n, ""), (n + 1, None)], "doc_id long, text string")
+
+
+@pytest.mark.parametrize(("docs_a_range", "seeds", "k"), [(8, 1, 3), (32, 3, 10), (128, 3, 2000)])
+def test_skipped_blocks_change_nothing(spark, tmp_path, monkeypatch, docs_a_range, seeds, k):
+    from quarrymark.operators import lexical
+    from quarrymark.sources import index
+
+    monkeypatch.setattr(index, "RANGE_DOCS", docs_a_range)
+    monkeypatch.setattr(index, "SEED_RANGES", seeds)
+    docs = zipf_corpus(spark, 1500)
+    found = index.LexicalIndex(spark, index.build(docs, str(tmp_path)))
+    rng = random.Random(5)
+    asked = [(q, " ".join(f"w{rng.randint(1, 60)}" for _ in range(rng.randint(1, 6)))) for q in range(25)] + [(99, "unknown"), (100, "")]
+    queries = spark.createDataFrame(asked, "qid long, query string")
+    want = lexical.bm25_top(lexical.Texts(docs), queries, k=k)
+    got = found.search(queries, k=k)
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.select(got.columns).collect()}
+    some = docs.where("doc_id % 3 = 0")
+    kept = found.search(queries, k=k, only=some)
+    every = lexical.bm25_scores(lexical.Texts(docs), queries).join(some, "doc_id", "left_semi")
+    scores = {(r.qid, r.doc_id): r.score for r in every.collect()}
+    assert all(scores[r.qid, r.doc_id] == r.score for r in kept.collect())
+    assert kept.count() == sum(min(k, sum(q == i for q, _ in scores)) for i, _ in asked)
+    if docs_a_range == 8:  # most blocks are never opened
+        terms = lexical.query_terms(queries).join(found.terms.select("term", "idf"), "term")
+        bounds = found.bounds(terms)
+        least = got.where(f"rank = {k}").select("qid", "score")
+        reach = bounds.join(least, "qid").where("bound >= score")
+        assert reach.count() < 0.5 * bounds.join(least, "qid").count()
+
+
+def test_bounds_hold_for_every_document(spark, tmp_path):
     from quarrymark.operators import lexical
-    from quarrymark.plans.lexical_queries import passages
-
-    want = lexical.bm25_top(tables.documents, passages(tables))
-    monkeypatch.setattr(lexical, "spread", lambda df, *keys: df)
-    got = lexical.bm25_top(tables.documents, passages(tables))
-    assert got.exceptAll(want).count() == 0 and got.count() == want.count()
-    tree = plan(got)
-    exchanges = [part for part in tree.split("\n\n") if ") Exchange\n" in part]
-    by_document = [e for e in exchanges if "hashpartitioning(doc_id" in e]
-    assert by_document and all("text#" not in e and "tokens#" not in e for e in exchanges)
+    from quarrymark.sources import index
+
+    docs = zipf_corpus(spark, 400)
+    found = index.LexicalIndex(spark, index.build(docs, str(tmp_path)))
+    queries = spark.createDataFrame([(q, f"w{q} w{q + 1} w{2 * q}") for q in range(1, 20)], "qid long, query string")
+    terms = lexical.query_terms(queries).join(found.terms.select("term", "idf"), "term")
+    placed = lexical.bm25_scores(found, queries).join(found.documents, "doc_id").join(found.bounds(terms), ["qid", "range"])
+    assert placed.count() > 100 and placed.where("score > bound + 1e-6").count() == 0
 
 
 def test_no_driver_collect_in_operators():

@@ -76,16 +76,23 @@ def test_index_equals_scan_and_checks_itself(spark, tables, tmp_path):
     folder = index.build(tables.documents, root)
     assert index.build(tables.documents, root) == folder
     queries = tables.benchmark.select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
-    found = index.LexicalIndex(spark, folder).search(queries)
-    want = lexical.bm25_top(tables.documents, queries)
+    opened = index.LexicalIndex(spark, folder)
+    found = opened.search(queries)
+    want = lexical.bm25_top(lexical.Texts(tables.documents), queries)
     assert found.select(want.columns).exceptAll(want).count() == 0 and found.count() == want.count()
     other = index.build(tables.documents.where("doc_id <> 1"), root)
     assert other != folder
     with pytest.raises(index.IndexUnavailable, match="other options"):
         index.LexicalIndex(spark, folder, index.Options(k1=1.2))
-    spark.read.parquet(f"{folder}/terms").limit(3).write.mode("overwrite").parquet(f"{folder}/lengths")
-    with pytest.raises(index.IndexUnavailable, match="lengths"):
+    whole = opened.terms.cache()
+    whole.count()
+    whole.withColumn("df", F.when(F.col("term") == whole.first().term, F.col("df") + 1).otherwise(F.col("df"))).write.mode("overwrite").parquet(f"{folder}/terms")
+    with pytest.raises(index.IndexUnavailable, match="terms: content differs"):
         index.LexicalIndex(spark, folder)
+    whole.limit(3).write.mode("overwrite").parquet(f"{folder}/terms")
+    with pytest.raises(index.IndexUnavailable, match="terms: 3 rows"):
+        index.LexicalIndex(spark, folder)
+    whole.unpersist()
     with pytest.raises(index.IndexUnavailable, match="no finished index"):
         index.LexicalIndex(spark, root + "/nothing")
 
