@@ -32,21 +32,24 @@ def with_guards(candidates: DataFrame, text: str = "text") -> DataFrame:
 
 
 def near_pairs(candidates: DataFrame, least: float = RETRIEVAL.near_jaccard) -> DataFrame:
-    """Pairs of one candidate list that say the same: equal protected tokens and word Jaccard >= least."""
-    a = candidates.select("qid", "guard", *[F.col(c).alias(f"{c}_a") for c in ("item", "rank", "words")])
-    b = candidates.select("qid", "guard", *[F.col(c).alias(f"{c}_b") for c in ("item", "rank", "words")])
-    na, nb = F.size("words_a"), F.size("words_b")
-    sizes = F.least(na, nb) >= least * F.greatest(na, nb)
+    """Pairs of one candidate list that say the same: equal protected tokens and word Jaccard >= least.
+
+    Lists are paired by guard and number of words alone; the words of a pair of documents are compared once, however many lists
+    hold both.  ``candidates`` is read several times: a written table.
+    """
+    slim = candidates.select("qid", "guard", "item", "rank", F.size("words").alias("n"))
+    a = slim.select("qid", "guard", *[F.col(c).alias(f"{c}_a") for c in ("item", "rank", "n")])
+    b = slim.select("qid", "guard", *[F.col(c).alias(f"{c}_b") for c in ("item", "rank", "n")])
+    close = F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b")
+    listed = a.join(b, ["qid", "guard"]).where((F.col("rank_a") < F.col("rank_b")) & close).select("qid", "item_a", "item_b")
+    words = candidates.select("item", "words").dropDuplicates(["item"])
+    side = lambda tag: words.select(F.col("item").alias(f"item_{tag}"), F.col("words").alias(f"words_{tag}"))
+    pairs = listed.select("item_a", "item_b").distinct().join(side("a"), "item_a").join(side("b"), "item_b")
     shared = F.size(F.array_intersect("words_a", "words_b"))
-    return (
-        a.join(b, ["qid", "guard"])
-        .where((F.col("rank_a") < F.col("rank_b")) & sizes)
-        .select("qid", "item_a", "item_b", "words_a", "words_b", shared.alias("shared"))
-        .withColumn("union", na + nb - F.col("shared"))
-        .withColumn("jaccard", F.when(F.col("union") == 0, 1.0).otherwise(F.round(F.col("shared") / F.col("union"), 6)))
-        .where(F.col("jaccard") >= least)
-        .select("qid", "item_a", "item_b", "jaccard")
-    )
+    counted = pairs.select("item_a", "item_b", shared.alias("shared"), (F.size("words_a") + F.size("words_b") - shared).alias("union"))
+    jaccard = F.when(F.col("union") == 0, 1.0).otherwise(F.round(F.col("shared") / F.col("union"), 6))
+    alike = counted.select("item_a", "item_b", jaccard.alias("jaccard")).where(F.col("jaccard") >= least)
+    return listed.join(alike, ["item_a", "item_b"]).select("qid", "item_a", "item_b", "jaccard")
 
 
 OPTIONAL = {"document": "long", "section": "string", "start": "long", "end": "long", "embedding": "array<double>"}

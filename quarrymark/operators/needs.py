@@ -12,8 +12,10 @@ from quarrymark.operators.dialogue import RESTRICTIONS, words
 EDGE_SHARE = 0.6
 EDGE_PAGES = 3
 
-# Labels of evidence and facts in brackets, alone or in a list.
-MARKER = r"[\[(](?:[EF]\d+)(?:[ ]*[,;/][ ]*[EF]\d+)*[\])]"
+# What stands between a pair of brackets and holds no bracket itself.
+BRACKETED = r"[\[(][^\[\]()]*[\])]"
+LABEL_KINDS = ("E", "F")
+LABEL_SEPARATORS = ",;/"
 
 # Kinds of value a question can ask for, by the words it asks with; the first that occurs counts.
 ASKED = {
@@ -54,13 +56,33 @@ def edge_removals(pages: DataFrame, group: str, key: str, text: str = "text") ->
     )
 
 
+def _labels_only(bracketed: Column) -> Column:
+    """Whether a bracket holds a list of labels of evidence or facts, a letter and a number each, and nothing else."""
+    inner = F.substring(bracketed, F.lit(2), F.length(bracketed) - 2)
+    entries = F.transform(F.split(F.translate(inner, LABEL_SEPARATORS, "\n" * len(LABEL_SEPARATORS)), "\n"), lambda e: F.trim(e))
+    number = lambda e: F.substring(e, F.lit(2), F.length(e))
+    return F.forall(entries, lambda e: F.substring(e, 1, 1).isin(*LABEL_KINDS) & number(e).rlike("^[0-9]+$"))
+
+
 def markers(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(MARKER), 0)
+    """Brackets that hold labels only."""
+    return F.filter(F.regexp_extract_all(text, F.lit(BRACKETED), 0), _labels_only)
 
 
 def without_markers(text: Column) -> Column:
-    """The text without its labels, and without the blanks they leave before punctuation."""
-    bare = F.regexp_replace(text, rf"[ ]*{MARKER}", "")
+    """The text without its labels, and without the blanks they leave before punctuation.
+
+    The text is cut at its brackets; those that hold labels are left out with the blanks before them.
+    """
+    between = F.split(text, BRACKETED)
+    brackets = F.regexp_extract_all(text, F.lit(BRACKETED), 0)
+
+    def piece(part: Column, i: Column) -> Column:
+        bracket = F.get(brackets, i)
+        gone = F.coalesce(_labels_only(bracket), F.lit(False))
+        return F.when(gone, F.rtrim(part)).otherwise(F.concat(part, F.coalesce(bracket, F.lit(""))))
+
+    bare = F.array_join(F.transform(between, piece), "")
     return F.trim(F.regexp_replace(bare, r"[ ]+([.,;:!?])", "$1"))
 
 

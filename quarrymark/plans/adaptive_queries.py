@@ -14,6 +14,7 @@ from quarrymark.plans.filter_queries import _CLAIMS, dated, order_claims
 from quarrymark.plans.lexical_queries import bridge_terms, passages
 from quarrymark.plans.registry import named
 from quarrymark.plans.sql_parts import BM25, IDF, POSTINGS, QTERMS, STATS, ranked, sql_terms
+from quarrymark.session import written
 
 COMPARISON = r"(?i)\b(?:compared?|comparison|differences?|differs?|versus|vs)\b"
 
@@ -84,10 +85,10 @@ def needs(t):
     return ad.anchors(asked, known_terms(t))
 
 
-def judged(t, k: int = 20):
-    hits = t.index.search(passages(t), k=k).select("qid", "doc_id", "rank")
+def judged(t, k: int = 20, asked=None):
+    hits = written(t.index.search(passages(t), k=k).select("qid", "doc_id", "rank"), "hits")
     docs = texts_of(t, hits, "source").select("doc_id", "source", tx.terms(F.col("text")).alias("e"))
-    return ad.judge(hits.join(docs, "doc_id"), needs(t))
+    return ad.judge(hits.join(docs, "doc_id"), needs(t) if asked is None else asked)
 
 
 JUDGE = (
@@ -127,13 +128,15 @@ def need_status(t):
 
 @named("adaptive_steps", f"WITH {STEPS} SELECT qid, iteration, k, met, quality, gain, coalesce(stop, 'continue') AS stop FROM steps")
 def adaptive_steps(t):
-    steps = ad.iterations(judged(t), needs(t))
+    asked = written(needs(t), "needs")
+    steps = ad.iterations(judged(t, asked=asked), asked)
     return steps.withColumn("stop", F.coalesce("stop", F.lit("continue")))
 
 
 @named("stop_reason", f"WITH {STEPS} SELECT qid, min(iteration) AS iteration, arg_min(stop, iteration) AS stop, arg_min(quality, iteration) AS quality FROM steps WHERE stop IS NOT NULL GROUP BY qid")
 def stop_reason(t):
-    return ad.stopping_point(ad.iterations(judged(t), needs(t)))
+    asked = written(needs(t), "needs")
+    return ad.stopping_point(ad.iterations(judged(t, asked=asked), asked))
 
 
 @named(

@@ -14,6 +14,7 @@ from quarrymark.plans.lexical_queries import passages
 from quarrymark.plans.registry import named
 from quarrymark.plans.sql_parts import BM25, ranked, sql_terms
 from quarrymark.plans.text_queries import _SPLIT, _rx
+from quarrymark.session import written
 
 
 def weights(t):
@@ -29,7 +30,7 @@ def evidence(t):
 
 def evidence_sentences(t):
     """Sentences of the evidence; every document is cut once, whoever asked for it."""
-    hits = evidence(t)
+    hits = written(evidence(t), "evidence")
     return hits.join(cl.sentence_rows(texts_of(t, hits), "doc_id"), "doc_id")
 
 
@@ -68,8 +69,10 @@ def claim_select(t):
 
 
 def aligned(t):
-    chosen = selected(t)
-    return chosen, cl.align(chosen, cl.premises(evidence_sentences(t)))
+    """Claims and how the evidence bears on them; sentences and claims are worked out once."""
+    sentences = written(evidence_sentences(t), "evidence-sentences")
+    chosen = written(cl.select(sentences, weights(t)), "claims")
+    return chosen, cl.align(chosen, cl.premises(sentences))
 
 
 def own(chosen):

@@ -13,6 +13,7 @@ from quarrymark.plans.corpus_queries import texts_of
 from quarrymark.plans.lexical_queries import passages
 from quarrymark.plans.registry import named
 from quarrymark.plans.sql_parts import BM25, ranked, sql_terms
+from quarrymark.session import written
 
 
 def request_lists(t, k: int = 10):
@@ -74,8 +75,11 @@ RRF = (
 
 
 def hybrid_lists(t, k: int = 10):
-    lex = t.index.search(passages(t), k=50)
-    return rrf_top(fuse_ranks(lex, vector_lists(t), ["qid", "doc_id"]), "qid", "doc_id", k=k)
+    return fused(t.index.search(passages(t), k=50), vector_lists(t), k)
+
+
+def fused(lexical_list, vector_list, k: int = 10):
+    return rrf_top(fuse_ranks(lexical_list, vector_list, ["qid", "doc_id"]), "qid", "doc_id", k=k)
 
 
 @named("rrf_hybrid", f"WITH {RRF} SELECT qid, doc_id, left_rank, right_rank, rrf, rank FROM hybrid WHERE rank <= 10")
@@ -250,7 +254,7 @@ def alias_join(t):
 
 def candidate_lists(t, k: int = 50):
     """(qid, item, rank, digest, words, guard) of the lexical candidates; every document is analysed once."""
-    hits = t.index.search(passages(t), k=k).select("qid", "doc_id", "rank")
+    hits = written(t.index.search(passages(t), k=k).select("qid", "doc_id", "rank"), "candidates")
     features = dedup.with_guards(texts_of(t, hits)).select("doc_id", F.sha1("text").alias("digest"), "words", "guard")
     return hits.join(features, "doc_id").withColumnRenamed("doc_id", "item")
 
@@ -269,7 +273,7 @@ _GUARD = (
     "s AS (SELECT qid, item_a, item_b, round(len(list_intersect(wa, wb)) / len(list_distinct(list_concat(wa, wb))), 6) AS jaccard FROM j) SELECT * FROM s WHERE jaccard >= 0.9",
 )
 def dedup_near_pairs(t):
-    return dedup.near_pairs(candidate_lists(t))
+    return dedup.near_pairs(written(candidate_lists(t), "candidate-words"))
 
 
 @named("dedup_greedy")

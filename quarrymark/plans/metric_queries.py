@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from quarrymark.functions import text as tx
 from quarrymark.functions.sets import containment, jaccard, term_f1
-from quarrymark.operators import dense, lexical, matching, metrics, stats
+from quarrymark.operators import dense, matching, metrics, stats
 from quarrymark.plans.dense_queries import PROTO, prototypes
-from quarrymark.plans.fusion_queries import RRF, hybrid_lists, vector_lists
+from quarrymark.plans.fusion_queries import RRF, fused, vector_lists
 from quarrymark.plans.lexical_queries import passages
 from quarrymark.plans.registry import named
 from quarrymark.plans.sql_parts import BM25, ranked, sql_terms
+from quarrymark.session import written
 from quarrymark.sources.tables import spread
 
 GOLD = "gold AS (SELECT b.item_id AS qid, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
@@ -44,7 +45,7 @@ METRICS = f"{BM25}, {ranked(10)}, {GOLD}, {_scores('ranked')}"
 
 
 def scored(t):
-    return metrics.ranking(run(t), gold(t), passages(t), k=10)
+    return metrics.ranking(run(t), written(gold(t), "gold"), passages(t), k=10)
 
 
 @named("gold_containment", f"WITH {GOLD} SELECT qid, doc_id FROM gold")
@@ -77,8 +78,10 @@ def ndcg(t):
 )
 def harness_report(t):
     """Three retrieval modes side by side, with the total."""
-    wanted = gold(t)
-    lists = {"lexical": run(t), "vector": vector_lists(t, k=10), "hybrid": hybrid_lists(t)}
+    wanted = written(gold(t), "gold")
+    lexical_list, vector_list = written(run(t, k=50), "lexical-list"), written(vector_lists(t, k=50), "vector-list")
+    top = lambda ranked_list: ranked_list.where("rank <= 10")
+    lists = {"lexical": top(lexical_list), "vector": top(vector_list), "hybrid": fused(lexical_list, vector_list)}
     parts = [
         metrics.ranking(r.select("qid", "doc_id", "rank"), wanted, passages(t), k=10).select(F.lit(m).alias("mode"), "recall", "mrr")
         for m, r in lists.items()

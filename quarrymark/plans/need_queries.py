@@ -36,13 +36,20 @@ def strip_edges(t):
     return needs.edge_removals(pages, "source", "doc_id").select("doc_id", "n_repeated", "n_page_numbers")
 
 
+# Answers carry labels; here every sentence end of the documents gets some, and brackets that are none.
+_LABELLED = "replace(text, '. ', concat(' [E', doc_id, '; F2]. (E3) [Ex] (see E4) '))"
+_LABEL = "[\\[(] *[EF][0-9]+ *([,;/] *[EF][0-9]+ *)*[\\])]"
+
+
 @named(
     "strip_markers",
-    "SELECT doc_id, len(regexp_extract_all(text, '[\\[(](?:[EF]\\d+)(?:[ ]*[,;/][ ]*[EF]\\d+)*[\\])]')) AS n_markers, "
-    "sha1(trim(regexp_replace(regexp_replace(text, '[ ]*[\\[(](?:[EF]\\d+)(?:[ ]*[,;/][ ]*[EF]\\d+)*[\\])]', '', 'g'), '[ ]+([.,;:!?])', '\\1', 'g'))) AS digest FROM documents",
+    f"WITH l AS (SELECT doc_id, {_LABELLED} AS text FROM documents) SELECT doc_id, len(regexp_extract_all(text, '{_LABEL}')) AS n_markers, "
+    f"sha1(trim(regexp_replace(regexp_replace(text, ' *{_LABEL}', '', 'g'), ' +([.,;:!?])', '\\1', 'g'))) AS digest FROM l",
 )
 def strip_markers(t):
-    return texts(t).select(
+    """The documents as labelled answers, without their labels."""
+    labelled = texts(t).select("doc_id", F.expr(_LABELLED).alias("text"))
+    return labelled.select(
         "doc_id", F.size(needs.markers(F.col("text"))).alias("n_markers"), F.sha1(needs.without_markers(F.col("text"))).alias("digest")
     )
 

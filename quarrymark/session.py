@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,18 +57,40 @@ def checkpoint_folder(spark: SparkSession) -> str | None:
     return option.get() if option.isDefined() else None
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a frame with a reliable checkpoint, so that a lost executor costs no recomputation of earlier rounds.
+_scratch: list[str] = []
 
-    The folder is the one the cluster names; only a local session without one gets a temporary folder of its own.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; only a local session without one gets a temporary folder of its own."""
     folder = checkpoint_folder(spark)
     if folder is None:
-        if not context.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="quarrymark-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a frame with a reliable checkpoint, so that a lost executor costs no recomputation of earlier rounds."""
+    folder = shared_folder(df.sparkSession)
+    context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """Write a frame that several parts of a query need, once, and read it again with only the columns each part asks for."""
+    path = f"{shared_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove what ``written`` has left; for callers that are done with all results."""
+    while _scratch:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -2,8 +2,8 @@
 
 Texts are tokenised once, into one row of counted terms per document; everything else is derived from that table.  Documents of
 similar length form ranges of bounded size.  The postings of a term in a range are one block with the largest part that any of
-its documents can take of the term's idf.  Blocks lie in the order of (term, range), so a query's terms touch few row groups and a
-frequent term is spread over many blocks.
+its documents can take of the term's idf.  Every file has its blocks in the order of (term, range), so a query's terms touch few
+row groups, and the blocks of a frequent term are spread over all files.
 
 ``search`` adds up, for every query and range, the largest parts of the query's terms: no document of the range scores more.  It
 scores the most promising ranges first, takes the k-th best score found there, and then reads only blocks of ranges that can still
@@ -16,11 +16,8 @@ without it was not finished and counts as absent.
 
 from __future__ import annotations
 
-import atexit
 import hashlib
 import json
-import shutil
-import tempfile
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -29,7 +26,7 @@ from pyspark.sql import functions as F
 from quarrymark.config import RETRIEVAL
 from quarrymark.operators import lexical
 from quarrymark.operators.rank import top_k
-from quarrymark.session import checkpoint_folder
+from quarrymark.session import shared_folder
 
 VERSION = 2
 TABLES = ("documents", "terms", "blocks")
@@ -117,7 +114,7 @@ def build(
     top = F.max(_share(F.col("tf"), F.col("dl"), F.lit(avg_dl), options)).alias("top")
     entries = F.array_sort(F.collect_list(F.struct("doc_id", "tf", "dl"))).alias("entries")  # a range's documents at most
     grouped = post.groupBy("term", "range").agg(top, F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), entries)
-    blocks = kept(grouped.repartitionByRange("term", "range").sortWithinPartitions("term", "range"), "blocks")
+    blocks = kept(grouped.sortWithinPartitions("term", "range"), "blocks")
     terms = blocks.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
     kept(terms.withColumn("idf", lexical.idf(F.col("df"), F.lit(n))).sortWithinPartitions("term"), "terms")
     sums = {t: _checksum(spark.read.parquet(f"{folder}/{t}")) for t in TABLES}
@@ -209,14 +206,9 @@ def of_table(spark: SparkSession, folder: str, options: Options = Options()) ->
     content = files_digest(spark, folder)
     known = spark.sparkContext.applicationId, location("", content, options)
     if known not in _opened:
-        root = checkpoint_folder(spark)
-        if root is None:
-            if not spark.sparkContext.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            root = tempfile.mkdtemp(prefix="quarrymark-index-")
-            atexit.register(shutil.rmtree, root, ignore_errors=True)
-        built = _exists(spark, f"{location(f'{root}/lexical', content, options)}/manifest")
-        place = build(spark.read.parquet(folder), f"{root}/lexical", options, content=content)
+        root = f"{shared_folder(spark)}/lexical"
+        built = _exists(spark, f"{location(root, content, options)}/manifest")
+        place = build(spark.read.parquet(folder), root, options, content=content)
         # what this session has just written needs no second look
         _opened[known] = LexicalIndex(spark, place, options, verify=built)
     return _opened[known]
