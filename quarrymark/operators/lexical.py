@@ -112,17 +112,19 @@ def query_terms(queries: DataFrame, key: str = "qid", text: str = "query") -> Da
     return queries.select(key, F.explode(terms(F.col(text))).alias("term"))
 
 
-def bm25_scores(corpus: Corpus, queries: DataFrame) -> DataFrame:
-    """(qid, doc_id, score > 0) of every matching pair.
+def bm25_scores(corpus: Corpus, queries: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(qid, doc_id, score > 0) of every matching pair; ``only`` restricts the documents and changes no weight.
 
     Catalyst broadcasts the query terms when they are small and falls back to a sorted join when not.
     """
     asked = query_terms(queries)
     weighted = asked.join(corpus.with_idf(asked), "term").select("qid", "term", "idf")
     score = weight(F.col("tf"), F.col("dl"), F.col("idf"), corpus.mean_length())
+    found = corpus.postings(asked)
+    if only is not None:
+        found = found.join(only.select("doc_id").distinct(), "doc_id", "left_semi")
     return (
-        corpus.postings(asked)
-        .join(weighted, "term")
+        found.join(weighted, "term")
         .select("qid", "doc_id", score.alias("w"))
         .groupBy("qid", "doc_id")
         .agg(F.round(F.sum("w"), 6).alias("score"))
@@ -130,9 +132,12 @@ def bm25_scores(corpus: Corpus, queries: DataFrame) -> DataFrame:
     )
 
 
-def bm25_top(corpus: Corpus, queries: DataFrame, k: int = RETRIEVAL.top_k) -> DataFrame:
-    """(qid, doc_id, score, rank) over all matching pairs: ties by document id.  An index answers the same by ``search``."""
-    return top_k(bm25_scores(corpus, queries), ["qid"], F.col("score").desc(), F.col("doc_id").asc(), k=k)
+def bm25_top(corpus: Corpus, queries: DataFrame, k: int = RETRIEVAL.top_k, only: DataFrame | None = None) -> DataFrame:
+    """(qid, doc_id, score, rank) over all matching pairs: ties by document id.
+
+    For short queries an index finds the same by ``search`` and opens few blocks; whole passages reach nearly all of them.
+    """
+    return top_k(bm25_scores(corpus, queries, only), ["qid"], F.col("score").desc(), F.col("doc_id").asc(), k=k)
 
 
 def cooccurrence(corpus: Corpus, needs: DataFrame, key: str = "need_id") -> DataFrame:

@@ -86,7 +86,7 @@ def needs(t):
 
 
 def judged(t, k: int = 20, asked=None):
-    hits = written(t.index.search(passages(t), k=k).select("qid", "doc_id", "rank"), "hits")
+    hits = written(lexical.bm25_top(t.index, passages(t), k=k).select("qid", "doc_id", "rank"), "hits")
     docs = texts_of(t, hits, "source").select("doc_id", "source", tx.terms(F.col("text")).alias("e"))
     return ad.judge(hits.join(docs, "doc_id"), needs(t) if asked is None else asked)
 
@@ -180,7 +180,7 @@ def conflict_resolution(t):
 )
 def cache_invalidation(t):
     """Cached answers whose evidence was withdrawn (documents labelled toxic) must be searched again."""
-    entries = t.index.search(passages(t), k=10).select("qid", "doc_id")
+    entries = lexical.bm25_top(t.index, passages(t), k=10).select("qid", "doc_id")
     withdrawn = t.labels.where("toxic = 1").select("doc_id", F.lit(True).alias("gone"))
     return entries.join(withdrawn, "doc_id", "left").groupBy("qid").agg(
         F.count(F.lit(1)).alias("n_evidence"),

@@ -18,7 +18,7 @@ from quarrymark.session import written
 
 def request_lists(t, k: int = 10):
     """(uid, intent, intent_ord, item, section, score, rank)."""
-    hits = t.index.search(passages(t), k=k)
+    hits = lexical.bm25_top(t.index, passages(t), k=k)
     return hits.join(t.documents.select("doc_id", F.col("source").alias("section")), "doc_id").select(
         F.floor(F.col("qid") / 3).alias("uid"),
         F.col("qid").alias("intent"),
@@ -75,7 +75,7 @@ RRF = (
 
 
 def hybrid_lists(t, k: int = 10):
-    return fused(t.index.search(passages(t), k=50), vector_lists(t), k)
+    return fused(lexical.bm25_top(t.index, passages(t), k=50), vector_lists(t), k)
 
 
 def fused(lexical_list, vector_list, k: int = 10):
@@ -95,7 +95,7 @@ def rrf_hybrid(t):
 )
 def pool_merge_scores(t):
     """Union of several searches; the score of an item accumulates over all lists that found it."""
-    lex = t.index.search(passages(t), k=50).select("qid", "doc_id", "rank")
+    lex = lexical.bm25_top(t.index, passages(t), k=50).select("qid", "doc_id", "rank")
     vec = vector_lists(t).select("qid", "doc_id", "rank")
     both = rrf_top(fuse_ranks(lex, vec, ["qid", "doc_id"]), "qid", "doc_id", k=10).select("qid", "doc_id", "rank")
     return (
@@ -254,7 +254,7 @@ def alias_join(t):
 
 def candidate_lists(t, k: int = 50):
     """(qid, item, rank, digest, words, guard) of the lexical candidates; every document is analysed once."""
-    hits = written(t.index.search(passages(t), k=k).select("qid", "doc_id", "rank"), "candidates")
+    hits = written(lexical.bm25_top(t.index, passages(t), k=k).select("qid", "doc_id", "rank"), "candidates")
     features = dedup.with_guards(texts_of(t, hits)).select("doc_id", F.sha1("text").alias("digest"), "words", "guard")
     return hits.join(features, "doc_id").withColumnRenamed("doc_id", "item")
 

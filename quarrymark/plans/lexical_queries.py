@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarrymark.operators import lexical
 from quarrymark.operators.rank import top_k
 from quarrymark.plans.registry import named
-from quarrymark.plans.sql_parts import BM25, DOC_TERMS, IDF, POSTINGS, QTERMS, STATS, ranked, sql_terms
+from quarrymark.plans.sql_parts import BM25, DOC_TERMS, IDF, POSTINGS, QTERMS, SCORES, STATS, ranked, sql_terms
 from quarrymark.sources.tables import spread
 
 
@@ -58,7 +58,7 @@ def corpus_stats(t):
 
 @named("bm25_topk", f"WITH {BM25}, {ranked(10)} SELECT qid, doc_id, score, rank FROM ranked")
 def bm25_topk(t):
-    return t.index.search(passages(t))
+    return lexical.bm25_top(t.index, passages(t))
 
 
 @named(
@@ -68,7 +68,21 @@ def bm25_topk(t):
 )
 def bm25_filtered_topk(t):
     english = t.documents.where(F.col("lang") == "en")
-    return t.index.search(passages(t), only=english)
+    return lexical.bm25_top(t.index, passages(t), only=english)
+
+
+@named(
+    "bm25_rare_terms",
+    f"WITH {POSTINGS}, {STATS}, {IDF}, qa AS (SELECT DISTINCT item_id AS qid, unnest({sql_terms('text')}) AS term FROM benchmark), "
+    "qterms AS (SELECT qid, term FROM (SELECT qid, term, row_number() OVER (PARTITION BY qid ORDER BY idf DESC, term) AS n FROM qa JOIN idf USING (term)) WHERE n <= 3), "
+    f"{SCORES}, {ranked(10)} SELECT qid, doc_id, score, rank FROM ranked",
+)
+def bm25_rare_terms(t):
+    """The three rarest known terms of every passage as a query, answered by the blocks that can still reach the ten best."""
+    known = lexical.query_terms(passages(t)).join(t.index.with_idf().select("term", "idf"), "term")
+    rare = top_k(known, ["qid"], F.col("idf").desc(), F.col("term").asc(), k=3)
+    asked = rare.groupBy("qid").agg(F.array_join(F.collect_list("term"), " ").alias("query"))  # three terms
+    return t.index.search(asked)
 
 
 @named(
@@ -148,7 +162,7 @@ def bridge_terms(t):
 def single_list_rank(t):
     from quarrymark.operators.rank import reciprocal
 
-    top = t.index.search(passages(t), k=50)
+    top = lexical.bm25_top(t.index, passages(t), k=50)
     return top.select("qid", "doc_id", "rank", F.round(reciprocal(F.col("rank")), 12).alias("rrf"))
 
 

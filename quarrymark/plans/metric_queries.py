@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarrymark.functions import text as tx
 from quarrymark.functions.sets import containment, jaccard, term_f1
-from quarrymark.operators import dense, matching, metrics, stats
+from quarrymark.operators import dense, lexical, matching, metrics, stats
 from quarrymark.plans.dense_queries import PROTO, prototypes
 from quarrymark.plans.fusion_queries import RRF, fused, vector_lists
 from quarrymark.plans.lexical_queries import passages
@@ -27,7 +27,7 @@ def gold(t):
 
 
 def run(t, k: int = 10):
-    return t.index.search(passages(t), k=k).select("qid", "doc_id", "rank")
+    return lexical.bm25_top(t.index, passages(t), k=k).select("qid", "doc_id", "rank")
 
 
 def _scores(source: str) -> str:

@@ -133,7 +133,7 @@ def late_detail_gate(t):
 )
 def applicability_exclusion(t):
     """Hits whose document names another language than the best hit's are left out with the reason."""
-    hits = t.index.search(passages(t), k=10).select("qid", "doc_id", "rank")
+    hits = lexical.bm25_top(t.index, passages(t), k=10).select("qid", "doc_id", "rank")
     known = hits.join(t.documents.select("doc_id", "lang"), "doc_id")
     wanted = F.first("lang").over(Window.partitionBy("qid").orderBy("rank"))  # a list of ten
     return known.select("qid", "doc_id", "rank", needs.applicability(F.col("lang"), wanted, "lang").alias("outcome"))

@@ -291,7 +291,7 @@ def assignments(t):
         F.array_sort(tx.terms(F.col("text"))).alias("ts"),
         pick(_KINDS, F.col("item_id") % 7 + 1).alias("change"),
     )
-    hits = t.index.search(passages(t), k=10).select("qid", "doc_id", "rank")
+    hits = lexical.bm25_top(t.index, passages(t), k=10).select("qid", "doc_id", "rank")
     docs = texts_of(t, hits).select("doc_id", tx.terms(F.col("text")).alias("e"))
     return hits.join(docs, "doc_id").join(needs, "qid").withColumn("status", pick(_STATUSES, F.col("doc_id") % 3 + 1))
 
