@@ -204,17 +204,19 @@ def page_at(offsets: Column, position: Column) -> Column:
 SECTION = "struct<sid:string,level:int,title:string,parent:string,derived:string,path:array<string>,block:int>"
 
 
+def follows(a: Column, b: Column) -> Column:
+    """Whether two numbered heading candidates count up."""
+    stem = lambda n: F.regexp_replace(n, r"\d+$", "")
+    last = lambda n: F.regexp_extract(n, r"(\d+)$", 1).try_cast("long")
+    both = (a["kind"] == "numbered") & (b["kind"] == "numbered")
+    return F.coalesce(
+        both & (stem(a["number"]) == stem(b["number"])) & (last(b["number"]) == last(a["number"]) + 1), F.lit(False)
+    )
+
+
 def suppress_lists(cands: Column) -> Column:
     """Adjacent numbered candidates that count up are a list, not headings."""
 
-    def follows(a: Column, b: Column) -> Column:
-        stem = lambda n: F.regexp_replace(n, r"\d+$", "")
-        last = lambda n: F.regexp_extract(n, r"(\d+)$", 1).try_cast("long")
-        both = (a["kind"] == "numbered") & (b["kind"] == "numbered")
-        return F.coalesce(
-            both & (stem(a["number"]) == stem(b["number"])) & (last(b["number"]) == last(a["number"]) + 1), F.lit(False)
-        )
-
     def body(c: Column) -> Column:
         return F.transform(
             c,

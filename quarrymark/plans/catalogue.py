@@ -21,6 +21,7 @@ MODULES = (
     "dialogue_queries",
     "session_queries",
     "need_queries",
+    "structure_queries",
 )
 
 for _module in MODULES:
