@@ -22,6 +22,7 @@ MODULES = (
     "session_queries",
     "need_queries",
     "structure_queries",
+    "register_queries",
 )
 
 for _module in MODULES:
