@@ -23,6 +23,7 @@ MODULES = (
     "need_queries",
     "structure_queries",
     "register_queries",
+    "stated_queries",
 )
 
 for _module in MODULES:
