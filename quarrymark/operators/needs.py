@@ -56,6 +56,39 @@ def edge_removals(pages: DataFrame, group: str, key: str, text: str = "text") ->
     )
 
 
+def without_edges(pages: DataFrame, group: str, key: str, text: str = "text") -> DataFrame:
+    """(key, text, removed): the pages without their recurring edge lines and page numbers, and the lines that went, in order.
+
+    What recurs in a group stands on more than half of its pages, so it is a handful of lines; they are joined to the pages as one
+    short list.
+    """
+    edges = pages.select(group, key, F.explode(corpus.edge_lines(F.col(text))).alias("e")).select(
+        group, key, "e.side", corpus.line_key(F.col("e.line")).alias("line_key")
+    )
+    seen = edges.distinct().groupBy(group, "side", "line_key").agg(F.count(F.lit(1)).alias("on"))
+    sizes = pages.groupBy(group).agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= EDGE_PAGES)
+    again = seen.join(sizes, group).where(F.col("on") >= EDGE_SHARE * F.col("pages"))
+    lists = again.groupBy(group).agg(F.collect_set(F.struct("side", "line_key")).alias("again"))
+    rows = pages.select(group, key, corpus.lines(F.coalesce(F.col(text), F.lit(""))).alias("ls")).join(lists, group, "left")
+    full = F.filter(F.sequence(F.lit(0), F.size("ls") - 1), lambda i: F.trim(F.get("ls", i)) != "")
+    placed = rows.withColumn("full", full)
+    k = F.when(F.size("full") >= 6, 2).otherwise(1)
+    top = F.slice("full", 1, k)
+    bottom = F.when(F.size("full") > k, F.slice("full", F.greatest(F.size("full") - k + 1, F.lit(1)), k)).otherwise(F.array().cast("array<int>"))
+    sided = placed.withColumns({"top": top, "bottom": bottom})
+
+    def goes(line: Column, i: Column) -> Column:
+        side = F.when(F.array_contains("top", i), "top").when(F.array_contains("bottom", i), "bottom")
+        known = F.exists("again", lambda a: (a["side"] == side) & (a["line_key"] == corpus.line_key(line)))
+        return F.coalesce(side.isNotNull() & (F.coalesce(known, F.lit(False)) | line.rlike(corpus.PAGE_MARKER)), F.lit(False))
+
+    return sided.select(
+        key,
+        F.array_join(F.filter("ls", lambda line, i: ~goes(line, i)), "\n").alias("text"),
+        F.filter("ls", goes).alias("removed"),
+    )
+
+
 def _labels_only(bracketed: Column) -> Column:
     """Whether a bracket holds a list of labels of evidence or facts, a letter and a number each, and nothing else."""
     inner = F.substring(bracketed, F.lit(2), F.length(bracketed) - 2)

@@ -36,6 +36,26 @@ def strip_edges(t):
     return needs.edge_removals(pages, "source", "doc_id").select("doc_id", "n_repeated", "n_page_numbers")
 
 
+# Documents as pages of a bulletin: a running header with a number, and a page number in one of two forms.
+_PAGED = "concat(source, ' bulletin, issue ', doc_id, chr(10), text, chr(10), CASE WHEN doc_id % 2 = 0 THEN concat('Page ', doc_id % 900, ' of 900') ELSE concat('- ', doc_id % 900, ' -') END)"
+
+
+@named(
+    "stripped_pages",
+    f"WITH dx AS (SELECT source, doc_id, {_PAGED} AS text FROM documents), {_EDGES.replace('FROM documents', 'FROM dx')}, "
+    "gone AS (SELECT e.doc_id, e.i FROM e LEFT JOIN k ON k.source = e.source AND k.side = e.side AND k.key = e.key WHERE e.side IS NOT NULL "
+    "AND (k.key IS NOT NULL OR regexp_matches(trim(e.line), '^([-–—] ?)?(?i:page )?\\d{1,4}( ?(of|/) ?\\d{1,4})?( ?[-–—])?$'))), "
+    "al AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM p) "
+    "SELECT al.doc_id, count(gone.i) AS n_removed, sha1(coalesce(string_agg(ls[al.i], chr(10) ORDER BY al.i) FILTER (WHERE gone.i IS NULL), '')) AS digest "
+    "FROM al LEFT JOIN gone ON gone.doc_id = al.doc_id AND gone.i = al.i GROUP BY al.doc_id",
+)
+def stripped_pages(t):
+    """The text of every page without its running header and page number."""
+    pages = texts(t, "source").select("source", "doc_id", F.expr(_PAGED).alias("text"))
+    rows = needs.without_edges(pages, "source", "doc_id")
+    return rows.select("doc_id", F.size("removed").cast("long").alias("n_removed"), F.sha1("text").alias("digest"))
+
+
 # Answers carry labels; here every sentence end of the documents gets some, and brackets that are none.
 _LABELLED = "replace(text, '. ', concat(' [E', doc_id, '; F2]. (E3) [Ex] (see E4) '))"
 _LABEL = "[\\[(] *[EF][0-9]+ *([,;/] *[EF][0-9]+ *)*[\\])]"
