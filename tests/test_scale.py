@@ -113,12 +113,19 @@ def test_no_cartesian_plans(tables, name):
 
 
 def test_ranking_reads_the_index_and_no_text(tables):
-    for name in ("doc_freq", "bm25_topk", "bm25_filtered_topk", "fusion_rrf", "stop_reason"):
+    for name in ("doc_freq", "bm25_topk", "bm25_filtered_topk", "bm25_rare_terms", "fusion_rrf"):
         tree = plan(CATALOGUE[name].build(tables))
         scans = [part for part in tree.split("\n\n") if "Scan parquet" in part and "ReadSchema" in part]
         assert any("cf:bigint" in s or "entries:array" in s for s in scans), name
         texts = [s for s in scans if "documents.parquet" in s and "text:" in s]
-        assert len(texts) == (1 if name == "stop_reason" else 0), name
+        assert not texts, name
+
+
+def test_claims_are_verified_from_sentences_cut_once(tables):
+    for name in ("verify_claims", "stop_reason", "harness_report", "dedup_near_pairs"):
+        tree = plan(CATALOGUE[name].build(tables))
+        scans = [part for part in tree.split("\n\n") if "Scan parquet" in part and "ReadSchema" in part]
+        assert len([s for s in scans if "documents.parquet" in s]) <= 1, name
 
 
 def test_spread_follows_the_size_of_the_plan(tables, monkeypatch):
