@@ -105,18 +105,18 @@ def markers(text: Column) -> Column:
 def without_markers(text: Column) -> Column:
     """The text without its labels, and without the blanks they leave before punctuation.
 
-    The text is cut at its brackets; those that hold labels are left out with the blanks before them.
+    The text is cut at its brackets; those that hold labels are left out with the blanks before them.  Pieces and brackets are each found
+    once a text and paired by place; the last piece has no bracket.
     """
     between = F.split(text, BRACKETED)
     brackets = F.regexp_extract_all(text, F.lit(BRACKETED), 0)
 
-    def piece(part: Column, i: Column) -> Column:
-        bracket = F.get(brackets, i)
+    def piece(part: Column, bracket: Column) -> Column:
         gone = F.coalesce(_labels_only(bracket), F.lit(False))
         return F.when(gone, F.rtrim(part)).otherwise(F.concat(part, F.coalesce(bracket, F.lit(""))))
 
-    bare = F.array_join(F.transform(between, piece), "")
-    return F.trim(F.regexp_replace(bare, r"[ ]+([.,;:!?])", "$1"))
+    bare = F.array_join(F.zip_with(between, brackets, piece), "")
+    return F.trim(F.regexp_replace(bare, r"(?<! )[ ]+([.,;:!?])", "$1"))
 
 
 def asked_kind(text: Column) -> Column:
