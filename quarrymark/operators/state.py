@@ -45,23 +45,31 @@ def lineage(queries: DataFrame, key: str, order: str, bucket: Column, terms: str
 def recent_similarity(queries: DataFrame, key: str, order: str, terms: str = "terms", least: float = 0.0) -> DataFrame:
     """Highest Jaccard of every query to all earlier ones of its key that is at least ``least``, and which one that was.
 
-    Queries meet on shared terms only.  Sets that reach ``least`` share a term among the first ``n - ceil(least * n) + 1`` of each in
-    any common order, so only those terms are looked up, and only sets of fitting sizes are counted.  Empty sets equal each other.
+    Queries meet on shared terms only, and what meets is narrow: no set travels with a term.  Sets that reach ``least`` share a term
+    among the first ``n - ceil(least * n) + 1`` of each in any common order, so only those terms are looked up, and only sets of
+    fitting sizes make a pair; the sets are fetched once a pair.  With ``least`` 0 every term is looked up, so the meetings of a pair
+    are its shared terms.  Empty sets equal each other.
     """
     listed = F.when(F.size(terms) == 0, F.array(F.lit(""))).otherwise(F.array_sort(F.array_distinct(terms)))
-    sets = queries.select(key, order, listed.alias("_set")).withColumn("_n", F.size("_set"))
+    # a hash tells apart sets that stand at the same place of a key
+    sets = queries.select(key, order, listed.alias("_set")).distinct().withColumns({"_n": F.size("_set"), "_id": F.xxhash64("_set")})
     head = F.slice("_set", 1, F.least(F.col("_n") - F.ceil(F.lit(least) * F.col("_n")) + 1, F.col("_n")).cast("int"))
-    asked = sets.select(key, order, "_set", "_n", F.explode(head).alias("_term"))
-    known = asked.select(
-        key, "_term", F.col(order).alias("_other"), F.col("_set").alias("_their_set"), F.col("_n").alias("_their_n")
-    )
+    asked = sets.select(key, order, "_id", "_n", F.explode(head).alias("_term"))
+    theirs = {order: "_other", "_id": "_their_id", "_n": "_their_n", "_set": "_their_set"}
     fits = F.least("_n", "_their_n") >= F.lit(least) * F.greatest("_n", "_their_n")
+    # the plan takes exploded rows for as small as the table they come from: neither side is to be broadcast
+    known = asked.withColumnsRenamed(theirs).hint("merge")
     met = asked.join(known, [key, "_term"]).where((F.col("_other") < F.col(order)) & fits)
-    # a pair meets once for every looked-up term: only its first is scored
-    shared = F.array_intersect("_set", "_their_set")
-    first = met.withColumn("_shared", shared).where(F.col("_term") == F.get("_shared", F.lit(0)))
-    common = F.size("_shared")
-    scored = first.withColumn("_s", common / (F.col("_n") + F.col("_their_n") - common)).where(F.col("_s") >= least)
+    pair = [key, order, "_id", "_n", "_other", "_their_id", "_their_n"]
+    if least > 0:
+        found = met.select(*pair).distinct()
+        mine = sets.select(key, order, "_id", "_set").hint("merge")
+        both = found.join(mine, [key, order, "_id"]).join(mine.withColumnsRenamed(theirs).hint("merge"), [key, "_other", "_their_id"])
+        counted = both.withColumn("_common", F.size(F.array_intersect("_set", "_their_set")))
+    else:
+        counted = met.groupBy(*pair).agg(F.count(F.lit(1)).alias("_common"))
+    common = F.col("_common")
+    scored = counted.withColumn("_s", common / (F.col("_n") + F.col("_their_n") - common)).where(F.col("_s") >= least)
     best = scored.groupBy(key, order).agg(
         F.max("_s").alias("_top"), F.max_by("_other", F.struct(F.col("_s"), -F.col("_other"))).alias("most_similar")
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -219,6 +220,21 @@ def test_similarity_looks_at_every_earlier_query(spark, least):
     assert got[2, 40] == (1.0, 0)
 
 
+@pytest.mark.parametrize("least", [0.0, 0.75])
+def test_no_sets_travel_with_the_terms_of_queries(spark, tables, least):
+    """Before, every term of a query carried the whole query, into a broadcast whose size the plan took for that of the table."""
+    from quarrymark.plans.state_queries import session_queries
+
+    rows = state.recent_similarity(session_queries(tables), "conv_id", "turn", least=least)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    travels = re.findall(r"Generate explode\(.*\), \[([^\]]*)\], false, \[_term", plan)
+    assert len(travels) == 2 and not any("_set" in columns for columns in travels)
+    assert not re.search(r"BroadcastHashJoin \[[^\]]*_(?:term|id)#", plan)
+    twice = [(1, 1, ["a", "b"]), (1, 1, ["a", "b"]), (1, 1, ["c"]), (1, 2, ["a", "b"])]  # repeated places count once
+    got = state.recent_similarity(spark.createDataFrame(twice, "k long, at long, terms array<string>"), "k", "at", least=least)
+    assert sorted((r.at, r.similarity, r.most_similar) for r in got.collect()) == [(1, 0.0, None)] * 3 + [(2, 1.0, 1)]
+
+
 def test_optimal_matching_equals_all_permutations():
     from itertools import permutations
 
