@@ -364,3 +364,16 @@ def test_net_changes_cancel(spark):
     rows = [(1, "a", "added"), (1, "a", "retracted"), (1, "b", "added"), (1, "c", "retracted"), (1, "d", "modified"), (1, "e", "kept")]
     got = {(r.item, r.change) for r in sessions.net_changes(spark.createDataFrame(rows, "s int, item string, change string"), ["s"], "item").collect()}
     assert got == {("b", "added"), ("c", "retracted"), ("d", "modified")}
+
+
+def test_long_texts_of_number_words(spark):
+    """Before, every token copied all tokens before it; a run of any length must not exhaust the stack either."""
+    from quarrymark.functions.stem import stem_terms
+
+    numbers = tx.spoken_numbers(F.col("ts"))
+    rows = [(["one"] * 30_000,), (["hundred", "two", "hundred", "sevens", "five"],), ([],), (None,)]
+    frame = spark.createDataFrame(rows, "ts array<string>").select(numbers.alias("ts"))
+    assert [r[0] for r in frame.collect()] == [["30000"], ["hundred", "200", "sevens", "5"], [], None]
+    assert "concat(" not in frame._jdf.queryExecution().optimizedPlan().treeString()
+    stems = spark.createDataFrame([(["running", "dogs"],), (None,), ([],), (["dogs", None],)], "ts array<string>").coalesce(1)
+    assert [r[0] for r in stems.select(stem_terms("ts")).collect()] == [["run", "dog"], None, [], ["dog", None]]
