@@ -1,9 +1,10 @@
 """A lexical index on disk, and exact search that skips blocks.
 
 Texts are tokenised once, into one row of counted terms per document; everything else is derived from that table.  Documents of
-similar length form ranges of bounded size.  The postings of a term in a range are one block with the largest part that any of
-its documents can take of the term's idf.  Every file has its blocks in the order of (term, range), so a query's terms touch few
-row groups, and the blocks of a frequent term are spread over all files.
+similar length form ranges of bounded size, and whole documents are dealt out by range: postings are grouped inside a range and never
+shuffled.  The postings of a term in a range are one block with the largest part that any of its documents can take of the term's
+idf.  Every file has the blocks of some ranges in the order of (term, range), so a query's terms touch few row groups, and the blocks
+of a frequent term are spread over all files.
 
 ``search`` adds up, for every query and range, the largest parts of the query's terms: no document of the range scores more.  It
 scores the most promising ranges first, takes the k-th best score found there, and then reads only blocks of ranges that can still
@@ -18,8 +19,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +36,8 @@ from quarrymark.session import shared_folder
 VERSION = 2
 TABLES = ("documents", "terms", "blocks")
 RANGE_DOCS = 128
+PART_POSTINGS = 1_000_000
+COUNTS = "terms array<string>, tfs array<long>"
 SEED_RANGES = 3
 ROUNDING = 1e-6
 
@@ -80,9 +87,64 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def _share(tf: Column, dl: Column, avg_dl: Column, options: Options) -> Column:
-    """The part of its idf that a term gives a document."""
-    return lexical.weight(tf, dl, F.lit(1.0), avg_dl, options.k1, options.b)
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct terms of every document, in order of a batch's first use, with their counts."""
+    for batch in batches:
+        doc, dl, tokens = batch.columns
+        sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy()
+        coded = tokens.flatten().dictionary_encode()
+        width = max(len(coded.dictionary), 1)
+        place = np.repeat(np.arange(len(sizes)), sizes) * width + coded.indices.to_numpy()
+        place, tf = np.unique(place, return_counts=True)
+        offsets = pa.array(np.searchsorted(place, np.arange(len(sizes) + 1) * width).astype(np.int32))
+        terms = pa.ListArray.from_arrays(offsets, coded.dictionary.take(pa.array(place % width)))
+        tfs = pa.ListArray.from_arrays(offsets, pa.array(tf.astype(np.int64)))
+        yield pa.RecordBatch.from_arrays([doc, dl, terms, tfs], names=["doc_id", "dl", "terms", "tfs"])
+
+
+def _range_blocks(number: int, rows: pa.Table, share: Callable) -> pa.RecordBatch:
+    """The blocks of one range: of every term its documents by id, and the largest share of the idf."""
+    rows = rows.combine_chunks()
+    doc, dl, terms, tfs = (rows.column(c).combine_chunks() for c in ("doc_id", "dl", "terms", "tfs"))
+    row = np.repeat(np.arange(len(doc)), pc.list_value_length(terms).to_numpy())
+    coded, tf = terms.flatten().dictionary_encode(), tfs.flatten().to_numpy()
+    at = np.empty(len(doc), dtype=np.int64)
+    at[pc.sort_indices(doc, null_placement="at_start").to_numpy()] = np.arange(len(doc))
+    code = coded.indices.to_numpy()
+    order = np.lexsort((tf, at[row], code))
+    code, row, tf = code[order], row[order], tf[order]
+    first = np.flatnonzero(np.diff(code, prepend=-1))
+    length = dl.take(pa.array(row))
+    entries = pa.StructArray.from_arrays([doc.take(pa.array(row)), pa.array(tf), length], names=["doc_id", "tf", "dl"])
+    top = np.maximum.reduceat(share(tf, length.to_numpy()), first)
+    ends = np.append(first, len(code))
+    return pa.RecordBatch.from_arrays(
+        [
+            coded.dictionary.take(pa.array(code[first])), pa.array(np.full(len(first), number)), pa.array(top), pa.array(np.diff(ends)),
+            pa.array(np.add.reduceat(tf, first)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), entries),
+        ],
+        names=["term", "range", "top", "df", "cf", "entries"],
+    )
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], share: Callable) -> Iterator[pa.RecordBatch]:
+    """Blocks of the ranges of a partition, which come one after another; no more than a range is held."""
+    number, held = None, []
+
+    def done() -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held) if held else None
+        if rows is not None and pc.sum(pc.list_value_length(rows.column("terms"))).as_py():
+            yield _range_blocks(number, rows, share)
+
+    for batch in batches:
+        ranges = batch.column(batch.schema.get_field_index("range")).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(ranges)) + 1).tolist(), len(ranges)]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if hi > lo and ranges[lo] != number:
+                yield from done()
+                number, held = int(ranges[lo]), []
+            held.append(batch.slice(lo, hi - lo))
+    yield from done()
 
 
 def build(
@@ -99,21 +161,23 @@ def build(
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
         return spark.read.parquet(f"{folder}/{name}")
 
-    tokens = lexical.analysed(docs, key, text)
-    counted = tokens.select(F.col(key).alias("doc_id"), "dl", lexical.counted(F.col("tokens")).alias("counts"))
+    tokens = lexical.analysed(docs, key, text).select(F.col(key).alias("doc_id"), "dl", "tokens")
+    kind = dict(tokens.dtypes)["doc_id"]
+    counted = tokens.mapInArrow(_counted, f"doc_id {kind}, dl int, {COUNTS}")
     # documents of similar length, and of each length class as many ranges as it needs
     length = F.coalesce("dl", F.lit(0))  # a null text counts as a document, but has no length
     counted = counted.withColumn("class", F.floor(4 * F.log2(length + 1)).cast("long"))
     rows = kept(counted, "counted")
     sizes = rows.groupBy("class").agg(F.ceil(F.count(F.lit(1)) / RANGE_DOCS).alias("ranges"))  # one row a class, some 130 at most
     number = F.col("class") * (1 << 40) + F.pmod(F.xxhash64("doc_id"), F.col("ranges"))
-    ranged = rows.join(F.broadcast(sizes), "class").select("doc_id", "dl", "counts", number.alias("range"))
+    ranged = rows.join(F.broadcast(sizes), "class").select("doc_id", "dl", number.alias("range"), "terms", "tfs")
     documents = kept(ranged.select("doc_id", "dl", "range"), "documents")
-    n, avg_dl = documents.agg(F.count(F.lit(1)), F.avg("dl")).first()
-    post = ranged.select("doc_id", "dl", "range", F.explode("counts").alias("p")).select("doc_id", "dl", "range", "p.term", "p.tf")
-    top = F.max(_share(F.col("tf"), F.col("dl"), F.lit(avg_dl), options)).alias("top")
-    entries = F.array_sort(F.collect_list(F.struct("doc_id", "tf", "dl"))).alias("entries")  # a range's documents at most
-    grouped = post.groupBy("term", "range").agg(top, F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), entries)
+    n, avg_dl, total = rows.agg(F.count(F.lit(1)), F.avg("dl"), F.sum(F.size("terms"))).first()
+    # whole documents are dealt to their ranges, so no posting is shuffled
+    dealt = ranged.repartition(1 + (total or 0) // PART_POSTINGS, "range").sortWithinPartitions("range")
+    share = lambda tf, dl: lexical.weight(tf, dl, 1.0, avg_dl, options.k1, options.b)
+    entry = f"array<struct<doc_id:{kind},tf:long,dl:int>>"
+    grouped = dealt.mapInArrow(lambda b: _blocks(b, share), f"term string, range long, top double, df long, cf long, entries {entry}")
     blocks = kept(grouped.sortWithinPartitions("term", "range"), "blocks")
     terms = blocks.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
     kept(terms.withColumn("idf", lexical.idf(F.col("df"), F.lit(n))).sortWithinPartitions("term"), "terms")

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,3 +102,30 @@ def test_options():
     assert override(RETRIEVAL, {"top_k": 3}, {"top_k": 4}).top_k == 4
     with pytest.raises(ValueError, match="unknown"):
         override(RETRIEVAL, {"topk": 3})
+
+
+def test_blocks_of_awkward_documents(spark, tmp_path):
+    """Null, empty and repeated texts; blocks hold what counting the texts anew gives."""
+    rows = [(i, f"alpha beta{i % 7} alpha gamma{i}") for i in range(300)] + [(900, None), (901, ""), (902, "alpha"), (None, "alpha delta")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    opened = index.LexicalIndex(spark, index.build(docs, str(tmp_path / "index")))
+    key = lambda r: (r.doc_id is not None, r.doc_id, r.dl, r.term, r.tf)
+    assert sorted(map(key, opened.postings().collect())) == sorted(map(key, lexical.postings(docs).select("doc_id", "dl", "term", "tf").collect()))
+    assert {r.doc_id: r.dl for r in opened.lengths().collect()}[900] is None and opened.manifest["n"] == 304
+    for block in opened.blocks.collect():
+        assert [e.doc_id for e in block.entries] == sorted((e.doc_id for e in block.entries), key=lambda d: (d is not None, d))
+        assert block.df == len(block.entries) and block.cf == sum(e.tf for e in block.entries)
+        part = max(lexical.weight(e.tf, e.dl, 1.0, opened.manifest["avg_dl"]) for e in block.entries)
+        assert block.top == pytest.approx(part, abs=1e-12)
+
+
+def test_no_posting_is_shuffled_to_build_the_index(spark, tmp_path, monkeypatch):
+    """Before, every posting went through an exchange by term and range."""
+    docs = spark.createDataFrame([(i, f"alpha beta{i}") for i in range(50)], "doc_id long, text string")
+    plans = []
+    kind = type(spark.range(0).write)
+    write = kind.parquet
+    monkeypatch.setattr(kind, "parquet", lambda self, path, *a, **k: (plans.append((path, self._df._jdf.queryExecution().executedPlan().toString())), write(self, path, *a, **k))[1])
+    index.build(docs, str(tmp_path / "index"))
+    blocks = next(plan for path, plan in plans if path.endswith("/blocks"))
+    assert "MapInArrow" in blocks and not re.search(r"Exchange hashpartitioning\([^)]*term", blocks)
