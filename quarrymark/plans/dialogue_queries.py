@@ -43,8 +43,8 @@ def act_sql(text: str, anchored: str) -> str:
     )
 
 
-def idf_of_documents(t, vocabulary):
-    return t.index.with_idf(vocabulary).select("term", "idf")
+def idf_of_documents(t):
+    return t.index.with_idf().select("term", "idf")
 
 
 def anchor_norm(t):
@@ -55,7 +55,7 @@ def anchor_norm(t):
 def term_signals(rows, t, keys: list[str], terms: str = "terms"):
     """Add n_terms, n_anchors, max_idf (over anchors) per row of terms."""
     said = rows.select(*keys, F.explode(terms).alias("term"))
-    per = said.join(idf_of_documents(t, said), "term", "left").groupBy(*keys).agg(
+    per = said.join(idf_of_documents(t), "term", "left").groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_terms"),
         F.count_if(F.col("idf") >= CONTROLLER.anchor_idf_floor).alias("n_anchors"),
         F.max(F.when(F.col("idf") >= CONTROLLER.anchor_idf_floor, F.col("idf"))).alias("max_idf"),

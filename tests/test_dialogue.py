@@ -112,3 +112,11 @@ def test_constraint_scope(spark):
         (2, 0): (1, "fronted_restriction", 1.0),
         (3, 0): (0, "no_intent", 1.0),
     }
+
+
+def test_term_statistics_are_joined_once(spark, tables):
+    """Before, the terms of the documents were first cut down to the said ones, which shuffled both once more."""
+    from quarrymark.plans import dialogue_queries
+
+    plan = dialogue_queries.turns(tables)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan and plan.count("/terms") + plan.count("idf#") > 0
