@@ -50,3 +50,13 @@ def test_empty(spark):
     q = spark.createDataFrame([], "qid long, text string, constraint string")
     v = spark.createDataFrame([], "field string, value string")
     assert stated.stated(q, v, MARKERS).count() == 0
+
+
+def test_words_are_counted_before_they_are_shuffled(spark, tmp_path):
+    """Before, every place at which a question says a word of a value was shuffled with the value."""
+    spark.range(40).selectExpr("id AS qid", "repeat('for the fee ', 50) AS text", "'' AS constraint").write.parquet(str(tmp_path / "q"))
+    v = spark.createDataFrame([("kind", "fee"), ("kind", "the fee")], "field string, value string")
+    rows = stated.stated(spark.read.parquet(str(tmp_path / "q")), v, MARKERS)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"HashAggregate\(keys=\[qid#\d+L?, phrase#\d+\], functions=\[partial_count", plan) and "start#" not in plan
+    assert {(r.value, r.n_found, r.by_marker) for r in rows.collect()} == {("fee", 50, True), ("the fee", 50, True)}
