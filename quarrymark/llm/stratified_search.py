@@ -37,7 +37,7 @@ from quarrymark.llm.stratum_index import NO_ID, Best, Items, Shard, built
 from quarrymark.llm.word_hashes import raw, slices, words_of
 
 K = 20
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 BLOCK_BYTES = 8 << 20
 
 ARRAYS = {
