@@ -2,8 +2,10 @@
 
 ``build`` reads the texts twice: once for the number of documents and words, once for the shards.  A shard is a slice of an Arrow
 batch of bounded size and becomes one row of Parquet: documents grouped by equal normaliser, postings by term, stratum and tf
-(``stratum_index``).  ``dictionary`` holds the document frequency of every term.  No posting is shuffled, so a frequent term is no
-hot key; only (term, document frequency of a shard) is, after one entry per shard.
+(``stratum_index``).  Each row is a row group of its own, so that Parquet's writers and readers hold one shard and not a whole file;
+document numbers and counts are 16 bits wide, as a shard has at most 32,767 documents.  ``dictionary`` holds the document frequency
+of every term.  No posting is shuffled, so a frequent term is no hot key; only (term, document frequency of a shard) is, after one
+entry per shard.
 
 ``search`` weighs the terms of the items, writes the items in blocks of bounded size to the shared folder, and lets every shard
 answer every block.  A task keeps the best documents of the block's items over all its shards, so later shards are pruned by the
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from quarrymark.llm.shared_files import place
 from quarrymark.llm.store import folder, written
-from quarrymark.llm.stratum_index import NO_ID, Best, Items, Shard, built
+from quarrymark.llm.stratum_index import MOST_DOCS, NO_ID, Best, Items, Shard, built
 from quarrymark.llm.word_hashes import raw, slices, words_of
 
 K = 20
@@ -41,8 +43,8 @@ SHARD_BYTES = 4 << 20
 BLOCK_BYTES = 8 << 20
 
 ARRAYS = {
-    "docs": "long", "strata": "long", "stratum_docs": "long", "terms": "long", "term_docs": "long", "term_groups": "long",
-    "group_stratum": "int", "group_tf": "int", "group_docs": "int", "postings": "int",
+    "docs": "long", "strata": "long", "stratum_docs": "short", "terms": "long", "term_docs": "short", "term_groups": "short",
+    "group_tf": "int", "group_docs": "short", "postings": "short",
 }
 SHARD = ", ".join(f"{name} array<{kind}>" for name, kind in ARRAYS.items())
 
@@ -66,10 +68,10 @@ def _shards(batches: Iterator[pa.RecordBatch], documents: int, total: int) -> It
     for batch in batches:
         data, at = raw(batch.column(1))
         ids = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
-        for lo, hi in slices(at, SHARD_BYTES):
+        for lo, hi in slices(at, SHARD_BYTES, MOST_DOCS):
             shard = built(words_of(data, at[lo : hi + 1]), ids[lo:hi], documents, total)
             if shard is not None:
-                kinds = {"long": np.int64, "int": np.int32}
+                kinds = {"long": np.int64, "int": np.int32, "short": np.int16}
                 arrays = [pa.array([shard[n].astype(kinds[k], copy=False)]) for n, k in ARRAYS.items()]
                 yield pa.RecordBatch.from_arrays(arrays, names=list(ARRAYS))
 
@@ -80,7 +82,7 @@ def build(docs: DataFrame) -> Index:
     counted = sizes.agg(F.coalesce(F.sum("documents"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     documents, total = counted
     slim = docs.select(F.col("doc_id").cast("long"), text)
-    shards = written(slim.mapInArrow(lambda b: _shards(b, documents, total), SHARD), "strata")
+    shards = written(slim.mapInArrow(lambda b: _shards(b, documents, total), SHARD), "strata", group_rows=1)
     each = shards.select(F.explode(F.arrays_zip("terms", "term_docs")).alias("t"))
     df = each.groupBy(F.col("t.terms").alias("term")).agg(F.sum("t.term_docs").alias("df"))
     return Index(documents, shards, written(df, "dictionary"))

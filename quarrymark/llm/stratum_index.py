@@ -15,6 +15,7 @@ from quarrymark.llm.word_hashes import Words
 
 BILLION, SCALE, SLOPE = 1_000_000_000, 1000, 12
 VISIT = 256
+MOST_DOCS = np.iinfo(np.int16).max
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -34,7 +35,7 @@ def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def built(words: Words, ids: np.ndarray, documents: int, total: int) -> dict[str, np.ndarray] | None:
-    """Arrays of one shard; documents without words are left out."""
+    """Arrays of one shard of at most MOST_DOCS texts; documents without words are left out."""
     lengths = np.diff(words.first)
     m = normalisers(lengths, documents, total)
     order = np.lexsort((ids, m))
@@ -58,14 +59,13 @@ def built(words: Words, ids: np.ndarray, documents: int, total: int) -> dict[str
     return {
         "docs": ids[order],
         "strata": strata,
-        "stratum_docs": np.diff(np.append(first, len(order))),
+        "stratum_docs": np.diff(np.append(first, len(order))).astype(np.int16),
         "terms": terms.view(np.int64),
-        "term_docs": np.bincount(term, minlength=len(terms)),
-        "term_groups": np.bincount(term[group], minlength=len(terms)),
-        "group_stratum": stratum[doc[group]].astype(np.int32),
+        "term_docs": np.bincount(term, minlength=len(terms)).astype(np.int16),
+        "term_groups": np.bincount(term[group], minlength=len(terms)).astype(np.int16),
         "group_tf": tf[group].astype(np.int32),
-        "group_docs": np.diff(np.append(group, len(doc))).astype(np.int32),
-        "postings": doc.astype(np.int32),
+        "group_docs": np.diff(np.append(group, len(doc))).astype(np.int16),
+        "postings": doc.astype(np.int16),
     }
 
 
@@ -97,10 +97,12 @@ class Shard:
         self.docs, self.postings = parts["docs"], parts["postings"]
         self.terms = parts["terms"].view(np.uint64)
         self.stratum_docs = parts["stratum_docs"]
-        self.stratum = parts["group_stratum"]
         self.size = parts["group_docs"]
         self.start = np.cumsum(self.size, dtype=np.int64) - self.size
-        self.groups = np.append(0, np.cumsum(parts["term_groups"]))
+        # documents are numbered by stratum, so that any posting of a group tells the group's stratum
+        stratum = np.repeat(np.arange(len(self.stratum_docs), dtype=np.int32), self.stratum_docs)
+        self.stratum = stratum[self.postings[self.start]]
+        self.groups = np.append(0, np.cumsum(parts["term_groups"], dtype=np.int64))
         self.impact = impacts(parts["group_tf"], parts["strata"][self.stratum])
         head = np.ones(len(self.stratum), dtype=bool)
         head[1:] = np.diff(self.stratum) != 0

@@ -38,12 +38,12 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)), at
 
 
-def slices(at: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``most`` bytes, or of a single longer row."""
+def slices(at: np.ndarray, most: int, rows: int | None = None) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most ``most`` bytes, or of a single longer row, and of at most ``rows`` rows."""
     row, n = 0, len(at) - 1
     while row < n:
         stop = int(np.searchsorted(at, at[row] + most, side="right")) - 1
-        stop = min(max(stop, row + 1), n)
+        stop = min(max(stop, row + 1), n, row + rows if rows else n)
         yield row, stop
         row = stop
 

@@ -7,12 +7,14 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from corpus_cases import from_folder
+from pyspark.sql import functions as F
 
 from quarrymark.llm import stratified_search as lexical
 from quarrymark.llm import stratum_index
-from quarrymark.llm.word_hashes import raw, words_of
+from quarrymark.llm.word_hashes import raw, slices, words_of
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -107,3 +109,35 @@ def test_documents_of_one_stratum_share_their_normaliser(spark):
     row = lexical.build(from_folder(spark, "documents")).shards.first()
     assert sorted(set(row["strata"])) == row["strata"] and sum(row["stratum_docs"]) == len(row["docs"])
     assert sum(row["term_groups"]) == len(row["group_tf"]) and sum(row["group_docs"]) == len(row["postings"])
+
+
+def test_each_shard_is_a_row_group_of_its_own(spark):
+    text = F.repeat(F.concat_ws(" ", F.lit("common word"), "id", F.lit("")), 300_000).alias("text")
+    docs = spark.range(3).coalesce(1).select(F.col("id").alias("doc_id"), text)
+    index = lexical.build(docs)
+    (file,) = {r[0] for r in index.shards.select(F.input_file_name()).collect()}
+    footer = pq.ParquetFile(file.removeprefix("file:").replace("//", "/")).metadata
+    assert [footer.row_group(i).num_rows for i in range(footer.num_row_groups)] == [1, 1, 1]
+    same(docs, spark.createDataFrame([("q", "common 1", ""), ("r", "2 word", "")], ITEMS))
+
+
+def test_a_shard_takes_about_eight_bytes_a_posting(spark):
+    types = dict(lexical.build(from_folder(spark, "documents")).shards.dtypes)
+    wide = {"array<bigint>": 8, "array<int>": 4, "array<smallint>": 2}
+    of_postings = [n for n in types if n.startswith("group_")] + ["postings"]
+    assert sum(wide[types[n]] for n in of_postings) == 8
+
+
+def test_a_batch_of_more_documents_than_a_shard_may_have(spark):
+    most = stratum_index.MOST_DOCS
+    assert list(slices(np.arange(2 * most + 2), 1 << 20, most)) == [(0, most), (most, 2 * most), (2 * most, 2 * most + 1)]
+    text = F.when(F.col("id") % 1000 == 999, F.lit("rare a")).otherwise(F.lit("a b"))
+    docs = spark.range(70_000).coalesce(1).select(F.col("id").alias("doc_id"), text.alias("text"))
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(setting, "0")
+    try:
+        sizes = [len(r["docs"]) for r in lexical.build(docs).shards.select("docs").collect()]
+        assert sorted(sizes) == [70_000 - 2 * most, most, most]
+        same(docs, spark.createDataFrame([("q", "rare", ""), ("r", "a b", "")], ITEMS))
+    finally:
+        spark.conf.unset(setting)
