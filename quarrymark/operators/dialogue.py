@@ -5,7 +5,9 @@ Rules over word arrays of one utterance; corpus statistics come in by joins on t
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,21 +56,89 @@ def phrase_hits(text: Column, phrases: list[str]) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"\b(?:" + "|".join(ordered) + r")\b"), 0)
 
 
-def act(text: Column, anchored: Column) -> Column:
-    """Dialogue act, first rule that applies.  ``anchored`` says whether the words name something specific to the corpus."""
-    ws = words(text)
+def _every(c: str, seen) -> Column:
+    return F.bool_and(c).over(seen)
+
+
+def _some(c: str, seen) -> Column:
+    return F.bool_or(c).over(seen)
+
+
+def _first(c: str, seen) -> Column:
+    return F.first(c, ignorenulls=True).over(seen)
+
+
+def _last(c: str, seen) -> Column:
+    return F.last(c, ignorenulls=True).over(seen)
+
+
+# How a trait of a text follows from the traits of its pieces in order.
+TRAITS = {
+    "idle": _every, "more": _some, "meta": _some, "reworks": _some, "plain": _every, "asks": _some, "heads": _some,
+    "opens": _first, "greets": _some, "trails": _last, "ended": _last, "comma": _last,
+}
+# So many words ahead of a piece can belong to a phrase that ends in it.
+LOOKBACK = max(len(p.split()) for p in MORE_PHRASES + META_PHRASES + REQUEST_HEADS) - 1
+
+
+def traits(text: Column, ws: Column | None = None, before: Column | None = None) -> dict[str, Column]:
+    """What ``act`` and ``signals`` ask of a text; ``ws`` are its words where a column has them already.
+
+    A piece of a text comes with ``before``, the ``LOOKBACK`` words ahead of it.
+    """
+    ws = words(text) if ws is None else ws
     only = lambda table: F.forall(ws, lambda w: w.isin(table))
     some = lambda table: F.exists(ws, lambda w: w.isin(table))
     rework_rest = F.filter(ws, lambda w: ~w.isin(REWORK + REWORK_OBJECTS + FILLERS + CONTINUERS + AUX_FIRST))
     first = F.try_element_at(F.filter(ws, lambda w: ~w.isin(FILLERS + GREETINGS + CONTINUERS)), F.lit(1))
+    wide = text if before is None else F.concat_ws(" ", before, text)
+    return {
+        "idle": only(FILLERS + CONTINUERS),
+        "more": has_phrase(wide, MORE_PHRASES),
+        "meta": has_phrase(wide, META_PHRASES),
+        "reworks": some(REWORK),
+        "plain": F.size(rework_rest) == 0,
+        "asks": text.contains("?") | some(QUESTION_WORDS),
+        "heads": has_phrase(wide, REQUEST_HEADS),
+        "opens": first.isin(AUX_FIRST),
+        "greets": some(GREETINGS),
+        "trails": F.try_element_at(ws, F.lit(-1)).isin(DANGLING),
+        "ended": text.rlike(r"[.?!]\s*$"),
+        "comma": F.rtrim(text).endswith(","),
+    }
+
+
+def so_far(ticks: DataFrame, keys: list[str]) -> DataFrame:
+    """Add the column ``said``: the traits of all that was said up to a tick, as a struct.
+
+    Needs (tick, final, text, before): ``text`` is the piece of a tick, and the whole text at the final one.
+    """
+    told = ticks.withColumn("_ws", words(F.col("text")))
+    told = told.withColumns({f"_{k}": c for k, c in traits(F.col("text"), F.col("_ws"), F.col("before")).items()})
+    seen = Window.partitionBy(*keys).orderBy("tick")
+    grown = [F.when(F.col("final"), F.col(f"_{k}")).otherwise(grow(f"_{k}", seen)).alias(k) for k, grow in TRAITS.items()]
+    return told.select(*ticks.columns, F.struct(*grown).alias("said"))
+
+
+def said(column: str = "said") -> dict[str, Column]:
+    """The traits in a column of ``so_far``, for ``act`` and ``signals``."""
+    return {k: F.col(f"{column}.{k}") for k in TRAITS}
+
+
+def act(text: Column | dict[str, Column], anchored: Column) -> Column:
+    """Dialogue act of a text, or of its traits; first rule that applies.
+
+    ``anchored`` says whether the words name something specific to the corpus.
+    """
+    it = text if isinstance(text, dict) else traits(text)
     return (
-        F.when(only(FILLERS + CONTINUERS), "BACKCHANNEL")
-        .when(has_phrase(text, MORE_PHRASES), "INFO_REQUEST")
-        .when(has_phrase(text, META_PHRASES) & ~anchored, "META")
-        .when(some(REWORK) & (F.size(rework_rest) == 0), "PRESENTATION")
-        .when(text.contains("?") | some(QUESTION_WORDS) | has_phrase(text, REQUEST_HEADS), "INFO_REQUEST")
-        .when(F.coalesce(first.isin(AUX_FIRST), F.lit(False)), "INFO_REQUEST")
-        .when(some(GREETINGS) & ~anchored, "SOCIAL")
+        F.when(it["idle"], "BACKCHANNEL")
+        .when(it["more"], "INFO_REQUEST")
+        .when(it["meta"] & ~anchored, "META")
+        .when(it["reworks"] & it["plain"], "PRESENTATION")
+        .when(it["asks"] | it["heads"], "INFO_REQUEST")
+        .when(F.coalesce(it["opens"], F.lit(False)), "INFO_REQUEST")
+        .when(it["greets"] & ~anchored, "SOCIAL")
         .otherwise("UNKNOWN")
     )
 
@@ -89,20 +159,18 @@ def build_query(text: Column) -> Column:
     return let(kept, trim)
 
 
-def signals(rows: DataFrame, norm: Column) -> DataFrame:
+def signals(rows: DataFrame, norm: Column, it: dict[str, Column] | None = None) -> DataFrame:
     """Stability, worthiness and their inputs.
 
-    Needs (text, act, n_terms, n_anchors, max_idf, persistence, final); ``norm`` is the idf of a term found once.
+    Needs (text, act, n_terms, n_anchors, max_idf, persistence, final), and no text where its traits are given; ``norm`` is the
+    idf of a term found once.
     """
     c = F.col
-    ws = words(c("text"))
-    ended = c("text").rlike(r"[.?!]\s*$")
-    last = F.coalesce(F.try_element_at(ws, F.lit(-1)), F.lit(""))
-    dangling = ~ended & (last.isin(DANGLING) | F.rtrim("text").endswith(",")) & ~c("final")
+    it = it or traits(c("text"))
+    dangling = ~it["ended"] & (F.coalesce(it["trails"], F.lit(False)) | it["comma"]) & ~c("final")
     strength = F.least(F.lit(1.0), F.coalesce("max_idf", F.lit(0.0)) / norm)
     ask = c("act") == "INFO_REQUEST"
     base = F.when(ask, 0.55).when(c("act") == "UNKNOWN", 0.2).otherwise(0.0)
-    question = c("text").contains("?") | F.exists(ws, lambda w: w.isin(QUESTION_WORDS))
     stability = (
         0.35 * F.when(c("dangling"), 0.0).otherwise(1.0)
         + 0.20 * F.least(F.lit(1.0), c("n_terms") / 3.0)
@@ -114,7 +182,7 @@ def signals(rows: DataFrame, norm: Column) -> DataFrame:
         base
         + 0.25 * c("strength")
         + 0.10 * F.least(c("n_anchors"), F.lit(3)) / 3.0
-        + F.when(ask & question, 0.10).otherwise(0.0)
+        + F.when(ask & it["asks"], 0.10).otherwise(0.0)
     )
     return (
         rows.withColumn("dangling", dangling)
@@ -153,35 +221,64 @@ def gate(novelty: Column) -> tuple[Column, Column]:
 BUDGET_SCHEMA = "session long, utterance long, tick int, decision string, reason string"
 
 
-def _spend(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Budget, reserve, cooldown and novelty against the queries this utterance already issued."""
+SPENT = ("session", "utterance", "tick", "at_ms", "final", "terms", "decision", "reason", "copy", "place")
+
+
+def _spend(batches: Iterator[pa.RecordBatch], grows: bool) -> Iterator[pa.RecordBatch]:
+    """Budget, reserve, cooldown and novelty against the queries an utterance already issued; its ticks come in order."""
     cfg = CONTROLLER
     issued: list[frozenset] = []
+    heard: dict[int, tuple[set, list[int]]] = {}  # by copy: its words so far, and how many of them each issued query has
     last = None
-    out = []
-    for r in pdf.sort_values("tick").itertuples(index=False):
-        decision, reason = r.decision, r.reason
-        terms = frozenset(r.terms)
-        if decision == "RETRIEVE":
-            sim = max((len(terms & q) / len(terms | q) if terms | q else 1.0 for q in issued), default=0.0)
-            limit = cfg.max_retrievals - (0 if r.final else cfg.reserve_final)
-            if 1.0 - sim < cfg.novelty_threshold:
-                decision, reason = "SKIP", "redundant"
-            elif len(issued) >= limit:
-                decision, reason = ("SKIP", "budget_exhausted") if r.final else ("WAIT", "provisional_budget_exhausted")
-            elif not r.final and last is not None and r.at_ms - last < cfg.cooldown_ms:
-                decision, reason = "WAIT", "cooldown"
+    for batch in batches:
+        decisions, reasons = [], []
+        for at_ms, final, terms, decision, reason, copy, place in zip(*(batch.column(c).to_pylist() for c in SPENT[3:]), strict=True):
+            if place == 1:
+                issued, heard, last = [], {}, None
+            shared = None
+            if grows and not final:
+                known, shared = heard.setdefault(copy, (set(), [0] * len(issued)))
+                fresh = set(terms or ()) - known
+                known |= fresh
+                for i, query in enumerate(issued):
+                    shared[i] += len(fresh & query)
             else:
-                issued.append(terms)
-                last = r.at_ms
-        out.append((r.session, r.utterance, r.tick, decision, reason))
-    return pd.DataFrame(out, columns=["session", "utterance", "tick", "decision", "reason"])
-
-
-def spend_budget(ticks: DataFrame) -> DataFrame:
-    """Decisions of all ticks of an utterance in order (one utterance is one short group)."""
-    slim = ticks.select("session", "utterance", "tick", "at_ms", "final", "terms", "decision", "reason")
-    return slim.groupBy("session", "utterance").applyInPandas(_spend, BUDGET_SCHEMA)
+                known = set(terms or ())
+            if decision == "RETRIEVE":
+                common = [len(known & q) for q in issued] if shared is None else shared
+                sim = max((n / (len(known) + len(q) - n) if known or q else 1.0 for n, q in zip(common, issued, strict=True)), default=0.0)
+                limit = cfg.max_retrievals - (0 if final else cfg.reserve_final)
+                if 1.0 - sim < cfg.novelty_threshold:
+                    decision, reason = "SKIP", "redundant"
+                elif len(issued) >= limit:
+                    decision, reason = ("SKIP", "budget_exhausted") if final else ("WAIT", "provisional_budget_exhausted")
+                elif not final and last is not None and at_ms - last < cfg.cooldown_ms:
+                    decision, reason = "WAIT", "cooldown"
+                else:
+                    query = frozenset(known)
+                    issued.append(query)
+                    last = at_ms
+                    for words_, counts in heard.values():
+                        counts.append(len(words_ & query))
+            decisions.append(decision)
+            reasons.append(reason)
+        kept = [batch.column(c) for c in SPENT[:3]]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(decisions, pa.string()), pa.array(reasons, pa.string())], names=[*SPENT[:3], "decision", "reason"])
+
+
+def spend_budget(ticks: DataFrame, grows: bool = False) -> DataFrame:
+    """Decisions of all ticks of an utterance in order, as one sorted stream.
+
+    The terms of a tick are all terms of its text; with ``grows`` those of its own piece, save at the final tick, and ``copy`` tells
+    the texts of one utterance apart.
+    """
+    order = Window.partitionBy("session", "utterance").orderBy("tick", *(["copy"] if grows else []))
+    slim = ticks.select(
+        F.col("session").cast("long").alias("session"), F.col("utterance").cast("long").alias("utterance"), F.col("tick").cast("int").alias("tick"),
+        "at_ms", "final", "terms", "decision", "reason", (F.col("copy") if grows else F.lit(1)).alias("copy"),
+    )
+    # the window is what keeps an utterance together and in order
+    return slim.withColumn("place", F.row_number().over(order)).mapInArrow(lambda batches: _spend(batches, grows), BUDGET_SCHEMA)
 
 
 # --- intents ----------------------------------------------------------------------------------------------------

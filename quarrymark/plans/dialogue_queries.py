@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarrymark.config import CONTROLLER
@@ -11,6 +12,7 @@ from quarrymark.operators import dialogue as dg
 from quarrymark.plans.registry import named
 from quarrymark.plans.sql_parts import DOC_TERMS, sql_terms
 from quarrymark.plans.state_queries import turn_bucket
+from quarrymark.sources.tables import dealt
 
 _L = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
 _WORDS = "regexp_extract_all(lower({0}), '[A-Za-z0-9]+(?:[''’\\-][A-Za-z0-9]+)*')"
@@ -52,8 +54,10 @@ def anchor_norm(t):
     return t.documents.agg(F.log1p((F.count(F.lit(1)) - 0.5) / 1.5)).scalar()
 
 
-def term_signals(rows, t, keys: list[str], terms: str = "terms"):
-    """Add n_terms, n_anchors, max_idf (over anchors) per row of terms."""
+def term_signals(rows, t, keys: list[str], terms: str = "terms", grows: bool = False):
+    """Add n_terms, n_anchors, max_idf (over anchors) per row of terms; with ``grows`` a row holds a piece of what it stands for."""
+    if grows:
+        return _growing_signals(rows, t, keys, terms)
     said = rows.select(*keys, F.explode(terms).alias("term"))
     per = said.join(idf_of_documents(t), "term", "left").groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_terms"),
@@ -64,6 +68,33 @@ def term_signals(rows, t, keys: list[str], terms: str = "terms"):
     return rows.join(per, keys, "left").fillna(zero)
 
 
+def _growing_signals(rows, t, keys: list[str], terms: str):
+    """``term_signals`` of rows that hold a piece each, in the order of ``tick``, the last of the keys: of all terms up to the row's piece.
+
+    A ``final`` row holds all its terms itself.  ``copy``, the key before, tells rows with the same other keys apart; they count
+    together, as in ``term_signals``.  A term is looked up once for a copy, with the first piece that has it.
+    """
+    *outer, copy, tick = keys
+    found = rows.select(*keys, "final", F.explode_outer(terms).alias("term"))
+    said = found.where("term IS NOT NULL").groupBy(*outer, copy, "term").agg(F.min(F.when(~F.col("final"), F.col(tick))).alias(tick), F.max("final").alias("whole"))
+    anchor = F.col("idf") >= CONTROLLER.anchor_idf_floor
+    new = said.join(idf_of_documents(t), "term", "left").groupBy(*keys, "whole").agg(
+        F.count(F.lit(1)).alias("new_terms"), F.count_if(anchor).alias("new_anchors"), F.max(F.when(anchor, F.col("idf"))).alias("new_idf")
+    )
+    both = rows.unionByName(new, allowMissingColumns=True).repartition(*outer)
+    seen = Window.partitionBy(*outer, copy).orderBy(tick)
+
+    def upto(total, c: str):
+        started = total(F.when(F.col(tick).isNotNull(), F.col(c))).over(seen)
+        return F.when(F.col("final"), total(F.when(F.col("whole"), F.col(c))).over(seen)).otherwise(started)
+
+    counted = both.withColumns({"n_terms": upto(F.sum, "new_terms"), "n_anchors": upto(F.sum, "new_anchors"), "max_idf": upto(F.max, "new_idf")})
+    every = Window.partitionBy(*outer, tick).orderBy(copy).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    named_ = " AND ".join(f"{k} IS NOT NULL" for k in outer)  # a row without a key has no counts; not filtered, or the texts are dealt out twice
+    per = {c: F.when(F.expr(named_), total(c).over(every)) for total, c in ((F.sum, "n_terms"), (F.sum, "n_anchors"), (F.max, "max_idf"))}
+    return counted.where("final IS NOT NULL").select(*rows.columns, *[c.alias(n) for n, c in per.items()]).fillna({"n_terms": 0, "n_anchors": 0})
+
+
 def turns(t):
     rows = t.conversations.select("conv_id", "turn", "text", tx.terms(F.col("text")).alias("terms"))
     return term_signals(rows, t, ["conv_id", "turn"])
@@ -117,27 +148,43 @@ def controller_final(t):
 
 
 def provisional_ticks(t):
-    """Every eight words one tick with the text so far; the whole utterance is the final one."""
-    rows = t.conversations.select(
-        F.col("conv_id").alias("session"), F.col("turn").alias("utterance"), "text",
-        F.transform(corpus.word_windows(F.col("text"), 8, 0), lambda w: w["text"]).alias("pieces"),
-    )
-    ticks = rows.where(F.size("pieces") > 0).select("session", "utterance", "text", "pieces", F.posexplode("pieces").alias("tick", "piece"))
-    final = F.col("tick") == F.size("pieces") - 1
-    said = F.when(final, F.col("text")).otherwise(F.array_join(F.slice("pieces", 1, F.col("tick") + 1), " "))
+    """Every eight words one tick; the whole utterance is the final one.
+
+    A tick holds its piece and the words ahead of it in which a phrase can begin; only the final tick holds the whole text, so the
+    rows grow with the text and not with its square.  ``copy`` numbers the rows of one utterance.
+    """
+    same = Window.partitionBy("session", "utterance").orderBy("text")
+    rows = t.conversations.where("text IS NOT NULL").select(F.col("conv_id").alias("session"), F.col("turn").alias("utterance"), "text")
+    pieces = F.transform(corpus.word_windows(F.col("text"), 8, 0), lambda w: w["text"])
+
+    def cut(ps):
+        last = F.size(ps) - 1
+        return F.transform(
+            ps,
+            lambda p, i: F.struct(
+                i.alias("tick"),
+                (i == last).alias("final"),
+                F.when(i == last, F.col("text")).otherwise(p).alias("text"),
+                F.when(i < last, F.substring_index(F.get(ps, i - 1), " ", -dg.LOOKBACK)).alias("before"),
+            ),
+        )
+
+    numbered = dealt(rows, "session", "utterance").withColumn("copy", F.row_number().over(same))
+    ticks = numbered.select("session", "utterance", "copy", F.explode_outer(tx.let(pieces, cut)).alias("at")).where("at IS NOT NULL")
     return ticks.select(
-        "session", "utterance", "tick", (F.col("tick") * 250 + 250).alias("at_ms"), final.alias("final"), said.alias("text")
+        "session", "utterance", "copy", "at.tick", (F.col("at.tick") * 250 + 250).alias("at_ms"), "at.final", "at.text", "at.before"
     ).withColumn("terms", tx.terms(F.col("text")))
 
 
 @named("controller_ticks")
 def controller_ticks(t):
     """Retrieve, wait or skip at every tick of every utterance, within the utterance's budget and cooldown."""
-    keys = ["session", "utterance", "tick"]
-    rows = term_signals(provisional_ticks(t), t, keys).withColumn("act", dg.act(F.col("text"), F.col("n_anchors") > 0))
-    judged = dg.signals(rows.withColumn("persistence", F.when(F.col("final"), 1.0).otherwise(0.5)), anchor_norm(t))
+    keys = ["session", "utterance", "copy", "tick"]
+    ticks = dg.so_far(provisional_ticks(t), keys[:-1]).drop("text", "before")
+    rows = term_signals(ticks, t, keys, grows=True).withColumn("act", dg.act(dg.said(), F.col("n_anchors") > 0))
+    judged = dg.signals(rows.withColumn("persistence", F.when(F.col("final"), 1.0).otherwise(0.5)), anchor_norm(t), dg.said())
     decision, reason = dg.gate(F.lit(1.0))
-    return dg.spend_budget(judged.withColumn("decision", decision).withColumn("reason", reason))
+    return dg.spend_budget(judged.withColumn("decision", decision).withColumn("reason", reason), grows=True)
 
 
 @named(

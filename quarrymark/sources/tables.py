@@ -11,6 +11,7 @@ TABLES = (
 
 
 SPREAD_BYTES = 32 << 20
+DEALT_BYTES = 2 << 20
 
 
 class Tables:
@@ -43,3 +44,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     slots = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df if size > slots * SPREAD_BYTES else df.repartition(slots, *keys)
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash a frame by key into parts of about ``DEALT_BYTES``, by the plan's own estimate of its bytes, that are not merged again.
+
+    For rows of which many more are made: merging small parts looks only at the bytes of what is dealt.  There is a part for every
+    task slot at least, and for every shuffle partition at most.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(slots, min(size // DEALT_BYTES, most)), *keys)
